@@ -1,0 +1,281 @@
+"""A supplier-year panel derived from order lines.
+
+Order, customer, part and supplier tables stand in for claims: a line is a service, an
+order a claim, a customer a beneficiary. The result has the column names of the yearly
+supplier files, one row per ``(Suplr_NPI, year)``.
+
+Distinct customers and orders are counted by regrouping, line -> order -> customer ->
+supplier-year, with the per-line attributes folded into one bit mask. Every step
+combines on the map side and shuffles on several keys, so a supplier, order or customer
+that owns a large part of all lines is spread over many tasks, and no step keeps a set
+of values in memory. Tables and steps that the requested columns do not need are left
+out of the plan.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# How line attributes map to panel columns.
+RACE_BY_PART_TYPE = {
+    "MEDIUM": "Wht",
+    "STANDARD": "Black",
+    "LARGE": "Api",
+    "PROMO": "Hspnc",
+    "SMALL": "Natind",
+    "ECONOMY": "Othr",
+}
+FAMILY_PART_TYPES = {
+    "DME": ("MEDIUM", "STANDARD"),
+    "POS": ("LARGE", "PROMO"),
+    "Drug": ("SMALL", "ECONOMY"),
+}
+GENDER_BY_LINE_STATUS = {"F": "Feml", "O": "Male"}
+AGE_BANDS = (("LT_65", 1700.0), ("65_74", 4300.0), ("75_84", 7350.0), ("GT_84", None))
+CONDITION_BY_PRIORITY = {
+    "1-URGENT": "PH_Asthma_V2",
+    "2-HIGH": "PH_CKD_V2",
+    "3-MEDIUM": "PH_COPD_V2",
+}
+CONDITION_BY_RETURN_FLAG = {"R": "BH_Anxiety_V1", "A": "BH_Bipolar_V1"}
+FEWEST_BENES = 25  # smaller counts are suppressed to NULL
+LOWEST_PERCENT = 15  # smaller condition percentages are suppressed to NULL
+
+TYPE_BIT = {part_type: 1 << i for i, part_type in enumerate(RACE_BY_PART_TYPE)}
+STATUS_BIT = {status: 1 << (len(TYPE_BIT) + i) for i, status in enumerate(GENDER_BY_LINE_STATUS)}
+FAMILY_BITS = {
+    family: sum(TYPE_BIT[part_type] for part_type in part_types)
+    for family, part_types in FAMILY_PART_TYPES.items()
+}
+
+KEYS = ("Suplr_NPI", "year")
+SUPPLIER_COLUMNS = (
+    "Suplr_Prvdr_Last_Name_Org",
+    "Suplr_Prvdr_State_Abrvtn",
+    "Suplr_Prvdr_RUCA_Desc",
+)
+BENE_COLUMNS = tuple(f"{family}_Tot_Suplr_Benes" for family in FAMILY_BITS)
+CLAIM_COLUMNS = tuple(f"{family}_Tot_Suplr_Clms" for family in FAMILY_BITS)
+PAYMENT_COLUMNS = tuple(f"{family}_Suplr_Mdcr_Pymt_Amt" for family in FAMILY_BITS)
+AGE_COLUMNS = tuple(f"Bene_Age_{band}_Cnt" for band, _ in AGE_BANDS)
+GENDER_COLUMNS = tuple(f"Bene_{gender}_Cnt" for gender in GENDER_BY_LINE_STATUS.values())
+RACE_COLUMNS = tuple(f"Bene_Race_{race}_Cnt" for race in RACE_BY_PART_TYPE.values())
+PRIORITY_COLUMNS = tuple(f"Bene_CC_{name}_Pct" for name in CONDITION_BY_PRIORITY.values())
+RETURN_COLUMNS = tuple(f"Bene_CC_{name}_Pct" for name in CONDITION_BY_RETURN_FLAG.values())
+PANEL_COLUMNS = (
+    KEYS
+    + SUPPLIER_COLUMNS
+    + BENE_COLUMNS
+    + CLAIM_COLUMNS
+    + PAYMENT_COLUMNS
+    + AGE_COLUMNS
+    + GENDER_COLUMNS
+    + RACE_COLUMNS
+    + PRIORITY_COLUMNS
+    + RETURN_COLUMNS
+)
+
+Reader = Callable[[str], DataFrame]
+
+
+def parquet_tables(spark: SparkSession, folder: str) -> Reader:
+    return lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def order_panel(
+    tables: Reader, columns: Iterable[str] = PANEL_COLUMNS, years: Sequence[int] | None = None
+) -> DataFrame:
+    """Derive the panel columns asked for; ``years`` limits the scan to ship dates in
+    those years."""
+    wanted = [c for c in PANEL_COLUMNS if c in KEYS or c in set(columns)]
+    unknown = set(columns) - set(PANEL_COLUMNS)
+    if unknown:
+        raise KeyError(f"no such panel column: {sorted(unknown)}")
+
+    def asked(*groups: Sequence[str]) -> bool:
+        return any(c in group for group in groups for c in wanted)
+
+    per_customer = asked(BENE_COLUMNS, AGE_COLUMNS, GENDER_COLUMNS, RACE_COLUMNS)
+    with_orders = per_customer or asked(PRIORITY_COLUMNS)
+    per_order = with_orders or asked(CLAIM_COLUMNS)
+    with_parts = asked(BENE_COLUMNS, CLAIM_COLUMNS, PAYMENT_COLUMNS, RACE_COLUMNS)
+
+    lines = _lines(tables("lineitem"), years)
+    if with_parts:
+        lines = lines.join(_part_bits(tables("part")), "l_partkey", "left")
+    else:
+        lines = lines.withColumn("type_bit", F.lit(0))
+    rows = _line_measures(lines)
+    if per_order:
+        rows = _regroup(rows, ("l_orderkey", *KEYS))
+        rows = rows.withColumns(
+            {
+                f"{family}_claims": (
+                    _has(bits) & F.col("l_orderkey").isNotNull()
+                ).cast("bigint")
+                for family, bits in FAMILY_BITS.items()
+            }
+        )
+    if with_orders:
+        rows = rows.join(_orders(tables, asked(AGE_COLUMNS)), "l_orderkey", "left").withColumns(
+            {
+                f"lines_{name}": F.when(F.col("o_orderpriority") == priority, F.col("lines"))
+                .otherwise(0)
+                for priority, name in CONDITION_BY_PRIORITY.items()
+            }
+        )
+    if per_customer:
+        rows = _regroup(rows, ("o_custkey", *KEYS))
+        rows = rows.withColumns(_customer_counts(rows))
+    panel = _regroup(rows, KEYS)
+    if asked(SUPPLIER_COLUMNS):
+        panel = panel.join(_suppliers(tables), "Suplr_NPI", "left")
+    return _finish(panel, wanted)
+
+
+def _lines(lineitem: DataFrame, years: Sequence[int] | None) -> DataFrame:
+    if years is not None:
+        # A range per year on the stored column reaches the file statistics.
+        shipped = F.col("l_shipdate")
+        in_years = [
+            (shipped >= F.lit(f"{y}-01-01").cast("timestamp_ntz"))
+            & (shipped < F.lit(f"{y + 1}-01-01").cast("timestamp_ntz"))
+            for y in years
+        ]
+        lineitem = lineitem.where(reduce(lambda a, b: a | b, in_years, F.lit(False)))
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    discount = F.col("l_discount").cast("decimal(4,2)")
+    return lineitem.select(
+        "l_orderkey",
+        "l_partkey",
+        F.col("l_suppkey").alias("Suplr_NPI"),
+        F.year("l_shipdate").alias("year"),
+        (price * (F.lit(1).cast("decimal(4,2)") - discount)).alias("payment"),
+        "l_linestatus",
+        "l_returnflag",
+    )
+
+
+def _part_bits(part: DataFrame) -> DataFrame:
+    return part.select(
+        F.col("p_partkey").alias("l_partkey"), _bit("p_type", TYPE_BIT).alias("type_bit")
+    )
+
+
+def _orders(tables: Reader, with_age: bool) -> DataFrame:
+    orders = tables("orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority"
+    )
+    if not with_age:
+        return orders
+    balance = F.col("c_acctbal")
+    band = F.when(balance.isNull(), F.lit(None).cast("int"))
+    for i, (_, limit) in enumerate(AGE_BANDS):
+        band = band.otherwise(i) if limit is None else band.when(balance < limit, i)
+    customers = tables("customer").select(F.col("c_custkey").alias("o_custkey"), band.alias("age"))
+    return orders.join(customers, "o_custkey", "left")
+
+
+def _suppliers(tables: Reader) -> DataFrame:
+    nations = tables("nation").join(
+        tables("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
+    )
+    return (
+        tables("supplier")
+        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+        .select(
+            F.col("s_suppkey").alias("Suplr_NPI"),
+            F.col("s_name").alias("Suplr_Prvdr_Last_Name_Org"),
+            F.col("n_name").alias("Suplr_Prvdr_State_Abrvtn"),
+            F.col("r_name").alias("Suplr_Prvdr_RUCA_Desc"),
+        )
+    )
+
+
+def _bit(column: str, bits: dict[str, int]) -> Column:
+    chain = F
+    for value, bit in bits.items():
+        chain = chain.when(F.col(column) == value, bit)
+    return chain.otherwise(0)
+
+
+def _has(bits: int) -> Column:
+    return F.col("mask").bitwiseAND(F.lit(bits)) != 0
+
+
+def _line_measures(lines: DataFrame) -> DataFrame:
+    mask = F.coalesce("type_bit", F.lit(0)).bitwiseOR(_bit("l_linestatus", STATUS_BIT))
+    rows = lines.withColumn("mask", mask)
+    return rows.select(
+        "l_orderkey",
+        *KEYS,
+        "mask",
+        F.lit(1).cast("bigint").alias("lines"),
+        *[
+            F.when(F.col("l_returnflag") == flag, F.lit(1)).otherwise(F.lit(0))
+            .cast("bigint")
+            .alias(f"lines_{name}")
+            for flag, name in CONDITION_BY_RETURN_FLAG.items()
+        ],
+        *[
+            F.when(_has(bits), F.col("payment")).alias(f"{family}_payment")
+            for family, bits in FAMILY_BITS.items()
+        ],
+    )
+
+
+def _customer_counts(rows: DataFrame) -> dict[str, Column]:
+    """One per customer row for each attribute the customer's lines ever had."""
+    known = F.col("o_custkey").isNotNull()
+    tests = {f"{family}_benes": _has(bits) for family, bits in FAMILY_BITS.items()}
+    tests |= {f"race_{t}": _has(bit) for t, bit in TYPE_BIT.items()}
+    tests |= {f"gender_{s}": _has(bit) for s, bit in STATUS_BIT.items()}
+    if "age" in rows.columns:
+        tests |= {
+            f"age_{band}": F.coalesce(F.col("age") == i, F.lit(False))
+            for i, (band, _) in enumerate(AGE_BANDS)
+        }
+    return {name: (known & test).cast("bigint") for name, test in tests.items()}
+
+
+def _regroup(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Merge rows to the coarser key: masks are united, everything countable is summed."""
+    merge = []
+    for name in rows.columns:
+        if name in keys or name in ("l_orderkey", "o_custkey", "o_orderpriority"):
+            continue
+        if name == "mask":
+            merge.append(F.bit_or(name).alias(name))
+        elif name == "age":
+            merge.append(F.max(name).alias(name))
+        else:
+            merge.append(F.sum(name).alias(name))
+    return rows.groupBy(*keys).agg(*merge)
+
+
+def _finish(panel: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    def percent(hits: str) -> Column:
+        # Whole hundredths of a percent, as an exact decimal.
+        hundredths = F.floor(F.lit(10000).cast("double") * F.col(hits) / F.col("lines"))
+        value = hundredths.cast("bigint").cast("decimal(9,2)") * F.lit("0.01").cast("decimal(3,2)")
+        return F.when(value >= LOWEST_PERCENT, value)
+
+    output = {c: F.col(c) for c in (*KEYS, *SUPPLIER_COLUMNS)}
+    for family in FAMILY_BITS:
+        benes = F.col(f"{family}_benes")
+        output[f"{family}_Tot_Suplr_Benes"] = F.when(benes >= FEWEST_BENES, benes)
+        output[f"{family}_Tot_Suplr_Clms"] = F.col(f"{family}_claims")
+        output[f"{family}_Suplr_Mdcr_Pymt_Amt"] = F.col(f"{family}_payment")
+    for band, _ in AGE_BANDS:
+        output[f"Bene_Age_{band}_Cnt"] = F.col(f"age_{band}")
+    for status, gender in GENDER_BY_LINE_STATUS.items():
+        output[f"Bene_{gender}_Cnt"] = F.col(f"gender_{status}")
+    for part_type, race in RACE_BY_PART_TYPE.items():
+        output[f"Bene_Race_{race}_Cnt"] = F.col(f"race_{part_type}")
+    for name in (*CONDITION_BY_PRIORITY.values(), *CONDITION_BY_RETURN_FLAG.values()):
+        output[f"Bene_CC_{name}_Pct"] = percent(f"lines_{name}")
+    return panel.select(*[output[c].alias(c) for c in wanted])
