@@ -21,7 +21,7 @@ from supplypanel.functions.text import (
 from supplypanel.operators import categories, change, charts, measures, topk
 from supplypanel.operators.selection import select_latest_year, select_year
 from supplypanel.plans import report, sinks
-from supplypanel.session import scratch_folder
+from supplypanel.session import scratch_folder, settle
 from supplypanel.sources import order_panel as op
 from supplypanel.sources.dictionary import dictionary_join, dictionary_table
 from supplypanel.sources.yearly import (
@@ -215,7 +215,8 @@ def prefix_categories(spark, folder):
 
 
 def category_overview(spark, folder):
-    names = categories.observed_columns(panel(spark, folder, op.PANEL_COLUMNS))
+    observed = categories.observed_columns(panel(spark, folder, op.PANEL_COLUMNS))
+    names = settle(observed, "observed_columns")
     overview = categories.category_overview(names, dictionary_table(spark))
     return overview.withColumn("descriptions", F.array_join("descriptions", " | ", "-"))
 

@@ -99,11 +99,16 @@ def column_type(name: str) -> str:
 def type_columns(df: DataFrame, overrides: Mapping[str, str] | None = None) -> DataFrame:
     """Clean and type an all-text table in one projection.
 
-    ``overrides`` maps a column to ``double``, ``bigint`` or ``string`` where the
-    naming rule is not wanted (for example a count column that holds fractions).
+    ``overrides`` maps a column to ``double``, ``bigint``, ``string`` or ``keep`` where
+    the naming rule is not wanted (for example a count column that holds fractions).
     """
     # A missing-value token is not a number, so only text columns look for tokens.
-    parsers = {"double": parse_number, "bigint": parse_count, "string": blank_to_null}
+    parsers = {
+        "double": parse_number,
+        "bigint": parse_count,
+        "string": blank_to_null,
+        "keep": as_column,
+    }
     overrides = overrides or {}
     return df.select(
         *[

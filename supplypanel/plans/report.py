@@ -2,8 +2,8 @@
 demographics, conditions, spending and chart tables.
 
 Two aggregates feed nearly all of it: one with a few sums over all years, one with many
-sums over the latest year. Both are a handful of rows, and are kept, so that the panel is
-not read again for every section.
+sums over the latest year. Both are a handful of rows and are computed first, so that the
+panel is not read again for every section.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ from supplypanel.operators.measures import (
 from supplypanel.operators.selection import require_columns, to_rows
 from supplypanel.operators.topk import top_states, top_suppliers
 from supplypanel.plans.sinks import save_results
+from supplypanel.session import settle
 from supplypanel.sources.dictionary import (
     DEMOGRAPHIC_GROUPS,
     column_table,
@@ -62,15 +63,10 @@ COUNT_COLUMNS = ("Year", "Total Beneficiaries")
 
 @dataclass(frozen=True)
 class Report:
-    """The panel, the result tables by name, and the small aggregates kept for them."""
+    """The panel and the result tables by name."""
 
     panel: YearlyPanel
     tables: dict[str, DataFrame]
-    kept: tuple[DataFrame, ...] = ()
-
-    def release(self) -> None:
-        for totals in self.kept:
-            totals.unpersist()
 
 
 def overview_display(overview: DataFrame) -> DataFrame:
@@ -104,19 +100,17 @@ def percent_display(rows: DataFrame, value: str) -> DataFrame:
 def report_tables(
     panel: YearlyPanel, change_years: tuple[int, int] = (2021, 2022), top_n: int = 10
 ) -> Report:
-    """Every table of the report, lazily."""
+    """Every table of the report. The two aggregates are computed here, the rest when
+    a table is used."""
     latest = panel.latest()
     conditions = condition_groups(latest.columns)
     demographic_columns = flat(DEMOGRAPHIC_GROUPS)
     require_columns(latest, demographic_columns)
 
-    by_year = aggregate(panel.data, ["year"], yearly_expressions()).persist()
-    of_latest = aggregate(
-        latest,
-        [],
-        total_expressions([*demographic_columns, BENES])
-        | product_expressions(flat(conditions), BENES),
-    ).persist()
+    by_year = settle(aggregate(panel.data, ["year"], yearly_expressions()), "by_year")
+    sums = total_expressions([*demographic_columns, BENES])
+    products = product_expressions(flat(conditions), BENES)
+    of_latest = settle(aggregate(latest, [], sums | products), "of_latest")
 
     overview = overview_of_totals(by_year)
     spending = spending_of_totals(by_year)
@@ -139,7 +133,7 @@ def report_tables(
         "ruca_share": ruca_share(latest),
         "yoy_changes": yoy_series(spending),
     }
-    return Report(panel, tables, (by_year, of_latest))
+    return Report(panel, tables)
 
 
 def report_lines(tables: dict[str, DataFrame]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning does the size-dependent work: small join sides are broadcast only
 # below Spark's own threshold, skewed join partitions are split, tiny ones merged.
@@ -37,3 +37,11 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
         shared = tempfile.mkdtemp(prefix="supplypanel-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Compute a small result once and go on from a written copy of it, so that many
+    later queries neither repeat the work nor depend on an executor's memory."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

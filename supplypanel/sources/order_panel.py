@@ -15,9 +15,8 @@ out of the plan.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # How line attributes map to panel columns.
@@ -91,92 +90,150 @@ def order_panel(
 ) -> DataFrame:
     """Derive the panel columns asked for; ``years`` limits the scan to ship dates in
     those years."""
-    wanted = [c for c in PANEL_COLUMNS if c in KEYS or c in set(columns)]
-    unknown = set(columns) - set(PANEL_COLUMNS)
+    columns = set(columns)
+    unknown = columns - set(PANEL_COLUMNS)
     if unknown:
         raise KeyError(f"no such panel column: {sorted(unknown)}")
+    wanted = [c for c in PANEL_COLUMNS if c in KEYS or c in columns]
 
     def asked(*groups: Sequence[str]) -> bool:
         return any(c in group for group in groups for c in wanted)
 
-    per_customer = asked(BENE_COLUMNS, AGE_COLUMNS, GENDER_COLUMNS, RACE_COLUMNS)
-    with_orders = per_customer or asked(PRIORITY_COLUMNS)
-    per_order = with_orders or asked(CLAIM_COLUMNS)
-    with_parts = asked(BENE_COLUMNS, CLAIM_COLUMNS, PAYMENT_COLUMNS, RACE_COLUMNS)
-
     lines = _lines(tables("lineitem"), years)
-    if with_parts:
-        lines = lines.join(_part_bits(tables("part")), "l_partkey", "left")
+    if asked(BENE_COLUMNS, CLAIM_COLUMNS, PAYMENT_COLUMNS, RACE_COLUMNS):
+        parts = tables("part").selectExpr(
+            "p_partkey AS l_partkey", f"{_case('p_type', TYPE_BIT)} AS type_bit"
+        )
+        lines = lines.join(parts, "l_partkey", "left")
     else:
         lines = lines.withColumn("type_bit", F.lit(0))
-    rows = _line_measures(lines)
-    if per_order:
+    rows = _line_measures(lines, wanted)
+    if asked(CLAIM_COLUMNS):
         rows = _regroup(rows, ("l_orderkey", *KEYS))
-        rows = rows.withColumns(
-            {
-                f"{family}_claims": (
-                    _has(bits) & F.col("l_orderkey").isNotNull()
-                ).cast("bigint")
-                for family, bits in FAMILY_BITS.items()
-            }
-        )
-    if with_orders:
-        rows = rows.join(_orders(tables, asked(AGE_COLUMNS)), "l_orderkey", "left").withColumns(
-            {
-                f"lines_{name}": F.when(F.col("o_orderpriority") == priority, F.col("lines"))
-                .otherwise(0)
-                for priority, name in CONDITION_BY_PRIORITY.items()
-            }
-        )
-    if per_customer:
+        rows = rows.selectExpr("*", *_order_counts(wanted))
+    if asked(BENE_COLUMNS, AGE_COLUMNS, GENDER_COLUMNS, RACE_COLUMNS, PRIORITY_COLUMNS):
+        rows = rows.join(_orders(tables, asked(AGE_COLUMNS)), "l_orderkey", "left")
+        rows = rows.selectExpr("*", *_priority_lines(wanted))
+    if asked(BENE_COLUMNS, AGE_COLUMNS, GENDER_COLUMNS, RACE_COLUMNS):
         rows = _regroup(rows, ("o_custkey", *KEYS))
-        rows = rows.withColumns(_customer_counts(rows))
+        rows = rows.selectExpr("*", *_customer_counts(wanted))
     panel = _regroup(rows, KEYS)
     if asked(SUPPLIER_COLUMNS):
         panel = panel.join(_suppliers(tables), "Suplr_NPI", "left")
-    return _finish(panel, wanted)
+    shown = _shown()
+    return panel.selectExpr(*[f"{shown.get(c, c)} AS {c}" for c in wanted])
+
+
+def _case(column: str, values: dict[str, int]) -> str:
+    whens = " ".join(f"WHEN '{value}' THEN {number}" for value, number in values.items())
+    return f"CASE {column} {whens} ELSE 0 END"
+
+
+def _has(bits: int) -> str:
+    return f"(mask & {bits}) != 0"
+
+
+def _only(wanted: Sequence[str], named: dict[str, str]) -> list[str]:
+    """SQL for the wanted panel columns, as ``expression AS column``."""
+    return [f"{sql} AS {name}" for name, sql in named.items() if name in wanted]
 
 
 def _lines(lineitem: DataFrame, years: Sequence[int] | None) -> DataFrame:
     if years is not None:
         # A range per year on the stored column reaches the file statistics.
-        shipped = F.col("l_shipdate")
-        in_years = [
-            (shipped >= F.lit(f"{y}-01-01").cast("timestamp_ntz"))
-            & (shipped < F.lit(f"{y + 1}-01-01").cast("timestamp_ntz"))
-            for y in years
+        ranges = [
+            f"l_shipdate >= timestamp_ntz'{year}-01-01' AND l_shipdate < timestamp_ntz'{year + 1}-01-01'"
+            for year in years
         ]
-        lineitem = lineitem.where(reduce(lambda a, b: a | b, in_years, F.lit(False)))
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
-    discount = F.col("l_discount").cast("decimal(4,2)")
-    return lineitem.select(
+        lineitem = lineitem.where(" OR ".join(ranges) or "false")
+    return lineitem.selectExpr(
         "l_orderkey",
         "l_partkey",
-        F.col("l_suppkey").alias("Suplr_NPI"),
-        F.year("l_shipdate").alias("year"),
-        (price * (F.lit(1).cast("decimal(4,2)") - discount)).alias("payment"),
-        "l_linestatus",
+        "l_suppkey AS Suplr_NPI",
+        "year(l_shipdate) AS year",
+        "cast(l_extendedprice AS decimal(18,2))"
+        " * (cast(1 AS decimal(4,2)) - cast(l_discount AS decimal(4,2))) AS payment",
+        f"{_case('l_linestatus', STATUS_BIT)} AS status_bit",
         "l_returnflag",
     )
 
 
-def _part_bits(part: DataFrame) -> DataFrame:
-    return part.select(
-        F.col("p_partkey").alias("l_partkey"), _bit("p_type", TYPE_BIT).alias("type_bit")
+def _line_measures(lines: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """One row per line: the keys, the attribute mask, and what is to be summed. Sums
+    carry the name of the panel column that they end up in."""
+    hits = {
+        f"Bene_CC_{name}_Pct": f"CASE WHEN l_returnflag = '{flag}' THEN 1L ELSE 0L END"
+        for flag, name in CONDITION_BY_RETURN_FLAG.items()
+    }
+    payments = {
+        f"{family}_Suplr_Mdcr_Pymt_Amt": f"CASE WHEN {_has(bits)} THEN payment END"
+        for family, bits in FAMILY_BITS.items()
+    }
+    masked = lines.selectExpr("*", "coalesce(type_bit, 0) | status_bit AS mask")
+    return masked.selectExpr(
+        "l_orderkey", *KEYS, "mask", "1L AS lines", *_only(wanted, hits | payments)
+    )
+
+
+def _order_counts(wanted: Sequence[str]) -> list[str]:
+    """On rows of one order, supplier and year: 1 per family that the order touches."""
+    return _only(
+        wanted,
+        {
+            f"{family}_Tot_Suplr_Clms": f"cast(l_orderkey IS NOT NULL AND {_has(bits)} AS bigint)"
+            for family, bits in FAMILY_BITS.items()
+        },
+    )
+
+
+def _priority_lines(wanted: Sequence[str]) -> list[str]:
+    return _only(
+        wanted,
+        {
+            f"Bene_CC_{name}_Pct": f"CASE WHEN o_orderpriority = '{priority}' THEN lines ELSE 0L END"
+            for priority, name in CONDITION_BY_PRIORITY.items()
+        },
+    )
+
+
+def _customer_counts(wanted: Sequence[str]) -> list[str]:
+    """On rows of one customer, supplier and year: 1 per attribute that the customer's
+    lines ever had."""
+    tests = {f"{family}_Tot_Suplr_Benes": _has(bits) for family, bits in FAMILY_BITS.items()}
+    tests |= {
+        f"Bene_Age_{band}_Cnt": f"coalesce(age = {i}, false)"
+        for i, (band, _) in enumerate(AGE_BANDS)
+    }
+    tests |= {
+        f"Bene_{gender}_Cnt": _has(STATUS_BIT[status])
+        for status, gender in GENDER_BY_LINE_STATUS.items()
+    }
+    tests |= {
+        f"Bene_Race_{race}_Cnt": _has(TYPE_BIT[part_type])
+        for part_type, race in RACE_BY_PART_TYPE.items()
+    }
+    return _only(
+        wanted,
+        {
+            name: f"cast(o_custkey IS NOT NULL AND {test} AS bigint)"
+            for name, test in tests.items()
+        },
     )
 
 
 def _orders(tables: Reader, with_age: bool) -> DataFrame:
-    orders = tables("orders").select(
-        F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority"
+    orders = tables("orders").selectExpr(
+        "o_orderkey AS l_orderkey", "o_custkey", "o_orderpriority"
     )
     if not with_age:
         return orders
-    balance = F.col("c_acctbal")
-    band = F.when(balance.isNull(), F.lit(None).cast("int"))
-    for i, (_, limit) in enumerate(AGE_BANDS):
-        band = band.otherwise(i) if limit is None else band.when(balance < limit, i)
-    customers = tables("customer").select(F.col("c_custkey").alias("o_custkey"), band.alias("age"))
+    bands = " ".join(
+        f"WHEN c_acctbal < {limit} THEN {i}" if limit is not None else f"ELSE {i}"
+        for i, (_, limit) in enumerate(AGE_BANDS)
+    )
+    customers = tables("customer").selectExpr(
+        "c_custkey AS o_custkey", f"CASE WHEN c_acctbal IS NULL THEN NULL {bands} END AS age"
+    )
     return orders.join(customers, "o_custkey", "left")
 
 
@@ -184,98 +241,32 @@ def _suppliers(tables: Reader) -> DataFrame:
     nations = tables("nation").join(
         tables("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
     )
-    return (
-        tables("supplier")
-        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left")
-        .select(
-            F.col("s_suppkey").alias("Suplr_NPI"),
-            F.col("s_name").alias("Suplr_Prvdr_Last_Name_Org"),
-            F.col("n_name").alias("Suplr_Prvdr_State_Abrvtn"),
-            F.col("r_name").alias("Suplr_Prvdr_RUCA_Desc"),
-        )
+    suppliers = tables("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    return suppliers.selectExpr(
+        "s_suppkey AS Suplr_NPI",
+        "s_name AS Suplr_Prvdr_Last_Name_Org",
+        "n_name AS Suplr_Prvdr_State_Abrvtn",
+        "r_name AS Suplr_Prvdr_RUCA_Desc",
     )
 
 
-def _bit(column: str, bits: dict[str, int]) -> Column:
-    chain = F
-    for value, bit in bits.items():
-        chain = chain.when(F.col(column) == value, bit)
-    return chain.otherwise(0)
-
-
-def _has(bits: int) -> Column:
-    return F.col("mask").bitwiseAND(F.lit(bits)) != 0
-
-
-def _line_measures(lines: DataFrame) -> DataFrame:
-    mask = F.coalesce("type_bit", F.lit(0)).bitwiseOR(_bit("l_linestatus", STATUS_BIT))
-    rows = lines.withColumn("mask", mask)
-    return rows.select(
-        "l_orderkey",
-        *KEYS,
-        "mask",
-        F.lit(1).cast("bigint").alias("lines"),
-        *[
-            F.when(F.col("l_returnflag") == flag, F.lit(1)).otherwise(F.lit(0))
-            .cast("bigint")
-            .alias(f"lines_{name}")
-            for flag, name in CONDITION_BY_RETURN_FLAG.items()
-        ],
-        *[
-            F.when(_has(bits), F.col("payment")).alias(f"{family}_payment")
-            for family, bits in FAMILY_BITS.items()
-        ],
-    )
-
-
-def _customer_counts(rows: DataFrame) -> dict[str, Column]:
-    """One per customer row for each attribute the customer's lines ever had."""
-    known = F.col("o_custkey").isNotNull()
-    tests = {f"{family}_benes": _has(bits) for family, bits in FAMILY_BITS.items()}
-    tests |= {f"race_{t}": _has(bit) for t, bit in TYPE_BIT.items()}
-    tests |= {f"gender_{s}": _has(bit) for s, bit in STATUS_BIT.items()}
-    if "age" in rows.columns:
-        tests |= {
-            f"age_{band}": F.coalesce(F.col("age") == i, F.lit(False))
-            for i, (band, _) in enumerate(AGE_BANDS)
-        }
-    return {name: (known & test).cast("bigint") for name, test in tests.items()}
-
-
 def _regroup(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Merge rows to the coarser key: masks are united, everything countable is summed."""
-    merge = []
-    for name in rows.columns:
-        if name in keys or name in ("l_orderkey", "o_custkey", "o_orderpriority"):
-            continue
-        if name == "mask":
-            merge.append(F.bit_or(name).alias(name))
-        elif name == "age":
-            merge.append(F.max(name).alias(name))
-        else:
-            merge.append(F.sum(name).alias(name))
-    return rows.groupBy(*keys).agg(*merge)
-
-
-def _finish(panel: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    def percent(hits: str) -> Column:
+    merge = {"mask": "bit_or(mask)", "age": "max(age)"}
+    measures = [
+        F.expr(f"{merge.get(name, f'sum({name})')} AS {name}")
+        for name in rows.columns
+        if name not in (*keys, "l_orderkey", "o_custkey", "o_orderpriority")
+    ]
+    return rows.groupBy(*keys).agg(*measures)
+
+
+def _shown() -> dict[str, str]:
+    """Panel columns that are more than their sum: suppressed counts and percentages."""
+    shown = {c: f"CASE WHEN {c} >= {FEWEST_BENES} THEN {c} END" for c in BENE_COLUMNS}
+    for c in (*PRIORITY_COLUMNS, *RETURN_COLUMNS):
         # Whole hundredths of a percent, as an exact decimal.
-        hundredths = F.floor(F.lit(10000).cast("double") * F.col(hits) / F.col("lines"))
-        value = hundredths.cast("bigint").cast("decimal(9,2)") * F.lit("0.01").cast("decimal(3,2)")
-        return F.when(value >= LOWEST_PERCENT, value)
-
-    output = {c: F.col(c) for c in (*KEYS, *SUPPLIER_COLUMNS)}
-    for family in FAMILY_BITS:
-        benes = F.col(f"{family}_benes")
-        output[f"{family}_Tot_Suplr_Benes"] = F.when(benes >= FEWEST_BENES, benes)
-        output[f"{family}_Tot_Suplr_Clms"] = F.col(f"{family}_claims")
-        output[f"{family}_Suplr_Mdcr_Pymt_Amt"] = F.col(f"{family}_payment")
-    for band, _ in AGE_BANDS:
-        output[f"Bene_Age_{band}_Cnt"] = F.col(f"age_{band}")
-    for status, gender in GENDER_BY_LINE_STATUS.items():
-        output[f"Bene_{gender}_Cnt"] = F.col(f"gender_{status}")
-    for part_type, race in RACE_BY_PART_TYPE.items():
-        output[f"Bene_Race_{race}_Cnt"] = F.col(f"race_{part_type}")
-    for name in (*CONDITION_BY_PRIORITY.values(), *CONDITION_BY_RETURN_FLAG.values()):
-        output[f"Bene_CC_{name}_Pct"] = percent(f"lines_{name}")
-    return panel.select(*[output[c].alias(c) for c in wanted])
+        hundredths = f"cast(floor(cast(10000 AS double) * {c} / lines) AS bigint)"
+        percent = f"cast({hundredths} AS decimal(9,2)) * cast(0.01 AS decimal(3,2))"
+        shown[c] = f"CASE WHEN {percent} >= {LOWEST_PERCENT} THEN {percent} END"
+    return shown

@@ -106,7 +106,7 @@ def load_panel(
     for year in years:
         path = year_path(root, year, template)
         try:
-            table = read_table(spark, path, fmt, multiline, types)
+            table = read_text_table(spark, path, fmt, multiline)
         except AnalysisException as problem:
             missing = problem.getCondition() == "PATH_NOT_FOUND"
             if strict and not missing:
@@ -121,7 +121,9 @@ def load_panel(
         tables[year] = table
     if not tables:
         raise ValueError(f"no yearly file found under {root}")
-    return YearlyPanel(stack_years(tables), tuple(sorted(tables)))
+    # Stacked as text and typed once: one projection to plan instead of one per year.
+    stacked = type_columns(stack_years(tables), {"year": "keep"} | dict(types or {}))
+    return YearlyPanel(stacked, tuple(sorted(tables)))
 
 
 def store_panel(panel: YearlyPanel, path: str) -> YearlyPanel:
