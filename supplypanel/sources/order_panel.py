@@ -151,27 +151,36 @@ def _lines(lineitem: DataFrame, years: Sequence[int] | None) -> DataFrame:
         "l_partkey",
         "l_suppkey AS Suplr_NPI",
         "year(l_shipdate) AS year",
-        "cast(l_extendedprice AS decimal(18,2))"
-        " * (cast(1 AS decimal(4,2)) - cast(l_discount AS decimal(4,2))) AS payment",
+        # Cents times whole percent: an exact integer count of 1/10000 dollars.
+        "cast(rint(l_extendedprice * 100) AS bigint)"
+        " * (100L - cast(rint(l_discount * 100) AS bigint)) AS units",
         f"{_case('l_linestatus', STATUS_BIT)} AS status_bit",
         "l_returnflag",
     )
 
 
 def _line_measures(lines: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    """One row per line: the keys, the attribute mask, and what is to be summed. Sums
+    """One row per line: the keys, the attribute mask, and what is to be summed. Counts
     carry the name of the panel column that they end up in."""
     hits = {
         f"Bene_CC_{name}_Pct": f"CASE WHEN l_returnflag = '{flag}' THEN 1L ELSE 0L END"
         for flag, name in CONDITION_BY_RETURN_FLAG.items()
     }
-    payments = {
-        f"{family}_Suplr_Mdcr_Pymt_Amt": f"CASE WHEN {_has(bits)} THEN payment END"
-        for family, bits in FAMILY_BITS.items()
-    }
+    payments = {}
+    for (family, bits), name in zip(FAMILY_BITS.items(), PAYMENT_COLUMNS):
+        if name in wanted:
+            # Dollars and remainder are summed apart: integer sums are several times
+            # faster than decimal ones, and this way far from overflow at any size.
+            payments[f"{family}_dollars"] = f"CASE WHEN {_has(bits)} THEN units div 10000 END"
+            payments[f"{family}_rest"] = f"CASE WHEN {_has(bits)} THEN units % 10000 END"
     masked = lines.selectExpr("*", "coalesce(type_bit, 0) | status_bit AS mask")
     return masked.selectExpr(
-        "l_orderkey", *KEYS, "mask", "1L AS lines", *_only(wanted, hits | payments)
+        "l_orderkey",
+        *KEYS,
+        "mask",
+        "1L AS lines",
+        *_only(wanted, hits),
+        *_only(tuple(payments), payments),
     )
 
 
@@ -262,8 +271,14 @@ def _regroup(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _shown() -> dict[str, str]:
-    """Panel columns that are more than their sum: suppressed counts and percentages."""
+    """Panel columns that are more than their sum: payments, suppressed counts and
+    percentages."""
     shown = {c: f"CASE WHEN {c} >= {FEWEST_BENES} THEN {c} END" for c in BENE_COLUMNS}
+    for family, c in zip(FAMILY_BITS, PAYMENT_COLUMNS):
+        shown[c] = (
+            f"cast(cast({family}_dollars AS decimal(24,4))"
+            f" + cast({family}_rest AS decimal(24,4)) / 10000 AS decimal(28,4))"
+        )
     for c in (*PRIORITY_COLUMNS, *RETURN_COLUMNS):
         # Whole hundredths of a percent, as an exact decimal.
         hundredths = f"cast(floor(cast(10000 AS double) * {c} / lines) AS bigint)"
