@@ -14,12 +14,10 @@ LABEL_BREAK = " - "
 
 def format_fixed(c: Column | str, places: int, separators: bool = True) -> Column:
     """Fixed decimals, half-even on the exact value, optional thousands separators."""
-    c = as_column(c)
-    text = F.format_number(c, places)
+    text = F.format_number(as_column(c), places)
     if not separators:
         text = F.translate(text, ",", "")
-    infinite = F.abs(c).cast("double") == F.lit(float("inf"))
-    return F.when(infinite, F.when(c > 0, "inf").otherwise("-inf")).otherwise(text)
+    return F.replace(text, F.lit("∞"), F.lit("inf"))
 
 
 def format_count(c: Column | str) -> Column:

@@ -21,9 +21,16 @@ def descending(measure: str, *ties: str) -> list[Column]:
 
 
 def top_rows(df: DataFrame, measure: str, ties: Sequence[str], n: int = 10) -> DataFrame:
-    """The n largest rows. Every task keeps n rows, so nothing is sorted as a whole."""
+    """The n largest rows, with their ``rank``.
+
+    Every task keeps n rows and only those are merged. The rank over the n rows stands
+    between the limit and whatever is computed next: projections that Spark moves below
+    a limit can otherwise turn it into a sort of the whole table.
+    """
     require_columns(df, [measure, *ties])
-    return df.orderBy(*descending(measure, *ties)).limit(n)
+    order = descending(measure, *ties)
+    ranked = F.row_number().over(Window.orderBy(*order))
+    return df.orderBy(*order).limit(n).withColumn("rank", ranked).where(F.col("rank") <= n)
 
 
 def top_per_group(
@@ -63,7 +70,7 @@ def top_values(
 ) -> DataFrame:
     """The n most frequent values."""
     counts = value_counts(df, column, value_name=value_name, count_name=count_name)
-    return top_rows(counts, count_name, [value_name], n)
+    return top_rows(counts, count_name, [value_name], n).drop("rank")
 
 
 def top_states(df: DataFrame, n: int = 15) -> DataFrame:

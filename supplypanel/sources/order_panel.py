@@ -119,7 +119,7 @@ def order_panel(
         rows = rows.selectExpr("*", *_customer_counts(wanted))
     panel = _regroup(rows, KEYS)
     if asked(SUPPLIER_COLUMNS):
-        panel = panel.join(_suppliers(tables), "Suplr_NPI", "left")
+        panel = panel.join(_suppliers(tables, wanted), "Suplr_NPI", "left")
     shown = _shown()
     return panel.selectExpr(*[f"{shown.get(c, c)} AS {c}" for c in wanted])
 
@@ -246,17 +246,18 @@ def _orders(tables: Reader, with_age: bool) -> DataFrame:
     return orders.join(customers, "o_custkey", "left")
 
 
-def _suppliers(tables: Reader) -> DataFrame:
-    nations = tables("nation").join(
-        tables("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
-    )
-    suppliers = tables("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return suppliers.selectExpr(
-        "s_suppkey AS Suplr_NPI",
-        "s_name AS Suplr_Prvdr_Last_Name_Org",
-        "n_name AS Suplr_Prvdr_State_Abrvtn",
-        "r_name AS Suplr_Prvdr_RUCA_Desc",
-    )
+def _suppliers(tables: Reader, wanted: Sequence[str]) -> DataFrame:
+    name, nation, region = SUPPLIER_COLUMNS
+    suppliers = tables("supplier").selectExpr("s_suppkey AS Suplr_NPI", f"s_name AS {name}", "s_nationkey")
+    if nation in wanted or region in wanted:
+        nations = tables("nation").selectExpr(
+            "n_nationkey AS s_nationkey", f"n_name AS {nation}", "n_regionkey AS r_regionkey"
+        )
+        suppliers = suppliers.join(nations, "s_nationkey", "left")
+    if region in wanted:
+        regions = tables("region").selectExpr("r_regionkey", f"r_name AS {region}")
+        suppliers = suppliers.join(regions, "r_regionkey", "left")
+    return suppliers.select("Suplr_NPI", *[c for c in SUPPLIER_COLUMNS if c in suppliers.columns])
 
 
 def _regroup(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
