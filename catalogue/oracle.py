@@ -370,6 +370,26 @@ LOADED = ", ".join(
 SPENDING_ROWS = f"""SELECT "Suplr_NPI", year, {BENES[0]}, {", ".join(
     f"CAST({c} AS DOUBLE) AS {c}" for c in PAID)} FROM panel"""
 
+MISSING = " UNION ALL ".join(
+    f"SELECT year, '{c}' AS \"column\", count(*) - count(\"{c}\") AS missing,"
+    f" round_even((count(*) - count(\"{c}\"))::DOUBLE / count(*)::DOUBLE * 100.0 * 100.0, 0) / 100.0"
+    " AS percent FROM panel GROUP BY year"
+    for c in ALL_COLUMNS
+    if c != "year"
+)
+MEASURED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+DESCRIBE = " UNION ALL ".join(
+    f"SELECT l_returnflag, '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 4) AS mean,"
+    f" round(stddev_samp({c}), 4) AS std, min({c}) AS min, max({c}) AS max FROM lineitem GROUP BY 1"
+    for c in MEASURED
+)
+CORRELATION = " UNION ALL ".join(
+    f"SELECT l_linestatus, '{a}' AS first, '{b}' AS second, round(corr({a}, {b}), 6) AS correlation"
+    " FROM lineitem GROUP BY 1"
+    for i, a in enumerate(MEASURED)
+    for b in MEASURED[i + 1 :]
+)
+
 ORACLE: dict[str, str] = {
     "yearly_overview": with_panel("SELECT * FROM overview", OVERVIEW),
     "overview_report": with_panel(OVERVIEW_TEXT, OVERVIEW),
@@ -513,6 +533,18 @@ ORACLE: dict[str, str] = {
  CASE WHEN year = 2001 THEN {BENES[0]} + 1 END AS "Extra" FROM panel"""
     ),
     "save_results": with_panel("SELECT * FROM spending", SPENDING),
+    "json_scan": """SELECT CAST(o_orderkey AS VARCHAR) AS "Order_NPI", o_custkey AS "Order_Cnt",
+ o_totalprice AS "Order_Pymt", nullif(o_orderstatus, 'P') AS mark FROM orders""",
+    "missing_values": with_panel(MISSING),
+    "fill_missing": with_panel(
+        f"""SELECT "Suplr_NPI", year, coalesce({BENES[0]}, 0) AS {BENES[0]}, {CLAIMS[0]},
+ CAST({CONDITION_COLUMNS[3]} AS DOUBLE) AS {CONDITION_COLUMNS[3]} FROM panel
+ WHERE {CONDITION_COLUMNS[3]} IS NOT NULL"""
+    ),
+    "drop_duplicates": """SELECT o_custkey, o_orderkey, o_orderpriority, o_totalprice FROM orders
+ QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) = 1""",
+    "describe": DESCRIBE,
+    "correlation": CORRELATION,
     "full_report": _report(),
     "chart_bundle": with_panel(
         f"""SELECT * FROM (VALUES ('spending_trends', years, CAST(7 AS INTEGER)),

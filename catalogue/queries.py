@@ -18,7 +18,7 @@ from supplypanel.functions.text import (
     prefix_category,
     year_suffix,
 )
-from supplypanel.operators import categories, change, charts, measures, topk
+from supplypanel.operators import categories, change, charts, measures, profile, topk
 from supplypanel.operators.selection import select_latest_year, select_year
 from supplypanel.plans import report, sinks
 from supplypanel.session import scratch_folder, settle
@@ -27,6 +27,7 @@ from supplypanel.sources.dictionary import dictionary_join, dictionary_table
 from supplypanel.sources.yearly import (
     YearlyPanel,
     load_panel,
+    read_table,
     read_text_table,
     shape,
     stack_years,
@@ -397,6 +398,63 @@ def save_results(spark, folder):
     return sinks.read_results(spark, paths)["spending"]
 
 
+def json_scan(spark, folder):
+    """Whole orders through JSON lines and back, every field as text, then typed."""
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("Order_NPI"),
+        F.col("o_custkey").alias("Order_Cnt"),
+        F.col("o_totalprice").alias("Order_Pymt"),
+        F.when(F.col("o_orderstatus") == "P", "n/a").otherwise(F.col("o_orderstatus")).alias("mark"),
+    )
+    path = scratch_folder(spark, "json_scan")
+    orders.write.json(path)
+    return read_table(spark, path, "json")
+
+
+# Cleaning and first looks.
+
+
+def missing_values(spark, folder):
+    return profile.missing_counts(panel(spark, folder, op.PANEL_COLUMNS), ["year"])
+
+
+def fill_missing(spark, folder):
+    rows = panel(spark, folder, (measures.BENES, measures.CLAIMS, op.RETURN_COLUMNS[0]))
+    kept = profile.drop_missing(numbers_as_double(rows), [op.RETURN_COLUMNS[0]])
+    return profile.fill_missing(kept, {measures.BENES: 0})
+
+
+def drop_duplicates(spark, folder):
+    orders = table(spark, folder, "orders").select(
+        "o_custkey", "o_orderkey", "o_orderpriority", "o_totalprice"
+    )
+    order = [F.col("o_orderpriority"), F.col("o_orderkey")]
+    return profile.first_per_key(orders, ["o_custkey"], order)
+
+
+MEASURED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def describe(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    summary = profile.describe_columns(lines, MEASURED, ["l_returnflag"])
+    rounded = {c: F.round(c, 4) for c in ("mean", "std")}
+    return summary.withColumns(rounded)
+
+
+def correlation(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    pairs = profile.correlations(lines, MEASURED, ["l_linestatus"])
+    return pairs.withColumn("correlation", F.round("correlation", 6))
+
+
+def outliers(spark, folder):
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_extendedprice"
+    )
+    return profile.outliers(lines, "l_extendedprice", ["l_returnflag"], 0.5)
+
+
 # Everything together.
 
 
@@ -466,6 +524,13 @@ QUERIES: dict[str, Query] = {
     "panel_load": panel_load,
     "panel_union": panel_union,
     "save_results": save_results,
+    "json_scan": json_scan,
+    "missing_values": missing_values,
+    "fill_missing": fill_missing,
+    "drop_duplicates": drop_duplicates,
+    "describe": describe,
+    "correlation": correlation,
+    "outliers": outliers,
     "full_report": full_report,
     "chart_bundle": chart_bundle,
 }
