@@ -183,7 +183,8 @@ def value_shares(
     share_name: str = "share",
 ) -> DataFrame:
     """Rows per value and their percent of all rows that have a value. The total is a
-    scalar subquery, so the values are never gathered in one task."""
+    scalar subquery over the counts, which are shuffled once for both, so the values are
+    never gathered in one task."""
     counts = value_counts(df, column, value_name=value_name, count_name=count_name)
-    whole = df.select(F.count(column)).scalar()
+    whole = counts.select(F.sum(count_name)).scalar()
     return counts.withColumn(share_name, safe_div(F.col(count_name), whole) * F.lit(100.0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,11 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="supplypanel-")
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared folder named by ``spark.checkpoint.dir``.
 
@@ -34,8 +40,7 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     if not shared:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="supplypanel-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        shared = _local_folder()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
