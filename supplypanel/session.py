@@ -18,9 +18,27 @@ SETTINGS = {
 }
 
 
-def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
-    """Apply the recommended settings to a session builder."""
-    for key, value in SETTINGS.items():
+# Shuffle partitions are planned for this much input each; adaptive execution merges
+# those that turn out small, but never splits a plan that starts with too few.
+BYTES_PER_PARTITION = 128 * 1024 * 1024
+FEWEST_PARTITIONS = 200
+MOST_PARTITIONS = 100_000
+
+
+def shuffle_partitions(input_bytes: int) -> int:
+    wanted = -(-input_bytes // BYTES_PER_PARTITION)
+    return min(max(wanted, FEWEST_PARTITIONS), MOST_PARTITIONS)
+
+
+def configure(
+    builder: SparkSession.Builder, input_bytes: int | None = None
+) -> SparkSession.Builder:
+    """Apply the recommended settings; with the size of the input also the number of
+    shuffle partitions."""
+    settings = dict(SETTINGS)
+    if input_bytes is not None:
+        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions(input_bytes))
+    for key, value in settings.items():
         builder = builder.config(key, value)
     return builder
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -17,23 +17,31 @@ from supplypanel.functions.parsing import type_columns
 PATH_TEMPLATE = "{root}/{year}/mup_dme_ry24_p05_v10_dy{yy}_supr.csv"
 YEARS = range(2017, 2023)
 
+BYTE_ORDER_MARK = "\ufeff"
+
 
 @dataclass(frozen=True)
 class YearlyPanel:
-    """One DataFrame with a ``year`` column, and the years it was read from."""
+    """One DataFrame with a ``year`` column, the years it was read from and, where they
+    differ, the columns that each year has."""
 
     data: DataFrame
     years: tuple[int, ...]
+    columns: Mapping[int, Sequence[str]] = field(default_factory=dict)
 
     @property
     def latest_year(self) -> int:
         return max(self.years)
 
     def year(self, year: int) -> DataFrame:
-        """Rows of one year; the other years' files are not read."""
+        """Rows of one year, with the columns of that year; the other years' files are
+        not read."""
         if year not in self.years:
             raise ValueError(f"year {year} is not in the panel, which has {list(self.years)}")
-        return self.data.where(F.col("year") == year)
+        rows = self.data.where(F.col("year") == year)
+        if year not in self.columns:
+            return rows
+        return rows.select(*[F.col(f"`{c}`") for c in self.columns[year]], "year")
 
     def latest(self) -> DataFrame:
         return self.year(self.latest_year)
@@ -45,7 +53,7 @@ def read_text_table(
     """Read a file, or a folder of files with one header, with every column as text.
 
     Columns follow the header. Part files whose header disagrees fail the job instead
-    of shifting values. ``multiline`` allows line breaks inside quotes, at the price of
+    of shifting values. A line with too few fields misses the last ones. ``multiline`` allows line breaks inside quotes, at the price of
     one task per file.
     """
     if fmt == "json":
@@ -54,7 +62,7 @@ def read_text_table(
             .option("multiLine", multiline)
             .json(path)
         )
-    return (
+    table = (
         spark.read.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
@@ -62,6 +70,8 @@ def read_text_table(
         .option("multiLine", multiline)
         .csv(path)
     )
+    marked = [c for c in table.columns if c.startswith(BYTE_ORDER_MARK)]
+    return table.withColumnsRenamed({c: c.removeprefix(BYTE_ORDER_MARK) for c in marked})
 
 
 def read_table(
@@ -123,7 +133,8 @@ def load_panel(
         raise ValueError(f"no yearly file found under {root}")
     # Stacked as text and typed once: one projection to plan instead of one per year.
     stacked = type_columns(stack_years(tables), {"year": "keep"} | dict(types or {}))
-    return YearlyPanel(stacked, tuple(sorted(tables)))
+    columns = {year: table.columns for year, table in tables.items()}
+    return YearlyPanel(stacked, tuple(sorted(tables)), columns)
 
 
 def store_panel(panel: YearlyPanel, path: str) -> YearlyPanel:
@@ -131,9 +142,8 @@ def store_panel(panel: YearlyPanel, path: str) -> YearlyPanel:
     then skip text parsing, unused columns and other years."""
     panel.data.write.mode("errorifexists").partitionBy("year").parquet(path)
     data = panel.data.sparkSession.read.parquet(path)
-    return YearlyPanel(
-        data.select(*[F.col(f"`{c}`") for c in panel.data.columns]), panel.years
-    )
+    same_order = data.select(*[F.col(f"`{c}`") for c in panel.data.columns])
+    return YearlyPanel(same_order, panel.years, panel.columns)
 
 
 def shape(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

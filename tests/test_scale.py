@@ -101,3 +101,9 @@ def test_scratch_folder_follows_the_session():
     first = session.scratch_folder(Settings(spark_master="local[2]"), "n")
     second = session.scratch_folder(Settings(spark_master="local[2]"), "n")
     assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
+
+
+def test_shuffle_partitions_grow_with_the_input():
+    assert session.shuffle_partitions(1) == 200
+    assert session.shuffle_partitions(10**12) == 7451
+    assert session.shuffle_partitions(100 * 10**12) == 100_000

@@ -89,10 +89,12 @@ def test_load_panel(spark, folder):
         "Drug_Suplr_Mdcr_Pymt_Amt",
         "New_Column",
     ]
-    assert rows(panel.year(2021).orderBy("Suplr_NPI").select(columns)) == [
+    assert rows(panel.data.where("year = 2021").orderBy("Suplr_NPI").select(columns)) == [
         (None, "NY", "01234", 20, 100.0, 1.0, 2.0, None),
         ('Smith, "Al"', None, "00501", None, 7.0, None, 1000.0, None),
     ]
+    assert panel.latest().columns == [*HEADER[:3], "New_Column", *HEADER[3:], "year"]
+    assert panel.year(2021).columns == [*HEADER, "year"]
     assert rows(panel.latest().orderBy("Suplr_NPI").select(columns)) == [
         ("Acme", "NY", "01234", 11, 1000.5, 5.0, 6.0, "x"),
         ("Beta", "CA", "00501", 15, None, None, 3.0, "x"),
@@ -145,6 +147,28 @@ def test_line_breaks_inside_quotes(spark, tmp_path):
     assert rows(out) == [("1", "two\nlines", 5), ("2", "x", 6)]
 
 
+def test_byte_order_mark_and_short_lines(spark, tmp_path):
+    path = tmp_path / "b.csv"
+    path.write_text("\ufeffSuplr_NPI,A_Cnt,B_Cnt\n1,2,3\n\n4,5\n")
+    out = yearly.read_table(spark, str(path))
+    assert out.columns == ["Suplr_NPI", "A_Cnt", "B_Cnt"]
+    assert sorted(rows(out)) == [("1", 2, 3), ("4", 5, None)]
+
+
+def test_columns_absent_from_the_latest_year(spark, tmp_path):
+    """A column that only earlier files have is not reported for the latest year."""
+    first = [*HEADER, "Bene_CC_BH_PTSD_V1_Pct"]
+    write(tmp_path, 2021, [f"1,A,NY,0,Urban,,20,40,100,1,2,{COUNTS},1,2,3,4"], first)
+    gone = [c for c in HEADER if c != "Suplr_Prvdr_RUCA_Desc"]
+    write(tmp_path, 2022, [f"1,A,NY,0,,20,40,100,1,2,{COUNTS},1,2,3"], gone)
+    tables = report.report_tables(load(spark, tmp_path)).tables
+    assert tables["conditions"].count() == 3
+    assert rows(tables["ruca_share"]) == []
+    sizes = dict(rows(tables["categories"].select("category", "columns")))
+    assert sizes["Supplier Information"] == 4
+    assert sizes["Beneficiary Behavioral Health Conditions"] == 1
+
+
 def test_type_overrides(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("A_Cnt,B_Pct\n1.5,2\n")
@@ -166,6 +190,7 @@ def test_json_lines(spark, tmp_path):
 def test_shape(spark, folder):
     panel = load(spark, folder)
     assert rows(yearly.shape(panel.latest())) == [(4, len(HEADER) + 2)]
+    assert rows(yearly.shape(panel.year(2021))) == [(2, len(HEADER) + 1)]
 
 
 def test_report(spark, folder, tmp_path_factory):
