@@ -4,7 +4,6 @@ import pytest
 from conftest import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from supplypanel.operators import categories, change, charts, measures, topk
 from supplypanel.operators.selection import select_latest_year, select_year
