@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,12 +22,10 @@ SETTINGS = {
 # those that turn out small, but never splits a plan that starts with too few.
 BYTES_PER_PARTITION = 128 * 1024 * 1024
 FEWEST_PARTITIONS = 200
-MOST_PARTITIONS = 100_000
 
 
 def shuffle_partitions(input_bytes: int) -> int:
-    wanted = -(-input_bytes // BYTES_PER_PARTITION)
-    return min(max(wanted, FEWEST_PARTITIONS), MOST_PARTITIONS)
+    return max(-(-input_bytes // BYTES_PER_PARTITION), FEWEST_PARTITIONS)
 
 
 def configure(
@@ -43,28 +41,46 @@ def configure(
     return builder
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="supplypanel-")
+_MADE: list[str] = []
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local session without that setting falls back to a temporary folder, where
-    driver and executors are one machine.
-    """
+    """A fresh folder name that driver and executors share: under the folder named by
+    ``spark.checkpoint.dir`` or, where that is unset, under the warehouse directory."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = _local_folder()
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder through the file system that Spark uses for it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete every scratch folder of this process; call it when the results that were
+    read from them are written or no longer needed."""
+    for path in list(_MADE):
+        drop_folder(spark, path)
+
+
+@atexit.register
+def _clean_at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _MADE else None
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            clean_scratch(spark)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Compute a small result once and go on from a written copy of it, so that many
-    later queries neither repeat the work nor depend on an executor's memory."""
+    """Compute a result once and go on from a written copy of it, so that many later
+    queries neither repeat the work nor depend on an executor's memory."""
     path = scratch_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,5 +1,7 @@
 """How the plans behave on hot keys, and where intermediate results go."""
 
+import os
+
 import pytest
 from conftest import plan_of, rows
 from pyspark.sql import functions as F
@@ -96,14 +98,22 @@ class Settings:
 def test_scratch_folder_follows_the_session():
     named = session.scratch_folder(Settings(**{"spark.checkpoint.dir": "hdfs://x/y/"}), "n")
     assert named.startswith("hdfs://x/y/n-")
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        session.scratch_folder(Settings(spark_master="yarn"), "n")
-    first = session.scratch_folder(Settings(spark_master="local[2]"), "n")
-    second = session.scratch_folder(Settings(spark_master="local[2]"), "n")
-    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
+    unset = Settings(**{"spark.sql.warehouse.dir": "hdfs://x/warehouse"})
+    first, second = session.scratch_folder(unset, "n"), session.scratch_folder(unset, "n")
+    assert first != second and first.startswith("hdfs://x/warehouse/_scratch/n-")
+    for path in (named, first, second):
+        session._MADE.remove(path)
+
+
+def test_scratch_is_deleted(spark):
+    kept = session.settle(spark.range(3), "kept")
+    folder = session._MADE[-1]
+    assert kept.count() == 3
+    session.drop_folder(spark, folder)
+    assert folder not in session._MADE and not os.path.exists(folder.removeprefix("file:"))
 
 
 def test_shuffle_partitions_grow_with_the_input():
     assert session.shuffle_partitions(1) == 200
     assert session.shuffle_partitions(10**12) == 7451
-    assert session.shuffle_partitions(100 * 10**12) == 100_000
+    assert session.shuffle_partitions(100 * 10**12) == 745_059
