@@ -11,9 +11,10 @@ Two documents link if their sets of word 4-grams have a Jaccard similarity of at
   row has one number per non-empty block, and only rows that share a number in the same
   block are multiplied. Rows with more than ``SPARE`` empty blocks may agree in empty ones
   only; they have further numbers, one for each choice of ``SPARE + 1`` empty blocks.
-* Equal rows are one row. In each block the rows that agree are first paired with the
-  smallest of them; after links merged what they could, the others are paired unless they
-  are connected already or a parity sketch of the rows proves too many differences.
+* Equal rows are one row. Of the rows that agree in a block, each is first paired with the
+  smallest, beginning with the one it meets most often; after links merged what they could,
+  the others are paired unless they are connected already. Pairs are left out whose sizes
+  or parity sketches prove too many differences.
 * For the pairs left, overlap counts accumulate block by block over the sorted n-grams, and
   a pair is discarded as soon as the size-derived bound cannot be met any more.
 
@@ -34,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 
 from .common import components, drop_folder, maybe_in, table, written
 from .words import lists, mix, utf8, word_hashes
@@ -210,107 +212,137 @@ def _differing_bits(x: str, y: str) -> F.Column:
     return sum(words[1:], words[0])
 
 
+def _plausible(pairs: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
+    """The pairs ``a``, ``b`` whose sizes and sketches (``rep``, ``n``, ``sketch``) do not
+    rule out the threshold."""
+    one = rows.select(F.col("rep").alias("a"), F.struct("n", "sketch").alias("x"))
+    two = rows.select(F.col("rep").alias("b"), F.struct("n", "sketch").alias("y"))
+    return (
+        pairs.join(one, "a").join(two, "b").where(_may_link("x", "y", threshold)).select("a", "b")
+    )
+
+
+def _may_link(x: str, y: str, threshold: int) -> F.Column:
+    both = F.col(f"{x}.n") + F.col(f"{y}.n")
+    # the overlap that a linked pair of these sizes has at least
+    need = F.floor((both * threshold + (100 + threshold - 1)) / (100 + threshold))
+    bits = _differing_bits(f"{x}.sketch", f"{y}.sketch")
+    return (F.least(f"{x}.n", f"{y}.n") >= need) & (bits <= both - need * 2)
+
+
 def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs`` (``doc_id``,
     ``text``): the smallest ``doc_id`` that links reach."""
-    rows, folder = written(incidence(docs, n, threshold), "incidence")
+    spark = docs.sparkSession
+    folders: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out, folder = written(df, name)
+        folders.append(folder)
+        return out
+
+    rows = keep(incidence(docs, n, threshold), "incidence")
     known = rows.where("n > 0 and doc_id is not null")
 
     # equal sets are one row, named by its smallest document
-    sets, sets_folder = written(
-        known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "sets"
-    )
+    sets = keep(known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "sets")
+    names = sets.groupBy("h1").agg(F.min("rep").alias("rep"))
 
-    # rows that share a number: the smallest set hash of each number and the others
+    # rows that share a number
     entries = known.select(F.explode("numbers").alias("number"), "h1").repartition(F.col("number"))
     shared = (
         entries.groupBy("number")
         .agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
         .where("low < high")
-        .select(F.col("number").alias("shared_number"), "low")
+        .select(F.col("number").alias("shared_number"))
     )
-    buckets, buckets_folder = written(
+    buckets = keep(
         entries.join(shared.hint("shuffle_hash"), F.col("number") == F.col("shared_number"))
-        .select("number", "low", "h1")
-        .distinct(),
+        .select("number", "h1")
+        .distinct()
+        .join(names, "h1")
+        .select("number", "rep"),
         "buckets",
     )
-    names = sets.groupBy("h1").agg(F.min("rep").alias("rep"))
-    stars = buckets.where("h1 > low").select("low", "h1").distinct()
-    pairs, pairs_folder = written(
-        stars.join(names.select(F.col("h1").alias("low"), F.col("rep").alias("b")), "low")
-        .join(names.select("h1", F.col("rep").alias("a")), "h1")
-        .select("a", "b"),
-        "pairs",
+    wanted = maybe_in(buckets, "rep")
+    marks = keep(
+        known.where(wanted(F.col("doc_id")))
+        .select(F.col("doc_id").alias("rep"), "n", "sketch")
+        .dropDuplicates(["rep"]),
+        "sketches",
     )
-    wanted = maybe_in(buckets.select("h1").distinct().join(names, "h1"), "rep")
-    texts, texts_folder = written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(wanted(F.col("doc_id")))
+    texts = keep(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        .where(wanted(F.col("doc_id")))
         .dropDuplicates(["doc_id"]),
         "texts",
     )
-    links, links_folder = written(linked(pairs, texts, n, threshold), "links")
 
-    # what is still in different components of a bucket
-    merged, merged_folder = written(components(links, "a", "b"), "components")
-    members = (
-        buckets.select("number", "h1")
-        .join(names, "h1")
-        .join(merged, F.col("rep") == F.col("node"), "left")
-        .select("number", "rep", F.coalesce("component", "rep").alias("component"))
+    # each row with the smallest row of its buckets: first the one that it meets most often
+    hubs = buckets.groupBy("number").agg(F.min("rep").alias("hub"))
+    met = keep(
+        buckets.join(hubs, "number")
+        .where("rep != hub")
+        .groupBy(F.col("rep").alias("a"), F.col("hub").alias("b"))
+        .agg(F.count("*").alias("times")),
+        "met",
     )
-    open_numbers = (
+    often = W.partitionBy("a").orderBy(F.col("times").desc(), "b")
+    first = met.withColumn("r", F.row_number().over(often)).where("r = 1").select("a", "b")
+    links = keep(linked(_plausible(first, marks, threshold), texts, n, threshold), "links")
+    merged = keep(components(links, "a", "b"), "components")
+
+    def class_of(pairs: DataFrame, column: str, name: str) -> DataFrame:
+        own = merged.select(F.col("node").alias(column), F.col("component").alias(name))
+        return pairs.join(own, column, "left").withColumn(name, F.coalesce(name, column))
+
+    # then the others, unless connected by now
+    second = class_of(class_of(met.join(first, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb")
+    second = second.where("ca != cb").select("a", "b")
+    links = keep(
+        links.union(linked(_plausible(second, marks, threshold), texts, n, threshold)), "links"
+    )
+    merged = keep(components(links, "a", "b"), "components")
+
+    # then all rows of a bucket that are still in different components
+    members = class_of(buckets, "rep", "component")
+    unsettled = (
         members.groupBy("number")
-        .agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        .where("x < y")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low < high")
         .select("number")
     )
-    sizes = known.select("doc_id", "n", "sketch", "numbers").where(wanted(F.col("doc_id")))
-    still, still_folder = written(
-        members.join(open_numbers, "number").join(
-            sizes.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"]), "rep"
-        ),
-        "open",
-    )
+    still = members.join(unsettled, "number").join(marks, "rep")
     x, y = still.alias("x"), still.alias("y")
-    least, both = F.least("x.n", "y.n"), F.col("x.n") + F.col("y.n")
-    need = F.ceil(both * threshold / (100 + threshold))
-    first_shared = F.get(F.array_intersect("x.numbers", "y.numbers"), F.lit(0))
-    rest = (
+    third = (
         x.join(
             y,
             (F.col("x.number") == F.col("y.number"))
             & (F.col("x.rep") > F.col("y.rep"))
             & (F.col("x.component") != F.col("y.component"))
-            & (least >= need)
-            & (_differing_bits("x.sketch", "y.sketch") <= both - need * 2)
-            & (first_shared == F.col("x.number")),
+            & _may_link("x", "y", threshold),
         )
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         .distinct()
+        .join(met, ["a", "b"], "left_anti")
     )
-    tested = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = rest.join(tested, ["a", "b"], "left_anti")
-    more, more_folder = written(links.union(linked(rest, texts, n, threshold)), "links")
-    final, final_folder = written(components(more, "a", "b"), "components")
-
-    by_set = sets.join(final, F.col("rep") == F.col("node"), "left").select(
-        "h1", "h2", "n", F.coalesce("component", "rep").alias("component")
-    )
-    slim = rows.select("doc_id", "n", "h1", "h2")
-    out = slim.join(by_set, ["h1", "h2", "n"], "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("component", "doc_id"))
-        .otherwise(F.col("doc_id"))
-        .alias("component_id"),
+    links = keep(links.union(linked(third, texts, n, threshold)), "links")
+    merged = keep(components(links, "a", "b"), "components")
+
+    by_set = class_of(sets, "rep", "component").select("h1", "h2", "n", "component")
+    out = (
+        rows.select("doc_id", "n", "h1", "h2")
+        .join(by_set, ["h1", "h2", "n"], "left")
+        .select(
+            "doc_id",
+            F.col("n").alias("n_shingles"),
+            F.when(F.col("n") > 0, F.col("component")).alias("component_id"),
+        )
+        .withColumn("component_id", F.coalesce("component_id", "doc_id"))
     )
     done, _ = written(out, "classes")
-    for path in (
-        folder, sets_folder, buckets_folder, pairs_folder, texts_folder, links_folder,
-        merged_folder, still_folder, more_folder, final_folder,
-    ):
-        drop_folder(docs.sparkSession, path)
+    for folder in folders:
+        drop_folder(spark, folder)
     return done
 
 

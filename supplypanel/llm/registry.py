@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .decontamination import op10_decontamination
+from .near_vectors import op7_embedding_near_dedup
 from .ngram_join import op5_ngram_jaccard
 from .packing import op9_best_fit_packing
 from .sharding import op2_sharding
 from .token_counts import op1_token_counts
+from .toxicity import op3_toxicity
 from .url_filter import op4_url_filter
 
 QUERIES = {
@@ -14,8 +16,10 @@ QUERIES = {
     for f in (
         op1_token_counts,
         op2_sharding,
+        op3_toxicity,
         op4_url_filter,
         op5_ngram_jaccard,
+        op7_embedding_near_dedup,
         op9_best_fit_packing,
         op10_decontamination,
     )
