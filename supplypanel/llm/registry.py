@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op10_decontamination
+from .html_extraction import op8_html_extraction
 from .near_vectors import op7_embedding_near_dedup
 from .ngram_join import op5_ngram_jaccard
 from .packing import op9_best_fit_packing
@@ -20,6 +21,7 @@ QUERIES = {
         op4_url_filter,
         op5_ngram_jaccard,
         op7_embedding_near_dedup,
+        op8_html_extraction,
         op9_best_fit_packing,
         op10_decontamination,
     )
