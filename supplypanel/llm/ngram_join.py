@@ -97,34 +97,47 @@ def block_numbers(ngrams: np.ndarray, band: int, most: int) -> np.ndarray:
     return numbers
 
 
-def sketch(ngrams: np.ndarray) -> np.ndarray:
-    """Parities of the n-grams dealt to bits; two sets differ in at least as many n-grams as
-    their sketches differ in bits."""
-    bits = np.bincount(
-        (ngrams % np.uint64(SKETCH_WORDS * 64)).astype(np.int64), minlength=SKETCH_WORDS * 64
-    )
-    return np.packbits((bits & 1).astype(np.uint8)).view(np.int64)
+def parities(ngrams: np.ndarray) -> np.ndarray:
+    """Parities of the n-grams dealt to bits, more bits for a larger set; two sets differ in
+    at least as many n-grams as their parities differ in bits."""
+    bits = SKETCH_WORDS * 64
+    while 3 * bits < 2 * len(ngrams):
+        bits *= 2
+    hits = np.bincount((ngrams % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((hits & 1).astype(np.uint8))
+
+
+def halved(parity: np.ndarray, size: int) -> np.ndarray:
+    """The parities with fewer bits, ``size`` bytes."""
+    while len(parity) > size:
+        half = len(parity) // 2
+        parity = parity[:half] ^ parity[half:]
+    return parity
 
 
 ROWS = (
-    "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch array<bigint>, numbers array<bigint>"
+    "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch array<bigint>, parity binary, "
+    "numbers array<bigint>"
 )
 
 
 def incidence(docs: DataFrame, n: int, threshold: int) -> DataFrame:
-    """One row per document: set size, two hashes of the set, sketch, block numbers."""
+    """One row per document: set size, two hashes of the set, its parities (``sketch``: in a
+    fixed number of bits), block numbers."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8(batch.column(1))
-            sizes, h1, h2, sketches, numbers, ends = [], [], [], [], [], [0]
+            sizes, h1, h2, sketches, parity, numbers, ends = [], [], [], [], [], [], [0]
             for _, _, (hashes,), offsets in word_hashes(texts):
                 for a, b in zip(offsets, offsets[1:]):
                     grams = ngram_set(hashes[a:b], n)
                     sizes.append(len(grams))
                     h1.append(mix(grams).sum(dtype=np.uint64))
                     h2.append((grams * (grams | np.uint64(1))).sum(dtype=np.uint64))
-                    sketches.append(sketch(grams))
+                    bits = parities(grams)
+                    parity.append(bits.tobytes())
+                    sketches.append(halved(bits, SKETCH_WORDS * 8).view(np.int64))
                     own = [block_numbers(grams, *x) for x in bands(len(grams), threshold)] if len(grams) else []
                     numbers += own
                     ends.append(ends[-1] + sum(map(len, own)))
@@ -137,9 +150,10 @@ def incidence(docs: DataFrame, n: int, threshold: int) -> DataFrame:
                     pa.array(np.array(h1, dtype=np.uint64).view(np.int64)),
                     pa.array(np.array(h2, dtype=np.uint64).view(np.int64)),
                     lists(np.concatenate([*sketches, np.zeros(0, np.int64)]), every, pa.int64()),
+                    pa.array(parity, type=pa.binary()),
                     lists(flat, np.array(ends), pa.int64()),
                 ],
-                names=["doc_id", "n", "h1", "h2", "sketch", "numbers"],
+                names=["doc_id", "n", "h1", "h2", "sketch", "parity", "numbers"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, ROWS)
@@ -213,13 +227,28 @@ def _differing_bits(x: str, y: str) -> F.Column:
 
 
 def _plausible(pairs: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
-    """The pairs ``a``, ``b`` whose sizes and sketches (``rep``, ``n``, ``sketch``) do not
-    rule out the threshold."""
-    one = rows.select(F.col("rep").alias("a"), F.struct("n", "sketch").alias("x"))
-    two = rows.select(F.col("rep").alias("b"), F.struct("n", "sketch").alias("y"))
-    return (
-        pairs.join(one, "a").join(two, "b").where(_may_link("x", "y", threshold)).select("a", "b")
-    )
+    """The pairs ``a``, ``b`` whose sizes and parities (``rep``, ``n``, ``sketch``, ``parity``)
+    do not rule out the threshold."""
+    own = F.struct("n", "sketch", "parity")
+    one = rows.select(F.col("rep").alias("a"), own.alias("x"))
+    two = rows.select(F.col("rep").alias("b"), own.alias("y"))
+    both = pairs.join(one, "a").join(two, "b").where(_may_link("x", "y", threshold))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, x, y = batch.columns
+            ok = []
+            for size, p, q in zip(n.to_pylist(), x.to_pylist(), y.to_pylist()):
+                least = min(len(p), len(q))
+                p, q = (halved(np.frombuffer(z, dtype=np.uint8), least) for z in (p, q))
+                differ = int(np.bitwise_count(p ^ q).sum())
+                ok.append(differ <= size - 2 * (-(-size * threshold // (100 + threshold))))
+            mask = pa.array(ok, type=pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
+
+    return both.select(
+        "a", "b", F.col("x.n") + F.col("y.n"), F.col("x.parity"), F.col("y.parity")
+    ).mapInArrow(check, "a bigint, b bigint")
 
 
 def _may_link(x: str, y: str, threshold: int) -> F.Column:
@@ -267,7 +296,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD)
     wanted = maybe_in(buckets, "rep")
     marks = keep(
         known.where(wanted(F.col("doc_id")))
-        .select(F.col("doc_id").alias("rep"), "n", "sketch")
+        .select(F.col("doc_id").alias("rep"), "n", "sketch", "parity")
         .dropDuplicates(["rep"]),
         "sketches",
     )
@@ -312,7 +341,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD)
         .where("low < high")
         .select("number")
     )
-    still = members.join(unsettled, "number").join(marks, "rep")
+    still = members.join(unsettled, "number").join(marks.drop("parity"), "rep")
     x, y = still.alias("x"), still.alias("y")
     third = (
         x.join(
@@ -326,7 +355,9 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD)
         .distinct()
         .join(met, ["a", "b"], "left_anti")
     )
-    links = keep(links.union(linked(third, texts, n, threshold)), "links")
+    links = keep(
+        links.union(linked(_plausible(third, marks, threshold), texts, n, threshold)), "links"
+    )
     merged = keep(components(links, "a", "b"), "components")
 
     by_set = class_of(sets, "rep", "component").select("h1", "h2", "n", "component")
