@@ -79,30 +79,42 @@ def number_rows(
 FILTER_WORDS = 1 << 16
 
 
+def dense(counts: DataFrame, place: str, value: str, size: int, kind: str) -> Column:
+    """A column of ``counts`` as one array of ``size`` values by place, 0 where none is
+    given; a scalar subquery, so that the array is sent once and is no part of plans."""
+    every = counts.sparkSession.range(size).select(
+        F.col("id").cast("int").alias("p"), F.lit(0).cast(kind).alias("v")
+    )
+    own = counts.select(F.col(place).cast("int").alias("p"), F.col(value).cast(kind).alias("v"))
+    # zeros come first, so that a given value is the last of its place
+    filled = own.union(every).groupBy("p").agg(F.max_by("v", F.col("v") != 0).alias("v"))
+    return filled.agg(F.sort_array(F.collect_list(F.struct("p", "v"))).getField("v").alias("a")).scalar()
+
+
 def maybe_in(keys: DataFrame, column: str) -> Callable[[Column], Column]:
     """A test that holds for every value in ``keys`` and for few others.
 
-    The keys are marked in a bitmap of fixed size, so that what reaches the driver and the
-    tasks does not grow with the data; with very many keys the test lets more rows pass.
-    A join that follows keeps results exact.
+    The keys are marked in a bitmap of fixed size, so that what reaches the tasks does not
+    grow with the data; with very many keys the test lets more rows pass. A join that
+    follows keeps results exact.
     """
-    spot = F.pmod(F.xxhash64(F.col(column), F.lit(7)), F.lit(FILTER_WORDS * 64))
-    rows = (
-        keys.select(
-            F.shiftright(spot, 6).cast("int").alias("w"), F.pmod(spot, F.lit(64)).cast("int").alias("b")
+
+    def spot(value: Column) -> Column:
+        return F.pmod(F.xxhash64(value, F.lit(7)), F.lit(FILTER_WORDS * 64))
+
+    marked = (
+        keys.select(spot(F.col(column)).alias("s"))
+        .select(
+            F.shiftright("s", 6).cast("int").alias("w"), F.pmod("s", F.lit(64)).cast("int").alias("b")
         )
         .groupBy("w")
         .agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
-        .collect()
     )
-    bits = [0] * FILTER_WORDS
-    for row in rows:
-        bits[row["w"]] = row["bits"]
-    flat = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<long>")
+    bits = dense(marked, "w", "bits", FILTER_WORDS, "long")
 
     def holds(value: Column) -> Column:
-        at = F.pmod(F.xxhash64(value, F.lit(7)), F.lit(FILTER_WORDS * 64))
-        word = F.get(flat, F.shiftright(at, 6).cast("int"))
+        at = spot(value)
+        word = F.get(bits, F.shiftright(at, 6).cast("int"))
         return F.getbit(word, F.pmod(at, F.lit(64)).cast("int")) == 1
 
     return holds

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op10_decontamination
 from .html_extraction import op8_html_extraction
+from .line_dedup import OP6_SQL, op6_line_dedup
 from .near_vectors import op7_embedding_near_dedup
 from .ngram_join import op5_ngram_jaccard
 from .packing import op9_best_fit_packing
@@ -20,6 +21,7 @@ QUERIES = {
         op3_toxicity,
         op4_url_filter,
         op5_ngram_jaccard,
+        op6_line_dedup,
         op7_embedding_near_dedup,
         op8_html_extraction,
         op9_best_fit_packing,
@@ -27,4 +29,4 @@ QUERIES = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_line_dedup": OP6_SQL}
