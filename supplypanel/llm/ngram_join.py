@@ -247,7 +247,7 @@ def _plausible(pairs: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
     return both.select(
-        "a", "b", (F.col("x.n") + F.col("y.n")).alias("n"), "x.parity", "y.parity"
+        "a", "b", (F.col("x.n") + F.col("y.n")).alias("n"), F.col("x.parity").alias("p"), F.col("y.parity").alias("q")
     ).mapInArrow(check, "a bigint, b bigint")
 
 
