@@ -19,7 +19,8 @@ __all__ = [
     "number_rows",
     "maybe_in",
     "components",
-    "dropping",
+    "dense",
+    "without",
 ]
 
 
@@ -34,14 +35,6 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def dropping(df: DataFrame, name: str, *paths: str) -> DataFrame:
-    """Write ``df``, then delete the scratch folders it was made from."""
-    out, _ = written(df, name)
-    for path in paths:
-        drop_folder(df.sparkSession, path)
-    return out
-
-
 # Groups are numbered in so many independent buckets each.
 NUMBER_BUCKETS = 512
 
@@ -120,6 +113,15 @@ def maybe_in(keys: DataFrame, column: str) -> Callable[[Column], Column]:
     return holds
 
 
+def without(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of ``docs`` whose ``column`` is not in ``ids`` (a written table). Only rows
+    that may be in it are shuffled."""
+    may = F.coalesce(maybe_in(ids, column)(F.col(column)), F.lit(False))
+    gone = ids.select(F.col(column).alias("_gone"))
+    asked = docs.where(may).join(gone, F.col(column) == F.col("_gone"), "left_anti")
+    return docs.where(~may).unionByName(asked)
+
+
 def _state(edges: DataFrame) -> str:
     row = edges.agg(
         F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")

@@ -259,8 +259,11 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFram
     return done, [folder]
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with ``text`` without the removed lines, and ``n_lines`` and ``n_removed``."""
+def dedup_lines(
+    docs: DataFrame, threshold: int = THRESHOLD, names: tuple[str, str] = ("n_lines", "n_removed")
+) -> DataFrame:
+    """``docs`` with ``text`` without the removed lines, and how many lines there were and
+    how many are removed. Only documents that may have such lines are shuffled."""
     removed, folders = removed_lines(docs, threshold)
     by_document = removed.groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(
         F.collect_list("line").alias("_lines")
@@ -283,12 +286,12 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 else F.col(c)
                 for c in docs.columns
             ],
-            F.col("_n").alias("n_lines"),
-            F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_removed"),
+            F.col("_n").alias(names[0]),
+            F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias(names[1]),
         )
     )
     same = counted.where(~concerned).select(
-        *docs.columns, F.col("_n").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")
+        *docs.columns, F.col("_n").alias(names[0]), F.lit(0).cast("long").alias(names[1])
     )
     return changed.unionByName(same)
 

@@ -312,34 +312,37 @@ def _untrained(truth: np.ndarray) -> Model:
     return Model(np.zeros((BUCKETS, 1)), np.zeros((1, FILTERS * sum(WIDTHS))), none, none, 0.0, flat=share)
 
 
-def score_documents(docs: DataFrame, model: Model, keep: Sequence[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``score`` and ``predicted`` behind them."""
+def score_documents(
+    docs: DataFrame, model: Model, keep: Sequence[str], names: tuple[str, str] = ("score", "predicted")
+) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with the score and the prediction behind them."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((model, model.projection(), _language_of_bucket()))
-    source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
+    read = list(dict.fromkeys([*keep, "text"]))
+    inside = [f"c{i}" for i in range(len(read))]
+    source = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(read, inside, strict=True)])
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
     schema = ", ".join([*(f"c{i} {k}" for i, k in enumerate(kinds)), "score double, predicted int"])
+    text, n = read.index("text"), len(keep)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, projection, of_bucket = sent.value
         for batch in batches:
             values = []
-            for _, stop, arrays, offsets in word_hashes(utf8(batch.column(len(keep))), True, PREFIXES):
-                rows = _buckets(arrays)
+            for _, _, arrays, offsets in word_hashes(utf8(batch.column(text)), True, PREFIXES):
                 # long runs in portions of texts, so that memory stays bounded
-                values.append(_in_portions(own, projection, of_bucket, rows, offsets))
+                values.append(_in_portions(own, projection, of_bucket, _buckets(arrays), offsets))
             flat = np.concatenate([*values, np.zeros(0)])
             if own.flat is not None:
                 flat[:] = own.flat
-            columns = [batch.column(i) for i in range(len(keep))]
-            names = [f"c{i}" for i in range(len(keep))]
+            found = [pa.array(flat), pa.array((flat >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(flat), pa.array((flat >= 0.5).astype(np.int32))],
-                names=[*names, "score", "predicted"],
+                [*batch.columns[:n], *found], names=[*inside[:n], "score", "predicted"]
             )
 
     scored = source.mapInArrow(score, schema)
-    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "score", "predicted")
+    own_names = [F.col(i).alias(c) for c, i in zip(keep, inside)]
+    return scored.select(*own_names, F.col("score").alias(names[0]), F.col("predicted").alias(names[1]))
 
 
 PORTION = 60_000
