@@ -290,11 +290,12 @@ def blocks(tree: list[Node], wrapper: list) -> list[str]:
 
     def walk(nodes: list[Node], items: list, level: int) -> None:
         flat = _flat(items)
-        at = 0
+        at = -1
         for node in nodes:
             own = None
-            # the expression goes on at the same item (repeated), a later or an earlier one
-            for k in (*range(at, len(flat)), *range(at)):
+            # the expression goes on at the same item (if repeated), a later, an earlier one
+            again = (at,) if at >= 0 and flat[at][0] != TEXT and flat[at][2] else ()
+            for k in (*again, *range(at + 1, len(flat)), *range(at + 1)):
                 if flat[k][0] == node[0]:
                     own, at = flat[k], k
                     break
