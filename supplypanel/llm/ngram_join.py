@@ -12,9 +12,8 @@ Two documents link if their sets of word 4-grams have a Jaccard similarity of at
   block are multiplied. Rows with more than ``SPARE`` empty blocks may agree in empty ones
   only; they have further numbers, one for each choice of ``SPARE + 1`` empty blocks.
 * Equal rows are one row. Of the rows that agree in a block, each is first paired with the
-  smallest, beginning with the one it meets most often; after links merged what they could,
-  the others are paired unless they are connected already. Pairs are left out whose sizes
-  or parity sketches prove too many differences.
+  smallest; after links merged what they could, the others are paired unless they are
+  connected already. Pairs are left out whose sizes or parities prove too many differences.
 * For the pairs left, overlap counts accumulate block by block over the sorted n-grams, and
   a pair is discarded as soon as the size-derived bound cannot be met any more.
 
@@ -35,7 +34,6 @@ import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 
 from .common import components, drop_folder, maybe_in, table, written
 from .words import lists, mix, utf8, word_hashes
@@ -307,32 +305,22 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD)
         "texts",
     )
 
-    # each row with the smallest row of its buckets: first the one that it meets most often
+    # each row with the smallest row of its buckets
     hubs = buckets.groupBy("number").agg(F.min("rep").alias("hub"))
     met = keep(
         buckets.join(hubs, "number")
         .where("rep != hub")
-        .groupBy(F.col("rep").alias("a"), F.col("hub").alias("b"))
-        .agg(F.count("*").alias("times")),
+        .select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+        .distinct(),
         "met",
     )
-    often = W.partitionBy("a").orderBy(F.col("times").desc(), "b")
-    first = met.withColumn("r", F.row_number().over(often)).where("r = 1").select("a", "b")
-    links = keep(linked(_plausible(first, marks, threshold), texts, n, threshold), "links")
+    links = keep(linked(_plausible(met, marks, threshold), texts, n, threshold), "links")
     merged = keep(components(links, "a", "b"), "components")
 
     def class_of(pairs: DataFrame, column: str, name: str) -> DataFrame:
         own = merged.select(F.col("node").alias(column), F.col("component").alias(name))
         return pairs.join(own, column, "left").withColumn(name, F.coalesce(name, column))
 
-    # then the others, unless connected by now
-    second = class_of(class_of(met.join(first, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb")
-    second = second.where("ca != cb").select("a", "b")
-    links = keep(
-        links.union(linked(_plausible(second, marks, threshold), texts, n, threshold)), "links"
-    )
-    merged = keep(components(links, "a", "b"), "components")
-
     # then all rows of a bucket that are still in different components
     members = class_of(buckets, "rep", "component")
     unsettled = (
