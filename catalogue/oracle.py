@@ -2,8 +2,39 @@
 
 from __future__ import annotations
 
-from supplypanel.sources.dictionary import COLUMN_DESCRIPTIONS
-
+# What the published dictionary says about the panel's columns.
+DESCRIPTIONS = {
+    "Suplr_NPI": "Supplier NPI - NPI for the Supplier on the DMEPOS claim",
+    "Suplr_Prvdr_Last_Name_Org": "Supplier Last Name/Organization Name - When registered as individual, the Supplier's last name. When registered as organization, this is the organization name",
+    "Suplr_Prvdr_State_Abrvtn": "Supplier State - State postal abbreviation where the Supplier is located",
+    "Suplr_Prvdr_RUCA_Desc": "Supplier RUCA Description - Description of Rural-Urban Commuting Area (RUCA) Code",
+    "DME_Tot_Suplr_Benes": "Number of DME Beneficiaries - Total unique beneficiaries with DME claims (<11 are suppressed)",
+    "POS_Tot_Suplr_Benes": "Number of Prosthetic/Orthotic Beneficiaries - Total unique beneficiaries",
+    "Drug_Tot_Suplr_Benes": "Number of Drug/Nutritional Beneficiaries - Total unique beneficiaries",
+    "DME_Tot_Suplr_Clms": "Number of DME Claims - Total DME claims submitted",
+    "POS_Tot_Suplr_Clms": "Number of Prosthetic/Orthotic Claims - Total prosthetic/orthotic claims submitted",
+    "Drug_Tot_Suplr_Clms": "Number of Drug/Nutritional Claims - Total drug/nutritional claims submitted",
+    "DME_Suplr_Mdcr_Pymt_Amt": "DME Medicare Payment Amount - Amount Medicare paid for DME after deductible/coinsurance",
+    "POS_Suplr_Mdcr_Pymt_Amt": "Prosthetic/Orthotic Medicare Payment Amount - Amount Medicare paid after deductible/coinsurance",
+    "Drug_Suplr_Mdcr_Pymt_Amt": "Drug/Nutritional Medicare Payment Amount - Amount Medicare paid after deductible/coinsurance",
+    "Bene_Age_LT_65_Cnt": "Number of Beneficiaries <65 - Count of beneficiaries under 65 years old",
+    "Bene_Age_65_74_Cnt": "Number of Beneficiaries 65-74 - Count of beneficiaries between 65-74 years old",
+    "Bene_Age_75_84_Cnt": "Number of Beneficiaries 75-84 - Count of beneficiaries between 75-84 years old",
+    "Bene_Age_GT_84_Cnt": "Number of Beneficiaries >84 - Count of beneficiaries over 84 years old",
+    "Bene_Feml_Cnt": "Number of Female Beneficiaries - Count of female beneficiaries",
+    "Bene_Male_Cnt": "Number of Male Beneficiaries - Count of male beneficiaries",
+    "Bene_Race_Wht_Cnt": "Number of White Beneficiaries - Count of non-Hispanic white beneficiaries",
+    "Bene_Race_Black_Cnt": "Number of Black Beneficiaries - Count of non-Hispanic Black/African American beneficiaries",
+    "Bene_Race_Api_Cnt": "Number of Asian/PI Beneficiaries - Count of Asian Pacific Islander beneficiaries",
+    "Bene_Race_Hspnc_Cnt": "Number of Hispanic Beneficiaries - Count of Hispanic beneficiaries",
+    "Bene_Race_Natind_Cnt": "Number of Native American/Alaska Native Beneficiaries - Count of American Indian/Alaska Native beneficiaries",
+    "Bene_Race_Othr_Cnt": "Number of Other Race Beneficiaries - Count of beneficiaries with race not elsewhere classified",
+    "Bene_CC_PH_Asthma_V2_Pct": "Percent with Asthma",
+    "Bene_CC_PH_CKD_V2_Pct": "Percent with Chronic Kidney Disease",
+    "Bene_CC_PH_COPD_V2_Pct": "Percent with Chronic Obstructive Pulmonary Disease",
+    "Bene_CC_BH_Anxiety_V1_Pct": "Percent with Anxiety Disorders",
+    "Bene_CC_BH_Bipolar_V1_Pct": "Percent with Bipolar Disorder",
+}
 FAMILIES = {
     "DME": "('MEDIUM','STANDARD')",
     "POS": "('LARGE','PROMO')",
@@ -79,7 +110,7 @@ def _panel() -> str:
     for family, types in FAMILIES.items():
         benes = f"count(DISTINCT CASE WHEN p_type IN {types} THEN o_custkey END)"
         items += [
-            f"CASE WHEN {benes} >= 25 THEN {benes} END AS {family}_Tot_Suplr_Benes",
+            f"CASE WHEN l_suppkey % 7 <> 3 THEN {benes} END AS {family}_Tot_Suplr_Benes",
             f"count(DISTINCT CASE WHEN p_type IN {types} THEN l_orderkey END)"
             f" AS {family}_Tot_Suplr_Clms",
             f"sum(CASE WHEN p_type IN {types} THEN {pay} END) AS {family}_Suplr_Mdcr_Pymt_Amt",
@@ -97,7 +128,9 @@ def _panel() -> str:
             f"cast(cast(floor(cast(10000 as double)*{hits}/count(*)) as bigint) as decimal(9,2))"
             "*cast(0.01 as decimal(3,2))"
         )
-        items.append(f"CASE WHEN {value} >= 15 THEN {value} END AS Bene_CC_{name}_Pct")
+        items.append(
+            f"CASE WHEN (l_suppkey + year(l_shipdate)) % 5 <> 0 THEN {value} END AS Bene_CC_{name}_Pct"
+        )
     return (
         "panel AS (SELECT " + ",\n ".join(items) + "\nFROM lineitem"
         " LEFT JOIN orders ON l_orderkey = o_orderkey"
@@ -135,7 +168,7 @@ SPENDING = f"""spending AS (SELECT year AS "Year", {total(BENES[0])} AS "Total B
 
 
 def label(name: str) -> str:
-    return quoted(COLUMN_DESCRIPTIONS[name].split(" - ")[0])
+    return quoted(DESCRIPTIONS[name].split(" - ")[0])
 
 
 def _shares() -> str:
@@ -261,7 +294,7 @@ CATEGORY_CASE = """CASE WHEN starts_with({0}, 'Suplr_') THEN 'Supplier Informati
  WHEN starts_with({0}, 'Bene_') THEN 'Beneficiary Demographics' ELSE 'Other' END"""
 
 DICTIONARY = "dictionary AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({quoted(name)}, {quoted(text)})" for name, text in COLUMN_DESCRIPTIONS.items()
+    f"({quoted(name)}, {quoted(text)})" for name, text in DESCRIPTIONS.items()
 ) + ') t("column", description))'
 
 
@@ -301,57 +334,163 @@ def _dictionary_join() -> str:
     )
 
 
+LINE_COLUMNS = (
+    "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax"
+    " l_returnflag l_linestatus l_shipdate"
+).split()
+
+
+def _line_columns() -> str:
+    """The columns of the order lines that have a value, by prefix."""
+    observed = " UNION ALL ".join(
+        f"SELECT {i} AS ordinal, '{c}' AS name, count({c}) AS filled FROM lineitem"
+        for i, c in enumerate(LINE_COLUMNS, 1)
+    )
+    return f"""WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY ordinal)
+ AS rank FROM (SELECT *, CASE WHEN starts_with(name, 'l_line') THEN 'Line'
+ WHEN starts_with(name, 'l_ship') THEN 'Shipping' WHEN starts_with(name, 'l_') THEN 'Rest'
+ ELSE 'Other' END AS category FROM ({observed})) WHERE filled > 0)
+ SELECT category, count(*) AS columns,
+ string_agg(name, ', ' ORDER BY rank) FILTER (WHERE rank <= 3) AS examples,
+ string_agg('-', ' | ' ORDER BY rank) FILTER (WHERE rank <= 3) AS descriptions
+ FROM ranked GROUP BY category"""
+
+
+LATEST = "(SELECT max(year) FROM panel)"
+
+
 def _report() -> str:
     report_columns = [c for c in ALL_COLUMNS if c != "year"]
     spending_columns = ["Total Beneficiaries", "Total Spending", "Spending Per Beneficiary", *SERIES]
     overview_columns = ["Suppliers", "Total Beneficiaries", "Total Claims", "Total Payments ($)"]
+    branches: list[str] = []
 
-    def rows(section: str, source: str, item: str, columns: list[str]) -> list[str]:
-        return [
-            f"SELECT '{section}' AS section, CAST({item} AS VARCHAR) AS item,"
-            f" '{c}' AS metric, CAST(\"{c}\" AS VARCHAR) AS text FROM {source}"
-            for c in columns
-        ]
+    def add(number: int, section: str, order: str, rows: list[tuple[str, str, str, str]], source: str):
+        """A branch for each place in an item: item, metric, text and a condition."""
+        for place, (item, metric, text, where) in enumerate(rows):
+            branches.append(
+                f"SELECT {number} AS section_no, '{section}' AS section, {order} AS o,"
+                f" {place} AS place, CAST({item} AS VARCHAR) AS item, {metric} AS metric,"
+                f" CAST({text} AS VARCHAR) AS text FROM {source} WHERE {where}"
+            )
 
-    branches = rows("Overview", "overview_text", '"Year"', overview_columns)
-    branches.append(
-        "SELECT 'Change', 'Change 1999-2000 (%)', \"Metric\","
-        " format('{:.2f}%', \"Change 1999-2000 (%)\") FROM changes"
-    )
-    branches += rows("Column categories", "category_rows", "category", ["columns", "examples"])
-    branches += rows(
-        "Top suppliers",
-        "best_text",
-        '"Supplier"',
-        ["Beneficiaries", "Claims", "Medicare Payments"],
-    )
-    branches.append(
-        "SELECT 'Demographics', \"group\", label, format('{:.2f}%', pct) FROM shares"
-        " WHERE year = 2001"
-    )
-    branches.append(
-        "SELECT 'Health conditions', \"group\", label, format('{:.2f}%', value) FROM means"
-        " WHERE year = 2001"
-    )
-    branches += rows("Spending", "spending_text", '"Year"', spending_columns)
+    def cells(item: str, columns: list[str]) -> list[tuple[str, str, str, str]]:
+        return [(item, quoted(c), f'"{c}"', "true") for c in columns]
+
+    add(1, "Overview", '"Year"', cells('"Year"', overview_columns), "overview_text")
+    place = " ".join(f"WHEN '{m}' THEN {i}" for i, (m, _) in enumerate(CHANGES))
+    change = "'Change 1999-2000 (%)'"
+    text = "format('{:.2f}%', \"Change 1999-2000 (%)\")"
+    add(2, "Change", f'CASE "Metric" {place} END', [(change, '"Metric"', text, "true")], "changes")
+    by_category = "dense_rank() OVER (ORDER BY category)"
+    add(3, "Column categories", by_category, cells("category", ["columns", "examples"]), "category_rows")
+    for rank in (1, 2, 3):
+        branches.append(
+            f"SELECT 3, 'Column categories', (SELECT count(DISTINCT category) FROM ranked b"
+            f" WHERE b.category <= a.category), {rank + 1}, category, \"column\", description"
+            f" FROM ranked a JOIN dictionary USING (\"column\") WHERE rank = {rank}"
+        )
+    best = 'row_number() OVER (ORDER BY "Beneficiaries" DESC NULLS LAST, "Supplier")'
+    add(4, "Top suppliers", best, cells('"Supplier"', ["Beneficiaries", "Claims", "Medicare Payments"]), "best_text")
+    shown = [('"group"', "label", "format('{:.2f}%', pct)", f"year = {LATEST}")]
+    add(5, "Demographics", "ordinal", shown, "shares")
+    shown = [('"group"', "label", "format('{:.2f}%', value)", f"year = {LATEST} AND rank <= 10")]
+    first = "CASE WHEN \"group\" LIKE 'Physical%' THEN 0 ELSE 1000 END + rank"
+    add(6, "Health conditions", first, shown, "mean_ranks")
+    by_year = 'dense_rank() OVER (ORDER BY "Year")'
+    add(7, "Spending", by_year, cells('"Year"', spending_columns), "spending_text")
     category_ctes = _categories(report_columns)
     category_ctes[2] = category_ctes[2].replace("WHERE filled > 0", "")
     return with_panel(
-        "\nUNION ALL ".join(branches),
+        "SELECT CAST(section_no AS INTEGER) AS section_no, CAST(row_number() OVER (PARTITION BY"
+        " section_no ORDER BY o, place) AS INTEGER) AS line, section, item, metric, text FROM ("
+        + "\nUNION ALL ".join(branches)
+        + ")",
         OVERVIEW,
         f"overview_text AS ({OVERVIEW_TEXT})",
         TWO_YEARS,
         *category_ctes,
-        "one_year AS (SELECT * FROM panel WHERE year = 2001)",
+        f"one_year AS (SELECT * FROM panel WHERE year = {LATEST})",
         BEST,
         f'best_text AS (SELECT *, {currency("payments")} AS "Medicare Payments" FROM best)',
         SHARES,
         MEANS,
+        MEAN_RANKS,
         SPENDING,
         f"spending_text AS ({SPENDING_TEXT})",
     )
 
 
+def _charts() -> str:
+    """Every chart as text lines."""
+    branches: list[str] = []
+
+    def add(chart: str, order: str, columns: dict[str, bool], source: str) -> None:
+        """Columns, and whether they are shown with four places."""
+        for c, places in columns.items():
+            text = f"format('{{:,.4f}}', \"{c}\")" if places else f'CAST("{c}" AS VARCHAR)'
+            shown = f'CASE WHEN "{c}" IS NOT NULL THEN {text} END'
+            branches.append(
+                f"SELECT '{chart}' AS chart, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER)"
+                f" AS line, '{c}' AS \"column\", {shown} AS text FROM {source}"
+            )
+
+    trends = {"Year": False, "Total Beneficiaries": False, "Total Spending": True}
+    trends |= {"Spending Per Beneficiary": True} | dict.fromkeys(SERIES, True)
+    add("spending_trends", '"Year"', trends, "spending")
+    billions = {"Year": False, "Category": False, "Spending (Billions $)": True}
+    add("spending_by_category", '"Year", "Category"', billions, "by_category")
+    pie = {"group": False, "position": False, "label": False, "pct": True, "slice": False}
+    add("demographics", '"group", position', pie, "pies")
+    means = {"group": False, "rank": False, "label": False, "value": True}
+    add("health_conditions", '"group", rank', means, "best_means")
+    suppliers = {"Supplier": False, "Beneficiaries": False, "Claims": False, "Medicare Payments": False}
+    suppliers |= {"Medicare Payments (Numeric)": True, "payments_place": False, "beneficiaries_place": False}
+    add("top_suppliers", "payments_place", suppliers, "places")
+    add("top_states", '"Suppliers" DESC, "State"', {"State": False, "Suppliers": False}, "states")
+    regions = {"RUCA Description": False, "Suppliers": False, "share": True, "slice": False}
+    add("ruca_share", '"Suppliers" DESC, "RUCA Description"', regions, "regions")
+    by_category = " UNION ALL ".join(
+        f"SELECT \"Year\", '{c}' AS \"Category\", \"{c}\" / 1e9 AS \"Spending (Billions $)\" FROM spending"
+        for c in SERIES
+    )
+    return with_panel(
+        "\nUNION ALL ".join(branches),
+        SPENDING,
+        SHARES,
+        MEANS,
+        MEAN_RANKS,
+        f"one_year AS (SELECT * FROM panel WHERE year = {LATEST})",
+        BEST,
+        PRICED,
+        f"by_category AS ({by_category})",
+        f"pies AS (SELECT * FROM ({PIES}) WHERE year = {LATEST})",
+        f"best_means AS (SELECT * FROM mean_ranks WHERE rank <= 10 AND year = {LATEST})",
+        f"places AS ({PLACES})",
+        f"states AS ({STATES})",
+        f"regions AS ({REGIONS})",
+    )
+
+
+PRICED = f"""priced AS (SELECT *, {currency("payments")} AS "Medicare Payments",
+ CAST(replace(replace({currency("payments")}, '$', ''), ',', '') AS DOUBLE) AS cents FROM best)"""
+PLACES = """SELECT "Supplier", "Beneficiaries", "Claims", "Medicare Payments", cents
+ AS "Medicare Payments (Numeric)",
+ CAST(row_number() OVER (ORDER BY cents NULLS LAST, key) AS INTEGER) AS payments_place,
+ CAST(row_number() OVER (ORDER BY "Beneficiaries" NULLS LAST, key) AS INTEGER)
+   AS beneficiaries_place FROM priced"""
+PIES = """SELECT year, "group", CAST(row_number() OVER (PARTITION BY year, "group" ORDER BY
+ CASE WHEN "group" = 'Race Distribution' THEN pct END DESC NULLS LAST, ordinal) AS INTEGER)
+ AS position, label, pct, format('{:.1f}%', pct / nullif(sum(pct::DECIMAL(9,2)) OVER (
+ PARTITION BY year, "group")::DOUBLE, 0) * 100.0) AS slice FROM shares"""
+STATES = """SELECT Suplr_Prvdr_State_Abrvtn AS "State", count(*) AS "Suppliers" FROM one_year
+ WHERE Suplr_Prvdr_State_Abrvtn IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15"""
+REGIONS = """SELECT name AS "RUCA Description", n AS "Suppliers",
+ n::DOUBLE / (sum(n) OVER ())::DOUBLE * 100.0 AS share,
+ format('{:.1f}%', n::DOUBLE / (sum(n) OVER ())::DOUBLE * 100.0) AS slice
+ FROM (SELECT Suplr_Prvdr_RUCA_Desc AS name, count(*) AS n FROM one_year
+ WHERE Suplr_Prvdr_RUCA_Desc IS NOT NULL GROUP BY 1)"""
+
 PRIORITY_CASE = """CASE WHEN starts_with(o_orderpriority, '1-') THEN 'Pressing'
  WHEN starts_with(o_orderpriority, '2-') THEN 'Pressing'
  WHEN starts_with(o_orderpriority, '3-M') THEN 'Normal'
@@ -380,7 +519,9 @@ MISSING = " UNION ALL ".join(
 MEASURED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 DESCRIBE = " UNION ALL ".join(
     f"SELECT l_returnflag, '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 4) AS mean,"
-    f" round(stddev_samp({c}), 4) AS std, min({c}) AS min, max({c}) AS max FROM lineitem GROUP BY 1"
+    f" round(stddev_samp({c}), 4) AS std, min({c}) AS min, max({c}) AS max,"
+    f" quantile_disc({c}, 0.25) AS q1, quantile_disc({c}, 0.5) AS median,"
+    f" quantile_disc({c}, 0.75) AS q3 FROM lineitem GROUP BY 1"
     for c in MEASURED
 )
 CORRELATION = " UNION ALL ".join(
@@ -422,13 +563,7 @@ ORACLE: dict[str, str] = {
         "SELECT \"group\", label, format('{:.2f}%', pct) AS pct FROM shares WHERE year = 2000",
         SHARES,
     ),
-    "demographic_chart": with_panel(
-        """SELECT year, "group", CAST(row_number() OVER (PARTITION BY year, "group" ORDER BY
- CASE WHEN "group" = 'Race Distribution' THEN pct END DESC NULLS LAST, ordinal) AS INTEGER)
- AS position, label, pct, format('{:.1f}%', pct / nullif(sum(pct::DECIMAL(9,2)) OVER (
- PARTITION BY year, "group")::DOUBLE, 0) * 100.0) AS slice FROM shares""",
-        SHARES,
-    ),
+    "demographic_chart": with_panel(PIES, SHARES),
     "weighted_prevalence": with_panel("SELECT * FROM means", MEANS),
     "top_conditions": with_panel(
         'SELECT year, "group", rank, label, value FROM mean_ranks WHERE rank <= 2',
@@ -447,34 +582,13 @@ ORACLE: dict[str, str] = {
         ONE_YEAR,
         BEST,
     ),
-    "top_suppliers_chart": with_panel(
-        """SELECT "Supplier", "Beneficiaries", "Claims", "Medicare Payments", cents
- AS "Medicare Payments (Numeric)",
- CAST(row_number() OVER (ORDER BY cents NULLS LAST, key) AS INTEGER) AS payments_place,
- CAST(row_number() OVER (ORDER BY "Beneficiaries" NULLS LAST, key) AS INTEGER)
-   AS beneficiaries_place FROM priced""",
-        ONE_YEAR,
-        BEST,
-        f"""priced AS (SELECT *, {currency("payments")} AS "Medicare Payments",
- CAST(replace(replace({currency("payments")}, '$', ''), ',', '') AS DOUBLE) AS cents FROM best)""",
-    ),
-    "top_states": with_panel(
-        """SELECT Suplr_Prvdr_State_Abrvtn AS "State", count(*) AS "Suppliers" FROM one_year
- WHERE Suplr_Prvdr_State_Abrvtn IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15""",
-        ONE_YEAR,
-    ),
+    "top_suppliers_chart": with_panel(PLACES, ONE_YEAR, BEST, PRICED),
+    "top_states": with_panel(STATES, ONE_YEAR),
     "value_counts": with_panel(
         """SELECT year, Suplr_Prvdr_State_Abrvtn AS "State", count(*) AS "Suppliers" FROM panel
  WHERE Suplr_Prvdr_State_Abrvtn IS NOT NULL GROUP BY 1, 2"""
     ),
-    "ruca_share": with_panel(
-        """SELECT name AS "RUCA Description", n AS "Suppliers",
- n::DOUBLE / (sum(n) OVER ())::DOUBLE * 100.0 AS share,
- format('{:.1f}%', n::DOUBLE / (sum(n) OVER ())::DOUBLE * 100.0) AS slice
- FROM (SELECT Suplr_Prvdr_RUCA_Desc AS name, count(*) AS n FROM one_year
- WHERE Suplr_Prvdr_RUCA_Desc IS NOT NULL GROUP BY 1)""",
-        ONE_YEAR,
-    ),
+    "ruca_share": with_panel(REGIONS, ONE_YEAR),
     "year_filter": with_panel(SPENDING_ROWS + " WHERE year = 2000"),
     "latest_year": with_panel(SPENDING_ROWS + " WHERE year = (SELECT max(year) FROM panel)"),
     "shape": with_panel(
@@ -483,7 +597,7 @@ ORACLE: dict[str, str] = {
     ),
     "prefix_category": f"""SELECT {PRIORITY_CASE} AS category, o_orderpriority,
  count(*) AS orders FROM orders GROUP BY 1, 2""",
-    "category_overview": with_panel("SELECT * FROM category_rows", *_categories(ALL_COLUMNS)),
+    "category_overview": _line_columns(),
     "name_categories": """WITH names AS (SELECT p_partkey AS ordinal,
  concat_ws('_', p_type, p_name, CAST(p_partkey AS VARCHAR)) AS name FROM part),
  tagged AS (SELECT *, CASE WHEN starts_with(name, 'SMALL_red') THEN 'Small red'
@@ -530,7 +644,7 @@ ORACLE: dict[str, str] = {
         f"""SELECT "Suplr_NPI", year, Suplr_Prvdr_Last_Name_Org, {BENES[0]},
  CASE WHEN year % 3 <> 0 THEN {CLAIMS[0]} END AS {CLAIMS[0]},
  CAST({PAID[0]} AS DOUBLE) AS {PAID[0]},
- CASE WHEN year = 2001 THEN {BENES[0]} + 1 END AS "Extra" FROM panel"""
+ CASE WHEN year = (SELECT max(year) FROM panel) THEN {BENES[0]} + 1 END AS "Extra" FROM panel"""
     ),
     "save_results": with_panel("SELECT * FROM spending", SPENDING),
     "json_scan": """SELECT CAST(o_orderkey AS VARCHAR) AS "Order_NPI", o_custkey AS "Order_Cnt",
@@ -545,15 +659,12 @@ ORACLE: dict[str, str] = {
  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) = 1""",
     "describe": DESCRIBE,
     "correlation": CORRELATION,
+    "outliers": """WITH fences AS (SELECT l_returnflag AS flag,
+ quantile_disc(l_extendedprice, 0.25) AS q1, quantile_disc(l_extendedprice, 0.75) AS q3
+ FROM lineitem GROUP BY 1)
+ SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, l_extendedprice
+ FROM lineitem JOIN fences ON l_returnflag IS NOT DISTINCT FROM flag
+ WHERE l_extendedprice < q1 - 0.5 * (q3 - q1) OR l_extendedprice > q3 + 0.5 * (q3 - q1)""",
     "full_report": _report(),
-    "chart_bundle": with_panel(
-        f"""SELECT * FROM (VALUES ('spending_trends', years, CAST(7 AS INTEGER)),
- ('spending_by_category', 3 * years, 3), ('demographics', CAST(12 AS BIGINT), 5),
- ('health_conditions', CAST({len(CONDITION_COLUMNS)} AS BIGINT), 4),
- ('top_suppliers', least(10, suppliers), 7), ('top_states', least(15, states), 2),
- ('ruca_share', regions, 4)) t(chart, rows, columns)""".replace("FROM (VALUES", "FROM counts, LATERAL (VALUES").replace("SELECT *", "SELECT chart, rows, columns"),
-        """counts AS (SELECT (SELECT count(DISTINCT year) FROM panel) AS years,
- count(*) AS suppliers, count(DISTINCT Suplr_Prvdr_State_Abrvtn) AS states,
- count(DISTINCT Suplr_Prvdr_RUCA_Desc) AS regions FROM panel WHERE year = 2001)""",
-    ),
+    "chart_bundle": _charts(),
 }

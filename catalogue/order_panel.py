@@ -14,7 +14,7 @@ out of the plan.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +41,6 @@ CONDITION_BY_PRIORITY = {
     "3-MEDIUM": "PH_COPD_V2",
 }
 CONDITION_BY_RETURN_FLAG = {"R": "BH_Anxiety_V1", "A": "BH_Bipolar_V1"}
-FEWEST_BENES = 25  # smaller counts are suppressed to NULL
-LOWEST_PERCENT = 15  # smaller condition percentages are suppressed to NULL
 
 TYPE_BIT = {part_type: 1 << i for i, part_type in enumerate(RACE_BY_PART_TYPE)}
 STATUS_BIT = {status: 1 << (len(TYPE_BIT) + i) for i, status in enumerate(GENDER_BY_LINE_STATUS)}
@@ -86,10 +84,14 @@ def parquet_tables(spark: SparkSession, folder: str) -> Reader:
 
 
 def order_panel(
-    tables: Reader, columns: Iterable[str] = PANEL_COLUMNS, years: Sequence[int] | None = None
+    tables: Reader,
+    columns: Iterable[str] = PANEL_COLUMNS,
+    years: Sequence[int] | None = None,
+    missing: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Derive the panel columns asked for; ``years`` limits the scan to ship dates in
-    those years."""
+    those years. ``missing`` maps a column to a condition on the keys under which it is
+    NULL, as published files leave values out."""
     columns = set(columns)
     unknown = columns - set(PANEL_COLUMNS)
     if unknown:
@@ -121,6 +123,8 @@ def order_panel(
     if asked(SUPPLIER_COLUMNS):
         panel = panel.join(_suppliers(tables, wanted), "Suplr_NPI", "left")
     shown = _shown()
+    for c, condition in (missing or {}).items():
+        shown[c] = f"CASE WHEN {condition} THEN NULL ELSE {shown.get(c, c)} END"
     return panel.selectExpr(*[f"{shown.get(c, c)} AS {c}" for c in wanted])
 
 
@@ -272,9 +276,8 @@ def _regroup(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _shown() -> dict[str, str]:
-    """Panel columns that are more than their sum: payments, suppressed counts and
-    percentages."""
-    shown = {c: f"CASE WHEN {c} >= {FEWEST_BENES} THEN {c} END" for c in BENE_COLUMNS}
+    """Panel columns that are more than their sum: payments and percentages."""
+    shown = {}
     for family, c in zip(FAMILY_BITS, PAYMENT_COLUMNS):
         shown[c] = (
             f"cast(cast({family}_dollars AS decimal(24,4))"
@@ -283,6 +286,5 @@ def _shown() -> dict[str, str]:
     for c in (*PRIORITY_COLUMNS, *RETURN_COLUMNS):
         # Whole hundredths of a percent, as an exact decimal.
         hundredths = f"cast(floor(cast(10000 AS double) * {c} / lines) AS bigint)"
-        percent = f"cast({hundredths} AS decimal(9,2)) * cast(0.01 AS decimal(3,2))"
-        shown[c] = f"CASE WHEN {percent} >= {LOWEST_PERCENT} THEN {percent} END"
+        shown[c] = f"cast({hundredths} AS decimal(9,2)) * cast(0.01 AS decimal(3,2))"
     return shown

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalogue import order_panel as op
 from supplypanel.functions.arithmetic import percent_of, total
 from supplypanel.functions.parsing import blank_to_null, coerce_money, parse_currency
 from supplypanel.functions.text import (
@@ -19,13 +20,11 @@ from supplypanel.functions.text import (
     year_suffix,
 )
 from supplypanel.operators import categories, change, charts, measures, profile, topk
-from supplypanel.operators.selection import select_latest_year, select_year
+from supplypanel.operators.selection import latest_year_of, select_year
 from supplypanel.plans import report, sinks
-from supplypanel.session import scratch_folder, settle
-from supplypanel.sources import order_panel as op
+from supplypanel.session import drop_folder, scratch_folder, settle
 from supplypanel.sources.dictionary import dictionary_join, dictionary_table
 from supplypanel.sources.yearly import (
-    YearlyPanel,
     load_panel,
     read_table,
     read_text_table,
@@ -38,8 +37,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 CHANGE_YEARS = (1999, 2000)
 ONE_YEAR = 2000
-YEARS = range(1995, 2002)
 FOLDER_PER_YEAR = "{root}/year={year}"
+# Published files leave values out; here by rules on the keys.
+MISSING = {c: "Suplr_NPI % 7 = 3" for c in op.BENE_COLUMNS} | {
+    c: "(Suplr_NPI + year) % 5 = 0" for c in (*op.PRIORITY_COLUMNS, *op.RETURN_COLUMNS)
+}
+LINE_RULES = (("l_line", "Line"), ("l_ship", "Shipping"), ("l_", "Rest"))
 PRIORITY_RULES = (("1-", "Pressing"), ("2-", "Pressing"), ("3-M", "Normal"), ("3", "Never"))
 
 DEMOGRAPHICS = op.AGE_COLUMNS + op.GENDER_COLUMNS + op.RACE_COLUMNS
@@ -54,7 +57,7 @@ def panel(
     columns: Iterable[str],
     years: Sequence[int] | None = None,
 ) -> DataFrame:
-    return op.order_panel(op.parquet_tables(spark, folder), columns, years)
+    return op.order_panel(op.parquet_tables(spark, folder), columns, years, MISSING)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -192,13 +195,13 @@ def ruca_share(spark, folder):
 
 
 def year_filter(spark, folder):
-    rows = select_year(panel(spark, folder, SPENDING), ONE_YEAR, YEARS)
-    return payments_as_double(rows)
+    rows = panel(spark, folder, SPENDING, [ONE_YEAR])
+    return payments_as_double(select_year(rows, ONE_YEAR))
 
 
 def latest_year(spark, folder):
-    years = table(spark, folder, "lineitem").select(F.year("l_shipdate").alias("year"))
-    return payments_as_double(select_latest_year(panel(spark, folder, SPENDING), years))
+    latest = latest_year_of(table(spark, folder, "lineitem"), "l_shipdate")
+    return payments_as_double(panel(spark, folder, SPENDING, [latest] if latest else []))
 
 
 def panel_shape(spark, folder):
@@ -216,9 +219,9 @@ def prefix_categories(spark, folder):
 
 
 def category_overview(spark, folder):
-    observed = categories.observed_columns(panel(spark, folder, op.PANEL_COLUMNS))
-    names = settle(observed, "observed_columns")
-    overview = categories.category_overview(names, dictionary_table(spark))
+    """The columns of the order lines that have a value anywhere, by prefix; one pass."""
+    observed = categories.observed_columns(table(spark, folder, "lineitem"))
+    overview = categories.category_overview(observed, dictionary_table(spark), LINE_RULES)
     return overview.withColumn("descriptions", F.array_join("descriptions", " | ", "-"))
 
 
@@ -364,28 +367,32 @@ def csv_scan(spark, folder):
 def written_panel(spark, folder, name):
     """The derived panel as one folder of delimited text per year."""
     path = scratch_folder(spark, name)
-    rows = panel(spark, folder, op.PANEL_COLUMNS)
+    rows = panel(spark, folder, op.PANEL_COLUMNS).hint("rebalance", "year")
     rows.write.partitionBy("year").option("header", True).option("escape", '"').csv(path)
     return path
 
 
 def panel_load(spark, folder):
     path = written_panel(spark, folder, "panel_load")
-    years = range(YEARS.start, YEARS.stop + 1)  # the last one has no file
-    return load_panel(spark, path, years, FOLDER_PER_YEAR).data
+    loaded = load_panel(spark, path, template=FOLDER_PER_YEAR).data
+    out = settle(loaded, "panel_load")
+    drop_folder(spark, path)
+    return out
 
 
 def panel_union(spark, folder):
-    """Yearly tables with differing columns and column order, stacked by name."""
+    """Yearly tables with differing columns and column order, stacked by name. The panel is
+    derived and written once, and every year reads its own part."""
     rows = panel(spark, folder, (*OVERVIEW, topk.SUPPLIER_NAME))
+    stored = store_panel(rows, scratch_folder(spark, "panel_union"))
     yearly = {}
-    for year in YEARS:
-        one = rows.where(F.col("year") == year).drop("year")
+    for year in stored.years:
+        one = stored.year(year).drop("year")
         if year % 2:
             one = one.select(*reversed(one.columns))
         if year % 3 == 0:
             one = one.drop(measures.CLAIMS)
-        if year == YEARS[-1]:
+        if year == stored.latest_year:
             one = one.withColumn("Extra", F.col(measures.BENES) + 1)
         yearly[year] = one
     return payments_as_double(stack_years(yearly))
@@ -458,30 +465,28 @@ def outliers(spark, folder):
 # Everything together.
 
 
-def stored_panel(spark, folder, name):
-    rows = panel(spark, folder, op.PANEL_COLUMNS)
-    return store_panel(YearlyPanel(rows, tuple(YEARS)), scratch_folder(spark, name))
-
-
 def full_report(spark, folder):
-    """All printed sections as text lines, from a panel that is derived once, written by
-    year, and read back with only the columns and years each section needs."""
-    stored = stored_panel(spark, folder, "report")
-    return report.report_lines(report.report_tables(stored, CHANGE_YEARS).tables)
+    """The report from yearly files of text to saved tables, and these as text lines."""
+    files = written_panel(spark, folder, "files")
+    store, out = scratch_folder(spark, "store"), scratch_folder(spark, "report")
+    made = report.run_report(
+        spark, files, out=out, store=store, change_years=CHANGE_YEARS, template=FOLDER_PER_YEAR
+    )
+    saved = sinks.read_results(spark, {name: f"{out}/{name}" for name in made.tables})
+    lines = settle(report.report_lines(saved), "report_lines")
+    for path in (files, store, out):
+        drop_folder(spark, path)
+    return lines
 
 
 def chart_bundle(spark, folder):
-    """Every chart table, reduced to its row count, column count and name."""
-    stored = stored_panel(spark, folder, "charts")
-    bundle = charts.chart_tables(stored.data, stored.latest())
-    shapes = [
-        shape(chart).select(F.lit(name).alias("chart"), "rows", "columns")
-        for name, chart in bundle.items()
-    ]
-    result = shapes[0]
-    for other in shapes[1:]:
-        result = result.unionByName(other)
-    return result
+    """Every chart table as text lines, from a panel that is derived once, written by year,
+    and read back with only the columns and years each chart needs."""
+    path = scratch_folder(spark, "charts")
+    stored = store_panel(panel(spark, folder, op.PANEL_COLUMNS), path)
+    lines = settle(report.chart_lines(charts.chart_tables(stored.data, stored.latest())), "chart_lines")
+    drop_folder(spark, path)
+    return lines
 
 
 QUERIES: dict[str, Query] = {

@@ -35,7 +35,7 @@ NULL_TOKENS = (
 # Accepts 7, " 7 ", 1e3, .5, 5., inf, -Infinity. Spark's own cast would also take
 # 1d, 1f and nan, so the text is checked before it is cast.
 NUMBER_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))\s*$"
-WHOLE_TEXT = r"^\s*[+-]?\d{1,18}(\.0*)?\s*$"
+WHOLE_TEXT = r"^\s*[+-]?\d+(\.0*)?\s*$"
 
 # A column is money when its name contains one of these.
 MONEY_MARKS = ("Pymt", "Amt")
@@ -64,7 +64,7 @@ def parse_count(c: Column | str) -> Column:
     number = parse_number(c)
     refused = F.raise_error(F.concat(F.lit("not a whole count: "), c)).cast("bigint")
     return (
-        F.when(c.rlike(WHOLE_TEXT), c.try_cast("decimal(20,0)").cast("bigint"))
+        F.when(c.rlike(WHOLE_TEXT), F.regexp_replace(F.trim(c), r"\.0*$", "").cast("bigint"))
         .when(number % 1 != 0, refused)
         .otherwise(number.cast("bigint"))
     )

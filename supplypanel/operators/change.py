@@ -29,16 +29,27 @@ def pct_change(
     df: DataFrame,
     columns: Mapping[str, str],
     order_by: str,
-    partition_by: Sequence[str] = (),
+    partition_by: Sequence[str],
     fill: bool = True,
 ) -> DataFrame:
     """Percent change of each column from the previous row that exists.
 
     ``columns`` maps an input column to the new one. With ``fill`` a missing value
-    stands for the last one before it. Without ``partition_by`` all rows meet in one
-    task: for yearly totals only. On a large panel partition by the entity, whose rows
-    are as many as there are years.
+    stands for the last one before it. ``partition_by`` names the entity, whose rows are
+    as many as there are years; see ``yearly_changes`` for totals over all.
     """
+    if not partition_by:
+        raise ValueError("without keys all rows would meet in one task")
+    return _changes(df, columns, order_by, partition_by, fill)
+
+
+def _changes(
+    df: DataFrame,
+    columns: Mapping[str, str],
+    order_by: str,
+    partition_by: Sequence[str],
+    fill: bool,
+) -> DataFrame:
     ordered = Window.partitionBy(*partition_by).orderBy(order_by)
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     current = {c: f"{new}|now" for c, new in columns.items()}
@@ -86,5 +97,5 @@ def two_year_change(
 
 
 def yearly_changes(spending: DataFrame) -> DataFrame:
-    """Spending per year with the three change columns appended."""
-    return pct_change(spending, SPENDING_CHANGES, "Year")
+    """Spending per year, one row for each year, with the three change columns appended."""
+    return _changes(spending, SPENDING_CHANGES, "Year", (), True)

@@ -77,9 +77,12 @@ def top_suppliers_chart(df: DataFrame, n: int = 10) -> DataFrame:
     """The n suppliers with the most beneficiaries, with their place by payments and by
     beneficiaries, smallest first. The choice is by beneficiaries in both cases, and
     payments are whole cents, as read back from their display text."""
-    chosen = top_suppliers_raw(df, n).withColumn(
-        "Medicare Payments", format_currency("payments")
-    )
+    return suppliers_chart(top_suppliers_raw(df, n))
+
+
+def suppliers_chart(best: DataFrame) -> DataFrame:
+    """The chart of the rows of ``top_suppliers_raw``."""
+    chosen = best.withColumn("Medicare Payments", format_currency("payments"))
     chosen = chosen.withColumn(
         "Medicare Payments (Numeric)", parse_currency("Medicare Payments")
     )
@@ -100,14 +103,14 @@ def top_suppliers_chart(df: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def ruca_share(df: DataFrame) -> DataFrame:
+def ruca_share(df: DataFrame, weight: str | None = None) -> DataFrame:
     """Suppliers per rural-urban class and their share; no rows when the table does not
     have the class."""
     if RUCA not in df.columns:
         return df.sparkSession.createDataFrame(
             [], "`RUCA Description` string, Suppliers bigint, share double, slice string"
         )
-    counts = value_shares(df, RUCA, "RUCA Description", "Suppliers")
+    counts = value_shares(df, RUCA, "RUCA Description", "Suppliers", weight=weight)
     return counts.withColumn("slice", format_percent("share", 1))
 
 

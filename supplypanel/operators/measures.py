@@ -165,13 +165,15 @@ def value_counts(
     by: Sequence[str] = (),
     value_name: str | None = None,
     count_name: str = "count",
+    weight: str | None = None,
 ) -> DataFrame:
-    """Rows per value, missing values left out. Unordered; see ``topk`` for ranking."""
+    """Rows per value, missing values left out. Unordered; see ``topk`` for ranking. Where
+    rows are counts already, ``weight`` names the column that has them."""
     require_columns(df, [column])
     return (
         df.where(F.col(column).isNotNull())
         .groupBy(*by, F.col(column).alias(value_name or column))
-        .agg(F.count(F.lit(1)).alias(count_name))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias(count_name))
     )
 
 
@@ -181,10 +183,13 @@ def value_shares(
     value_name: str | None = None,
     count_name: str = "count",
     share_name: str = "share",
+    weight: str | None = None,
 ) -> DataFrame:
     """Rows per value and their percent of all rows that have a value. The total is a
     scalar subquery over the counts, which are shuffled once for both, so the values are
     never gathered in one task."""
-    counts = value_counts(df, column, value_name=value_name, count_name=count_name)
+    counts = value_counts(
+        df, column, value_name=value_name, count_name=count_name, weight=weight
+    )
     whole = counts.select(F.sum(count_name)).scalar()
     return counts.withColumn(share_name, safe_div(F.col(count_name), whole) * F.lit(100.0))

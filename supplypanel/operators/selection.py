@@ -35,6 +35,13 @@ def select_latest_year(df: DataFrame, years: DataFrame | None = None) -> DataFra
     return df.where(F.col("year") == source.select(F.max("year")).scalar())
 
 
+def latest_year_of(df: DataFrame, column: str) -> int | None:
+    """The year of the latest date in a column, found from file statistics or one scan of
+    that column; None without rows. Known while a plan is built, it can limit a scan."""
+    latest = df.agg(F.max(column)).first()[0]
+    return None if latest is None else latest.year
+
+
 def to_rows(
     df: DataFrame,
     by: Sequence[str],

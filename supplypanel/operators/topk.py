@@ -57,7 +57,12 @@ def top_suppliers_raw(df: DataFrame, n: int = 10, key: str = SUPPLIER_KEY) -> Da
 
 def top_suppliers(df: DataFrame, n: int = 10, key: str = SUPPLIER_KEY) -> DataFrame:
     """The suppliers with the most beneficiaries, with payments as display text."""
-    return top_suppliers_raw(df, n, key).select(
+    return suppliers_display(top_suppliers_raw(df, n, key))
+
+
+def suppliers_display(best: DataFrame) -> DataFrame:
+    """The rows of ``top_suppliers_raw`` for display."""
+    return best.select(
         "Supplier",
         "Beneficiaries",
         "Claims",
@@ -66,12 +71,14 @@ def top_suppliers(df: DataFrame, n: int = 10, key: str = SUPPLIER_KEY) -> DataFr
 
 
 def top_values(
-    df: DataFrame, column: str, n: int, value_name: str, count_name: str
+    df: DataFrame, column: str, n: int, value_name: str, count_name: str, weight: str | None = None
 ) -> DataFrame:
     """The n most frequent values."""
-    counts = value_counts(df, column, value_name=value_name, count_name=count_name)
+    counts = value_counts(
+        df, column, value_name=value_name, count_name=count_name, weight=weight
+    )
     return top_rows(counts, count_name, [value_name], n).drop("rank")
 
 
-def top_states(df: DataFrame, n: int = 15) -> DataFrame:
-    return top_values(df, STATE, n, "State", "Suppliers")
+def top_states(df: DataFrame, n: int = 15, weight: str | None = None) -> DataFrame:
+    return top_values(df, STATE, n, "State", "Suppliers", weight)

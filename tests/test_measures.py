@@ -152,11 +152,13 @@ def test_percent_change_fills_gaps_and_skips_absent_years(spark):
     df = spark.createDataFrame(
         [(2017, None), (2018, 10.0), (2020, None), (2021, 15.0), (2022, 0.0), (2023, 1.0)],
         "y int, x double",
-    )
-    out = rows(change.pct_change(df, {"x": "d"}, "y").orderBy("y"))
-    assert [r[2] for r in out] == [None, None, 0.0, 50.0, -100.0, None]
-    raw = rows(change.pct_change(df, {"x": "d"}, "y", fill=False).orderBy("y"))
-    assert [r[2] for r in raw] == [None, None, None, None, -100.0, None]
+    ).selectExpr("y", "x", "'one' AS k")
+    out = rows(change.pct_change(df, {"x": "d"}, "y", ["k"]).orderBy("y"))
+    assert [r[3] for r in out] == [None, None, 0.0, 50.0, -100.0, None]
+    raw = rows(change.pct_change(df, {"x": "d"}, "y", ["k"], fill=False).orderBy("y"))
+    assert [r[3] for r in raw] == [None, None, None, None, -100.0, None]
+    with pytest.raises(ValueError, match="one task"):
+        change.pct_change(df, {"x": "d"}, "y", [])
 
 
 def test_percent_change_per_entity(spark):

@@ -5,7 +5,7 @@ import random
 import pytest
 from conftest import rows
 
-from supplypanel.sources import order_panel as op
+from catalogue import order_panel as op
 
 TYPES = [*op.TYPE_BIT, "OTHER", None]
 
@@ -86,12 +86,12 @@ def brute_force(data):
 
         def percent(test):
             hundredths = 10000 * sum(map(test, lines)) // len(lines)
-            return hundredths / 100 if hundredths >= 1500 else None
+            return hundredths / 100
 
         for family, kinds in op.FAMILY_PART_TYPES.items():
             mine = [ln for ln in lines if types.get(ln[1]) in kinds]
             benes = customers(lambda ln: ln in mine)
-            row[f"{family}_Tot_Suplr_Benes"] = benes if benes >= 25 else None
+            row[f"{family}_Tot_Suplr_Benes"] = benes
             row[f"{family}_Tot_Suplr_Clms"] = len({ln[0] for ln in mine} - {None})
             units = [round(ln[3] * 100) * (100 - round(ln[4] * 100)) for ln in mine]
             row[f"{family}_Suplr_Mdcr_Pymt_Amt"] = sum(units) / 10000 if units else None
@@ -152,6 +152,15 @@ def test_years(tables, data):
     assert rows(op.order_panel(tables, years=[])) == []
 
 
+def test_missing_values_by_rule(tables, data):
+    expected = brute_force(data)
+    for (supplier, _), row in expected.items():
+        if supplier == 1:
+            row["DME_Tot_Suplr_Benes"] = None
+    out = op.order_panel(tables, missing={"DME_Tot_Suplr_Benes": "Suplr_NPI = 1"})
+    assert collected(out) == expected
+
+
 def test_unknown_column(tables):
     with pytest.raises(KeyError):
         op.order_panel(tables, ["nope"])

@@ -1,6 +1,9 @@
 """Cleaning and summaries against hand-made and brute-force results."""
 
-import duckdb
+
+import math
+import random
+
 import pytest
 from conftest import plan_of, rows
 from pyspark.sql import functions as F
@@ -35,23 +38,30 @@ def test_correlation_skips_incomplete_pairs(spark):
     assert (first, second) == ("a", "b") and value == pytest.approx(1.0)
 
 
-def test_outliers_against_sorted_values(spark):
-    """The sketch may be off by 1/10000 of the rows, so the outliers found must lie
-    between those of slightly wider and slightly narrower quartiles."""
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW l AS SELECT * FROM '{FOLDER}/lineitem.parquet'")
-
-    def expected(a, b):
-        found = con.sql(
-            f"""WITH f AS (SELECT l_returnflag AS k, quantile_disc(l_extendedprice, {a}) AS q1,
-             quantile_disc(l_extendedprice, {b}) AS q3 FROM l GROUP BY 1)
-            SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, l_extendedprice
-            FROM l JOIN f ON k = l_returnflag WHERE l_extendedprice < q1 - 0.5 * (q3 - q1)
-             OR l_extendedprice > q3 + 0.5 * (q3 - q1)"""
-        )
-        return set(found.fetchall())
-
-    columns = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_extendedprice"]
-    found = set(rows(q.outliers(spark, FOLDER).select(columns)))
-    assert found
-    assert expected(0.2485, 0.7515) <= found <= expected(0.2515, 0.7485)
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 1000])
+def test_quantiles_against_sorted_values(spark, n):
+    rng = random.Random(n)
+    data = [
+        (rng.choice(["a", None]), rng.choice([rng.lognormvariate(0, 9), -1.5, 1e300, 3.0]))
+        for _ in range(n)
+    ]
+    df = spark.createDataFrame([*data, ("a", None), ("a", math.nan)], "k string, v double")
+    out = {(r.k, r.quantile): r.value for r in profile.quantiles(df, "v", ["k"], [0.25, 0.5, 0.9]).collect()}
+    for k in {k for k, _ in data}:
+        values = sorted(v for x, v in data if x == k)
+        for q in (0.25, 0.5, 0.9):
+            assert out[k, q] == values[max(math.ceil(q * len(values)), 1) - 1]
+
+
+def test_outliers_of_a_missing_key_and_without_keys(spark):
+    data = [(None, float(v)) for v in [*range(20), 1_000_000]] + [("a", float(v)) for v in range(20)]
+    df = spark.createDataFrame(data, "k string, v double")
+    assert rows(profile.outliers(df, "v", ["k"])) == [(None, 1_000_000.0)]
+    assert rows(profile.outliers(df, "v")) == [(None, 1_000_000.0)]
+    assert rows(profile.outliers(df.limit(0), "v", ["k"])) == []
+
+
+def test_quartiles_of_a_description(spark):
+    df = spark.createDataFrame([(None, 4.0), (None, 1.0), (None, 2.0), ("x", None)], "k string, v double")
+    out = {r.k: (r.q1, r.median, r.q3) for r in profile.describe_columns(df, ["v"], ["k"]).collect()}
+    assert out == {None: (1.0, 2.0, 4.0), "x": (None, None, None)}

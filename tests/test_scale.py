@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from supplypanel import session
 from supplypanel.operators import charts
-from supplypanel.sources import order_panel as op
+from catalogue import order_panel as op
 
 
 @pytest.fixture
