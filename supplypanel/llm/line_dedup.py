@@ -14,8 +14,8 @@ Lines without words are kept.
   smaller has at least ``t`` times the words of the larger. Positional filter: what can
   still follow a shared word must suffice. A parity word per set, whose differing bits are
   at most the differing words, is compared too.
-* A prefix word that occurs so rarely that its lines are few is joined at once. Where it may
-  be frequent, the lines that have it are first compared with the earliest of them, and only
+* Sets that have a prefix word in common with at most ``FEW`` others are joined at once. The
+  sets of a more frequent prefix word are first compared with the earliest of them, and only
   those that were not removed by that are joined with the others.
 * Candidates are verified by their whole word sets.
 
@@ -35,8 +35,7 @@ from .common import dense, drop_folder, maybe_in, table, written
 
 THRESHOLD = 80
 RARITY_BUCKETS = 1 << 20
-# Words counted this often (as a power of two) or more may be in many lines.
-FREQUENT = 10
+FEW = 128
 _HASH_BITS = 56
 SMALLEST = 4
 
@@ -100,15 +99,21 @@ def _index_length(n: Column, t: int) -> Column:
     return n - F.floor((n * (2 * t) + (99 + t)) / (100 + t)) + 1
 
 
-def _split_lines(texts: DataFrame, powers: Column) -> DataFrame:
-    """The lines that have words, with their words in order. The optimizer moves the scalar
-    subquery ``powers`` from its column into the expression that uses it."""
-    own = ["doc_id", "version", "line"]
-    return (
-        texts.select("doc_id", "version", F.posexplode(_lines(F.col("text"))).alias("line", "content"))
-        .where(F.trim(F.replace(F.col("content"), F.lit("\t"), F.lit(" "))) != "")
-        .select(*own, "content", powers.alias("powers"))
-        .select(*own, _ordered_words(F.col("content"), F.col("powers")).alias("words"))
+_LINE = ("doc_id", "version", "line")
+
+
+def _contents(texts: DataFrame) -> DataFrame:
+    """The lines that have words."""
+    return texts.select(
+        "doc_id", "version", F.posexplode(_lines(F.col("text"))).alias("line", "content")
+    ).where(F.trim(F.replace(F.col("content"), F.lit("\t"), F.lit(" "))) != "")
+
+
+def _with_words(contents: DataFrame, powers: Column) -> DataFrame:
+    """Lines with their words in order. The optimizer moves the scalar subquery ``powers``
+    from its column into the expression that uses it."""
+    return contents.select(*_LINE, "content", powers.alias("powers")).select(
+        *_LINE, _ordered_words(F.col("content"), F.col("powers")).alias("words")
     )
 
 
@@ -120,7 +125,7 @@ def _may_match(x: str, y: str, t: int) -> Column:
     bits = F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity")))
     return (
         (ny * 100 >= nx * t)
-        & (F.col(f"{y}.pos") < F.col(f"{y}.index"))
+        & (F.col(f"{y}.pos") < _index_length(ny, t))
         & (follow >= need)
         & (bits <= nx + ny - need * 2)
         & ((nx > ny) | ((nx == ny) & (F.col(f"{x}.s") > F.col(f"{y}.s"))))
@@ -146,9 +151,9 @@ def _similar(pairs: DataFrame, words: DataFrame, places: DataFrame, t: int) -> D
     )
 
 
-def removed_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, list[str]]:
-    """``doc_id``, ``version`` (the text's hash) and ``line`` of every line to remove; and the
-    scratch folders that the result is read from."""
+def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, list[str]]:
+    """``doc_id``, ``version`` (the text's hash), ``line`` and whether it is ``removed``, for
+    every line that has words; and the scratch folders that the result is read from."""
     spark = docs.sparkSession
     folders: list[str] = []
 
@@ -160,41 +165,32 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFram
     texts = _documents(docs)
     counted = keep(spark.range(1).select(_rarity(texts).alias("powers")), "rarity")
     powers = counted.scalar()
-    split = _split_lines(texts, powers)
     n = F.size("words")
+    prefix = F.slice("words", F.lit(1), _probe_length(n, threshold).cast("int"))
     lines = keep(
-        split.select(
-            "doc_id",
-            "version",
-            "line",
+        _with_words(_contents(texts), powers).select(
+            *_LINE,
             F.xxhash64("words").alias("s"),
             n.alias("n"),
             F.when(n >= SMALLEST, _parity(F.col("words"))).alias("parity"),
-            F.when(n >= SMALLEST, F.slice("words", F.lit(1), _probe_length(n, threshold).cast("int"))).alias(
-                "prefix"
-            ),
+            F.when(n >= SMALLEST, prefix).alias("prefix"),
         ),
         "lines",
     )
-    sets = keep(
-        lines.groupBy("s").agg(
-            F.min(F.struct("doc_id", "version", "line")).alias("place"),
-            F.first("n").alias("n"),
-            F.first("parity").alias("parity"),
-            F.first("prefix").alias("prefix"),
-        ),
-        "sets",
+    places = keep(lines.groupBy("s").agg(F.min(F.struct(*_LINE)).alias("place")), "places")
+    sets = lines.where(F.col("n") >= SMALLEST).groupBy("s").agg(
+        F.first("n").alias("n"),
+        F.first("parity").alias("parity"),
+        F.first("prefix").alias("prefix"),
+        F.min("doc_id").alias("doc"),
     )
-    entries = sets.where(F.col("n") >= SMALLEST).select(
-        F.posexplode("prefix").alias("pos", "word"),
-        "s",
-        "n",
-        "parity",
-        _index_length(F.col("n"), threshold).cast("int").alias("index"),
-        F.col("place.doc_id").alias("doc"),
+    by_word = W.partitionBy("word")
+    entries = sets.select(F.posexplode("prefix").alias("pos", "word"), "s", "n", "parity", "doc")
+    # a word that only one set has in its prefix joins nothing
+    shared = keep(
+        entries.withColumn("sharing", F.count(F.lit(1)).over(by_word)).where("sharing > 1"), "entries"
     )
-    frequent = F.shiftright("word", _HASH_BITS) >= FREQUENT
-    rare, often = entries.where(~frequent), entries.where(frequent)
+    rare, often = shared.where(F.col("sharing") <= FEW), shared.where(F.col("sharing") > FEW)
 
     def joined(x: DataFrame, y: DataFrame) -> DataFrame:
         x, y = x.alias("x"), y.alias("y")
@@ -202,10 +198,9 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFram
             y, (F.col("x.word") == F.col("y.word")) & _may_match("x", "y", threshold)
         ).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
 
-    by_word = W.partitionBy("word")
-    earliest = F.min(F.struct("doc", "s", "n", "pos", "parity", "index")).over(by_word)
-    led = often.withColumn("y", earliest)
-    led = led.select(F.struct("s", "n", "pos", "parity", "index").alias("x"), "y").where("x.s != y.s")
+    own = F.struct("s", "n", "pos", "parity")
+    earliest = F.min(F.struct("doc", "s", "n", "pos", "parity")).over(by_word)
+    led = often.select("word", own.alias("x"), earliest.alias("y")).where("x.s != y.s")
     # whichever of the two is the larger
     led = led.where(_may_match("x", "y", threshold) | _may_match("y", "x", threshold))
     first = keep(
@@ -217,20 +212,21 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFram
     )
 
     def words_of(pairs: DataFrame) -> DataFrame:
-        """The whole word sets in the pairs, read from the documents that hold them."""
+        """The whole word sets in the pairs, read from the lines they are first in."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-        places = keep(
-            sets.join(wanted, "s").select("s", "place.doc_id", "place.version", "place.line"), "wanted"
-        )
-        in_document, in_line = maybe_in(places, "doc_id"), maybe_in(places, "s")
-        own = _split_lines(texts.where(in_document(F.col("doc_id"))), powers)
-        own = own.withColumn("s", F.xxhash64("words")).where(in_line(F.col("s")))
+        first_lines = keep(places.join(wanted, "s").select("s", "place.*"), "wanted")
+        here = F.xxhash64("doc_id", "line")
+        in_document = maybe_in(first_lines, "doc_id")
+        in_line = maybe_in(first_lines.select(here.alias("at")), "at")
+        contents = _contents(texts.where(in_document(F.col("doc_id")))).where(in_line(here))
         return keep(
-            own.join(places, ["s", "doc_id", "version", "line"]).select("s", "words").dropDuplicates(["s"]),
+            _with_words(contents, powers)
+            .join(first_lines, list(_LINE))
+            .select("s", "words")
+            .dropDuplicates(["s"]),
             "words",
         )
 
-    places = sets.select("s", "place")
     gone = keep(_similar(first, words_of(first), places, threshold), "gone")
     left = often.join(gone, "s", "left_anti")
     # a line that is left as the larger or the smaller of a pair, with all others
@@ -246,14 +242,11 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFram
         gone.union(_similar(second, words_of(second), places, threshold)).distinct(), "gone"
     )
     flagged = places.join(gone.withColumn("gone", F.lit(True)), "s", "left")
-    out = (
-        lines.select("doc_id", "version", "line", "s")
-        .join(flagged, "s")
-        .where(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "version", "line") != F.col("place")))
-        .select("doc_id", "version", "line")
-        .distinct()
+    removed = F.coalesce("gone", F.lit(False)) | (F.struct(*_LINE) != F.col("place"))
+    done, folder = written(
+        lines.select(*_LINE, "s").join(flagged, "s").select(*_LINE, removed.alias("removed")).distinct(),
+        "decided",
     )
-    done, folder = written(out, "removed")
     for path in folders:
         drop_folder(spark, path)
     return done, [folder]
@@ -264,7 +257,8 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` with ``text`` without the removed lines, and how many lines there were and
     how many are removed. Only documents that may have such lines are shuffled."""
-    removed, folders = removed_lines(docs, threshold)
+    decided, _ = decide_lines(docs, threshold)
+    removed = decided.where("removed")
     by_document = removed.groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(
         F.collect_list("line").alias("_lines")
     )
@@ -297,14 +291,28 @@ def dedup_lines(
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the lines that an earlier line is similar to."""
+    """For all documents the number of lines that have words, how many of these are removed,
+    and which (their places in the document, in order)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+    decided, _ = decide_lines(docs)
+    by_document = decided.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count_if("removed").alias("n_removed"),
+        F.array_join(
+            F.array_sort(F.collect_list(F.when(F.col("removed"), F.col("line")))), ","
+        ).alias("removed_lines"),
+    )
+    return docs.select("doc_id").join(by_document, "doc_id", "left").select(
+        "doc_id",
+        F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("removed_lines", F.lit("")).alias("removed_lines"),
+    )
 
 
 OP6_SQL = """
 WITH lines AS (
-    SELECT doc_id, line, content,
+    SELECT doc_id, line,
         list_sort(list_distinct(list_filter(
             string_split(lower(replace(content, chr(9), ' ')), ' '), lambda w: w <> ''))) AS words
     FROM (
@@ -324,18 +332,15 @@ gone AS (
     WHERE len(list_intersect(x.words, y.words)) * 100 >=
         (x.n + y.n - len(list_intersect(x.words, y.words))) * 80
 ),
-flagged AS (
-    SELECT l.doc_id, l.line, l.content,
-        len(l.words) > 0 AND ({'d': l.doc_id, 'l': l.line} <> s.place OR g.place IS NOT NULL) AS removed
-    FROM lines l LEFT JOIN sets s ON l.words = s.words LEFT JOIN gone g ON g.place = s.place
+decided AS (
+    SELECT l.doc_id, l.line,
+        {'d': l.doc_id, 'l': l.line} <> s.place OR g.place IS NOT NULL AS removed
+    FROM lines l JOIN sets s ON l.words = s.words LEFT JOIN gone g ON g.place = s.place
 )
 SELECT d.doc_id,
-    coalesce(f.n_lines, 0)::BIGINT AS n_lines,
-    coalesce(f.n_removed, 0)::BIGINT AS n_removed,
-    CASE WHEN coalesce(f.n_removed, 0) = 0 THEN d.text ELSE coalesce(f.text, '') END AS text
-FROM documents d LEFT JOIN (
-    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed,
-        string_agg(content, chr(10) ORDER BY line) FILTER (NOT removed) AS text
-    FROM flagged GROUP BY doc_id
-) f ON f.doc_id = d.doc_id
+    count(line)::BIGINT AS n_lines,
+    count(*) FILTER (removed)::BIGINT AS n_removed,
+    coalesce(string_agg(line::VARCHAR, ',' ORDER BY line) FILTER (removed), '') AS removed_lines
+FROM documents d LEFT JOIN decided f ON f.doc_id = d.doc_id
+GROUP BY d.doc_id
 """
