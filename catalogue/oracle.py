@@ -665,6 +665,34 @@ ORACLE: dict[str, str] = {
  SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, l_extendedprice
  FROM lineitem JOIN fences ON l_returnflag IS NOT DISTINCT FROM flag
  WHERE l_extendedprice < q1 - 0.5 * (q3 - q1) OR l_extendedprice > q3 + 0.5 * (q3 - q1)""",
+    "line_sums": """SELECT l_suppkey, CAST(sum(l_quantity::DECIMAL(18,2)) AS DOUBLE) AS quantity,
+ CAST(sum(l_extendedprice::DECIMAL(18,2)) AS DOUBLE) AS extendedprice,
+ count(*) FILTER (l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1""",
+    "line_shares": " UNION ALL ".join(
+        f"""SELECT l_suppkey, 'Return flag' AS "group", CAST({i} AS INTEGER) AS ordinal,
+ '{name}' AS label, round_even((count(*) FILTER ({test}))::DOUBLE / count(*)::DOUBLE * 100.0
+ * 100.0, 0) / 100.0 AS pct FROM lineitem GROUP BY l_suppkey"""
+        for i, (name, test) in enumerate(
+            {
+                "Returned": "l_returnflag = 'R'",
+                "Accepted": "l_returnflag = 'A'",
+                "Neither": "l_returnflag NOT IN ('R', 'A')",
+            }.items(),
+            1,
+        )
+    ),
+    "line_means": " UNION ALL ".join(
+        f"""SELECT l_suppkey, 'Rates' AS "group", CAST({i} AS INTEGER) AS ordinal,
+ '{c.title()}' AS label, CAST(sum(l_{c}::DECIMAL(18,2) * l_quantity::DECIMAL(18,2)) AS DOUBLE)
+ / CAST(sum(l_quantity::DECIMAL(18,2)) AS DOUBLE) AS value FROM lineitem GROUP BY l_suppkey"""
+        for i, c in enumerate(("discount", "tax"), 1)
+    ),
+    "top_orders": """SELECT o_orderkey, o_custkey, o_totalprice, CAST(row_number() OVER (
+ ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS INTEGER) AS rank FROM orders
+ QUALIFY rank <= 100""",
+    "order_change": """SELECT o_custkey, o_orderkey, o_totalprice, (o_totalprice / nullif(
+ lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 0) - 1.0) * 100.0
+ AS price_change FROM orders""",
     "full_report": _report(),
     "chart_bundle": _charts(),
 }

@@ -462,6 +462,62 @@ def outliers(spark, folder):
     return profile.outliers(lines, "l_extendedprice", ["l_returnflag"], 0.5)
 
 
+# The panel's operators on the large tables themselves.
+
+LINE_LABELS = {
+    "returned": "Returned - lines with flag R",
+    "accepted": "Accepted - lines with flag A",
+    "neither": "Neither - lines with another flag",
+    "discount": "Discount - share of the price",
+    "tax": "Tax - share of the price",
+}
+
+
+def line_measures(spark, folder):
+    flag = F.col("l_returnflag")
+    return table(spark, folder, "lineitem").select(
+        "l_suppkey",
+        "l_linestatus",
+        *[
+            F.col(f"l_{c}").cast(f"decimal(18,{places})").alias(c)
+            for c, places in (("quantity", 2), ("extendedprice", 2), ("discount", 2), ("tax", 2))
+        ],
+        (flag == "R").cast("long").alias("returned"),
+        (flag == "A").cast("long").alias("accepted"),
+        (~flag.isin("R", "A")).cast("long").alias("neither"),
+    )
+
+
+def line_sums(spark, folder):
+    names = ["quantity", "extendedprice", "returned"]
+    totals = measures.column_totals(line_measures(spark, folder), names, ["l_suppkey"])
+    return numbers_as_double(totals)
+
+
+def line_shares(spark, folder):
+    groups = {"Return flag": ["returned", "accepted", "neither"]}
+    return measures.group_shares(
+        line_measures(spark, folder), groups, ["l_suppkey"], LINE_LABELS
+    )
+
+
+def line_means(spark, folder):
+    groups = {"Rates": ["discount", "tax"]}
+    rows = line_measures(spark, folder)
+    return measures.weighted_means(rows, groups, "quantity", ["l_suppkey"], LINE_LABELS)
+
+
+def top_orders(spark, folder):
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return topk.top_rows(orders, "o_totalprice", ["o_orderkey"], 100)
+
+
+def order_change(spark, folder):
+    """Percent change of the price from each customer's order before."""
+    orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return change.pct_change(orders, {"o_totalprice": "price_change"}, "o_orderkey", ["o_custkey"])
+
+
 # Everything together.
 
 
@@ -536,6 +592,11 @@ QUERIES: dict[str, Query] = {
     "describe": describe,
     "correlation": correlation,
     "outliers": outliers,
+    "line_sums": line_sums,
+    "line_shares": line_shares,
+    "line_means": line_means,
+    "top_orders": top_orders,
+    "order_change": order_change,
     "full_report": full_report,
     "chart_bundle": chart_bundle,
 }
