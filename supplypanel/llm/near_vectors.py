@@ -135,6 +135,7 @@ def runs(
 
 def _from_order(nodes: DataFrame, order: int, k: int) -> DataFrame:
     """Edges between nodes that are near in one order."""
+    kind = nodes.schema["vector"].dataType.simpleString()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +155,7 @@ def _from_order(nodes: DataFrame, order: int, k: int) -> DataFrame:
 
     return (
         nodes.select("node", "vector")
-        .mapInArrow(code, "code bigint, node bigint, vector array<float>")
+        .mapInArrow(code, f"code bigint, node bigint, vector {kind}")
         .repartitionByRange("code", "node")
         .sortWithinPartitions("code", "node")
         .mapInArrow(near, EDGES)
@@ -307,7 +308,8 @@ def near_vectors(
     """``vec_id``, ``n_links``, ``component_id`` and ``kept`` for every row of ``rows``
     (``vec_id``, ``embedding``); and the recall that the audit measured."""
     spark = rows.sparkSession
-    vector = F.col("embedding").cast("array<float>")
+    kind = rows.schema["embedding"].dataType.simpleString()
+    vector = F.col("embedding").cast(kind if kind == "array<float>" else "array<double>")
     named, named_folder = written(
         rows.select(
             F.col("vec_id").cast("long").alias("vec_id"),
