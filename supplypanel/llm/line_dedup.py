@@ -56,9 +56,10 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 def _rarity(texts: DataFrame) -> Column:
     """For each hash bucket of words the power of two up to which its count reaches."""
+    # a line break is one more space here
+    one_line = F.replace(F.replace(F.col("text"), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(" "))
     counts = (
-        texts.select(F.explode(_lines(F.col("text"))).alias("line"))
-        .select(F.explode(_words(F.col("line"))).alias("word"))
+        texts.select(F.explode(_words(one_line)).alias("word"))
         .where("word != ''")
         .groupBy(F.pmod(F.xxhash64("word"), F.lit(RARITY_BUCKETS)).alias("bucket"))
         .count()
@@ -125,30 +126,33 @@ def _may_match(x: str, y: str, t: int) -> Column:
     bits = F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity")))
     return (
         (ny * 100 >= nx * t)
-        & (F.col(f"{y}.pos") < _index_length(ny, t))
+        # y is the smaller; said of both, so that both sides are read from one shuffle
+        & (F.col(f"{y}.pos") < _index_length(F.least(nx, ny), t))
         & (follow >= need)
         & (bits <= nx + ny - need * 2)
         & ((nx > ny) | ((nx == ny) & (F.col(f"{x}.s") > F.col(f"{y}.s"))))
     )
 
 
+def _pair(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs ``a``, ``b`` of sets with columns of ``rows`` (by ``s``) as ``x`` and ``y``."""
+    one = rows.select(F.col("s").alias("a"), F.struct(*columns).alias("x"))
+    two = rows.select(F.col("s").alias("b"), F.struct(*columns).alias("y"))
+    return pairs.join(one, "a").join(two, "b")
+
+
 def _similar(pairs: DataFrame, words: DataFrame, places: DataFrame, t: int) -> DataFrame:
-    """``s``: the later set of each pair (``a``, ``b``) that reaches the threshold."""
-    one = words.select(F.col("s").alias("a"), F.col("words").alias("wa"))
-    two = words.select(F.col("s").alias("b"), F.col("words").alias("wb"))
-    both = F.size(F.array_intersect("wa", "wb"))
-    first = places.select(F.col("s").alias("a"), F.col("place").alias("pa"))
-    second = places.select(F.col("s").alias("b"), F.col("place").alias("pb"))
-    return (
-        pairs.join(one, "a")
-        .join(two, "b")
-        .where(both * 100 >= (F.size("wa") + F.size("wb") - both) * t)
-        .select("a", "b")
-        .join(first, "a")
-        .join(second, "b")
-        .select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("s"))
-        .distinct()
-    )
+    """``s``: the later set of each pair (``a``, ``b``) that reaches the threshold. Pairs are
+    first compared by 15 bits of each word, which can only hide differences."""
+    n = F.col("x.n") + F.col("y.n")
+    need = F.floor((n * t + (99 + t)) / (100 + t))
+    differ = F.size(F.array_except("x.bits", "y.bits")) + F.size(F.array_except("y.bits", "x.bits"))
+    likely = _pair(pairs, words, ["n", "bits"]).where(differ <= n - need * 2).select("a", "b")
+    both = F.size(F.array_intersect("x.words", "y.words"))
+    close = _pair(likely, words, ["n", "words"]).where(both * 100 >= (n - both) * t).select("a", "b")
+    x, y = F.col("x.place"), F.col("y.place")
+    later = F.when(x > y, F.col("a")).otherwise(F.col("b"))
+    return _pair(close, places, ["place"]).select(later.alias("s")).distinct()
 
 
 def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, list[str]]:
@@ -177,20 +181,34 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
         ),
         "lines",
     )
-    places = keep(lines.groupBy("s").agg(F.min(F.struct(*_LINE)).alias("place")), "places")
-    sets = lines.where(F.col("n") >= SMALLEST).groupBy("s").agg(
-        F.first("n").alias("n"),
-        F.first("parity").alias("parity"),
-        F.first("prefix").alias("prefix"),
-        F.min("doc_id").alias("doc"),
+    counted_places = keep(
+        lines.groupBy("s").agg(F.min(F.struct(*_LINE)).alias("place"), F.count(F.lit(1)).alias("lines")),
+        "places",
     )
-    by_word = W.partitionBy("word")
-    entries = sets.select(F.posexplode("prefix").alias("pos", "word"), "s", "n", "parity", "doc")
-    # a word that only one set has in its prefix joins nothing
-    shared = keep(
-        entries.withColumn("sharing", F.count(F.lit(1)).over(by_word)).where("sharing > 1"), "entries"
+    places = counted_places.select("s", "place")
+    # a set that only one line has needs no search for its first line
+    several = maybe_in(counted_places.where("lines > 1"), "s")
+    own = lines.where(F.col("n") >= SMALLEST).select(*_LINE, "s", "n", "parity", "prefix")
+    columns = ["s", "n", "parity", "prefix", F.col("doc_id").alias("doc")]
+    firsts = keep(
+        own.where(several(F.col("s")))
+        .join(places, "s")
+        .where(F.struct(*_LINE) == F.col("place"))
+        .select(*columns)
+        .dropDuplicates(["s"]),
+        "firsts",
+    )
+    sets = own.where(~several(F.col("s"))).select(*columns).unionByName(firsts)
+    frequent = keep(
+        sets.select(F.explode("prefix").alias("word")).groupBy("word").count().where(F.col("count") > FEW),
+        "frequent",
     )
-    rare, often = shared.where(F.col("sharing") <= FEW), shared.where(F.col("sharing") > FEW)
+    # some other words may pass as frequent; all their lines then do
+    is_frequent = maybe_in(frequent, "word")
+    entries = sets.select(F.posexplode("prefix").alias("pos", "word"), "s", "n", "parity", "doc")
+    rare = entries.where(~is_frequent(F.col("word"))).drop("doc")
+    often = keep(entries.where(is_frequent(F.col("word"))), "frequent-entries")
+    by_word = W.partitionBy("word")
 
     def joined(x: DataFrame, y: DataFrame) -> DataFrame:
         x, y = x.alias("x"), y.alias("y")
@@ -198,9 +216,9 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
             y, (F.col("x.word") == F.col("y.word")) & _may_match("x", "y", threshold)
         ).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
 
-    own = F.struct("s", "n", "pos", "parity")
+    itself = F.struct("s", "n", "pos", "parity")
     earliest = F.min(F.struct("doc", "s", "n", "pos", "parity")).over(by_word)
-    led = often.select("word", own.alias("x"), earliest.alias("y")).where("x.s != y.s")
+    led = often.select("word", itself.alias("x"), earliest.alias("y")).where("x.s != y.s")
     # whichever of the two is the larger
     led = led.where(_may_match("x", "y", threshold) | _may_match("y", "x", threshold))
     first = keep(
@@ -219,10 +237,11 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
         in_document = maybe_in(first_lines, "doc_id")
         in_line = maybe_in(first_lines.select(here.alias("at")), "at")
         contents = _contents(texts.where(in_document(F.col("doc_id")))).where(in_line(here))
+        bits = F.transform("words", lambda w: w.bitwiseAND(F.lit(32767)).cast("smallint"))
         return keep(
             _with_words(contents, powers)
             .join(first_lines, list(_LINE))
-            .select("s", "words")
+            .select("s", "words", n.alias("n"), F.array_distinct(bits).alias("bits"))
             .dropDuplicates(["s"]),
             "words",
         )
