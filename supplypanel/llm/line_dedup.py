@@ -344,12 +344,13 @@ sets AS (
     SELECT words, len(words) AS n, min({'d': doc_id, 'l': line}) AS place
     FROM lines WHERE len(words) > 0 GROUP BY words
 ),
+pairs AS (
+    SELECT x.place AS a, y.place AS b, x.n + y.n AS n, len(list_intersect(x.words, y.words)) AS shared
+    FROM sets x JOIN sets y ON y.n <= x.n AND y.n * 100 >= x.n * 80 AND x.words <> y.words
+),
 gone AS (
-    SELECT DISTINCT CASE WHEN x.place > y.place THEN x.place ELSE y.place END AS place
-    FROM sets x JOIN sets y
-    ON y.n <= x.n AND y.n * 100 >= x.n * 80 AND x.words <> y.words
-    WHERE len(list_intersect(x.words, y.words)) * 100 >=
-        (x.n + y.n - len(list_intersect(x.words, y.words))) * 80
+    SELECT DISTINCT CASE WHEN a > b THEN a ELSE b END AS place
+    FROM pairs WHERE shared * 100 >= (n - shared) * 80
 ),
 decided AS (
     SELECT l.doc_id, l.line,

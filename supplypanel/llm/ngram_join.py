@@ -19,9 +19,9 @@ Two documents link if their sets of word 4-grams have a Jaccard similarity of at
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; a text of fewer than 4 words is
 one n-gram of all of them. Null texts and texts without words have empty sets and link
-with nothing. Repeated rows link if their sets are not empty. Rows without a ``doc_id``
-are returned as they are and link with nothing. An empty table gives an empty table; other
-columns of the input are not read.
+with nothing. Repeated rows link if their sets are not empty; a ``doc_id`` stands for one
+text. Rows without a ``doc_id`` are returned as they are and link with nothing. An empty
+table gives an empty table; other columns of the input are not read.
 """
 
 from __future__ import annotations
