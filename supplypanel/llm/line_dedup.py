@@ -257,9 +257,10 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
         .join(first, ["a", "b"], "left_anti"),
         "pairs",
     )
-    gone = keep(
-        gone.union(_similar(second, words_of(second), places, threshold)).distinct(), "gone"
-    )
+    if second.limit(1).count():
+        gone = keep(
+            gone.union(_similar(second, words_of(second), places, threshold)).distinct(), "gone"
+        )
     flagged = places.join(gone.withColumn("gone", F.lit(True)), "s", "left")
     removed = F.coalesce("gone", F.lit(False)) | (F.struct(*_LINE) != F.col("place"))
     done, folder = written(
