@@ -385,3 +385,38 @@ def test_word_hashes_do_not_depend_on_the_run():
         for i, (a, b) in enumerate(zip(offsets, offsets[1:])):
             assert (hashes[a:b] == alone[first + i]).all() and len(alone[first + i]) == b - a
     assert [len(a) for a in alone] == [3, 0, 0, 2, 3]
+
+
+def test_line_dedup_against_sql(spark):
+    from oracle_compare import connect, differences
+
+    from supplypanel.llm.line_dedup import OP6_SQL, op6_line_dedup
+
+    assert differences(op6_line_dedup(spark, SMALL), connect(SMALL), OP6_SQL) == []
+
+
+def test_line_dedup_around_the_threshold(spark):
+    """Groups of lines with a few changed words, some with a frequent word in common."""
+    import duckdb
+
+    from supplypanel.llm import line_dedup
+
+    rng = random.Random(9)
+    docs = []
+    for i in range(250):
+        base = random.Random(i % 12)
+        words = [base.choice(WORDS) + base.choice(WORDS) for _ in range(base.choice([3, 5, 8, 14, 30, 90]))]
+        lines = [" ".join(noisy(rng, words, rng.choice([0, 0.03, 0.08, 0.15]))) for _ in range(2)]
+        docs.append((i, "\n".join(lines)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    expected = {r[0]: r[3] for r in con.execute(line_dedup.OP6_SQL).fetchall()}
+    for few in (line_dedup.FEW, 3):
+        line_dedup.FEW, before = few, line_dedup.FEW
+        decided, _ = line_dedup.decide_lines(df)
+        line_dedup.FEW = before
+        out = {i: [] for i, _ in docs}
+        for r in decided.where("removed").collect():
+            out[r.doc_id].append(r.line)
+        assert {i: ",".join(map(str, sorted(x))) for i, x in out.items()} == expected
