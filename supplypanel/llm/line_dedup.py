@@ -249,10 +249,11 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
     gone = keep(_similar(first, words_of(first), places, threshold), "gone")
     left = often.join(gone, "s", "left_anti")
     # a line that is left as the larger or the smaller of a pair, with all others
+    x, y = left.alias("x"), often.alias("y")
+    matching = _may_match("x", "y", threshold) | _may_match("y", "x", threshold)
     second = keep(
-        joined(left, often)
-        .union(joined(often, left))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.s") != F.col("y.s")) & matching)
+        .select(F.greatest("x.s", "y.s").alias("a"), F.least("x.s", "y.s").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti"),
         "pairs",
