@@ -217,6 +217,51 @@ def test_near_vectors_against_all_pairs(spark):
     assert (out.kept == (out.index == out.component_id)).all()
 
 
+def groups_of_near_copies(spark, groups, size):
+    """Tight groups (inner cosine over 0.998) in a row, each at cosine 0.96 to the next."""
+    rng = np.random.default_rng(8)
+    angle = math.acos(0.96)
+    rows = []
+    for k in range(groups):
+        center = np.zeros(32)
+        center[:2] = math.cos(k * angle), math.sin(k * angle)
+        rows += [center + 0.004 * rng.normal(size=32) for _ in range(size)]
+    vectors = np.array(rows)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    link = vectors @ vectors.T >= 0.95
+    np.fill_diagonal(link, False)
+    df = spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>"
+    )
+    return df, link
+
+
+@pytest.mark.parametrize("groups, size", [(2, 12), (3, 150)])
+def test_near_vectors_link_saturated_groups(spark, groups, size):
+    df, link = groups_of_near_copies(spark, groups, size)
+    assert link[0, :size].sum() == size - 1 and link[0, size : 2 * size].any()
+    out, recall = near_vectors.near_vectors(df)
+    out = out.toPandas().set_index("vec_id").sort_index()
+    assert set(out.component_id) == {0} and out.index[out.kept].tolist() == [0]
+    assert out.n_links.tolist() == link.sum(1).tolist() and recall == 1
+
+
+def test_near_vectors_are_compared_one_by_one_if_audits_fail(spark, monkeypatch):
+    df, link = groups_of_near_copies(spark, 3, 12)
+    monkeypatch.setattr(near_vectors, "_recall", lambda *_: 0.0)
+    monkeypatch.setattr(near_vectors, "BLOCK", 8)
+    monkeypatch.setattr(near_vectors, "_joined_parts", lost_links)
+    out, _ = near_vectors.near_vectors(df)
+    out = out.toPandas().set_index("vec_id").sort_index()
+    assert set(out.component_id) == {0} and out.n_links.tolist() == link.sum(1).tolist()
+
+
+def lost_links(nodes, edges, threshold, k):
+    """Components of a search that finds no link between groups."""
+    close = edges.where(f"c >= {threshold}")
+    return near_vectors.written(components(close, "u", "v"), "components")
+
+
 def test_html_extraction_of_the_pages(spark):
     import html
 
