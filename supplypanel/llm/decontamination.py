@@ -1,13 +1,13 @@
 """Benchmark decontamination: spaced-seed hashing.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z in lower case. Every
-window of ``SPAN`` words of a benchmark item is hashed once for each fixed mask; a mask
-ignores some positions, so that a window whose only changed words lie there still hashes
-alike. Windows of documents are hashed the same way and looked up. Around a hit the two
-texts are compared word by word along the diagonal, in both directions, allowing single
-substitutions; an overlap counts if it has ``LEAST`` words of which ``SHARE`` agree, or if
-it covers so much of a whole item with fewer words. An item shorter than a window is
-looked up whole; one of fewer than ``LEAST_ITEM`` words is left out.
+window of a benchmark item is hashed once for each fixed mask; a mask ignores some
+positions, so that a window whose only changed words lie there still hashes alike. Windows
+of documents are hashed the same way and looked up. After a hit the two texts are compared
+word by word along the diagonal; an overlap is the longest stretch that begins and ends
+with agreeing words, has no three words in a row that differ, and has ``LEAST`` words or
+more of which ``SHARE`` agree. Beside it there may be others. An item of fewer words
+overlaps as a whole, where ``SHARE`` of its words agree; it has masks of its own.
 
 The benchmark is the fixed side: its words and window hashes are sent to the tasks if they
 number at most ``SENT_WORDS``; a larger benchmark is joined by hash instead, in Spark.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,20 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .words import mix, utf8, word_hashes
 
-# Which words of a window of 12 a mask looks at. For every choice of one or
-# two changed words in a window some mask ignores both, or a neighbouring window does.
-SPAN = 12
-MASKS = (
-    (0, 1, 2, 3, 4, 5, 6, 7),
-    (4, 5, 6, 7, 8, 9, 10, 11),
-    (0, 1, 2, 3, 8, 9, 10, 11),
-    (0, 2, 3, 5, 6, 8, 9, 11),
-    (0, 1, 3, 4, 6, 7, 9, 10),
-)
+# Which words a mask looks at. Every overlap has a hit. One of which no part
+# is an overlap has 13 words with 2 changed, or 5k with k (else it has one word less too).
+# The masks hit all of those of 13 and 15 words, by enumeration (see the test). From 20 on,
+# the 5k - 5 last words are no overlap, so all changed words are there: the first 5 agree.
+MASKS = ((0, 1, 2, 3, 4), (0, 1, 5, 7, 8))
 LEAST = 13
 SHARE = 0.8
-# Items of fewer words are common phrases and contaminate nothing.
-LEAST_ITEM = 5
 SENT_WORDS = 4_000_000
 
 
@@ -57,27 +51,34 @@ class Seeds:
     keys: np.ndarray  # sorted hashes
     places: np.ndarray  # window begin of each hash
     spot: np.ndarray  # a table of bits over low hash bits, to skip most lookups
-    shorts: dict[tuple[int, int], list[int]]  # whole short items: (words, hash) -> indexes
+    # hashes of whole short items by number of words and mask, sorted, and the items' indexes
+    shorts: dict[tuple[int, tuple[int, ...]], tuple[np.ndarray, np.ndarray]]
 
 
-def _multipliers() -> np.ndarray:
-    return mix(np.arange(1, SPAN + 1, dtype=np.uint64)) | np.uint64(1)
-
-
-def window_hashes(words: np.ndarray, mask: int) -> np.ndarray:
-    """The hash under one mask of every window of a run of words."""
-    n = len(words) - SPAN + 1
+def window_hashes(words: np.ndarray, mask: tuple[int, ...], size: int = 0) -> np.ndarray:
+    """The hash under a mask of every window (of ``size`` words, if not as long as the
+    mask) of a run of words."""
+    n = len(words) - (size or mask[-1] + 1) + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    total = np.full(n, mask + 1, dtype=np.uint64)
-    for k in MASKS[mask]:
-        total += words[k : k + n] * _multipliers()[k]
+    total = np.full(n, MASKS.index(mask) + 1 if mask in MASKS else size + 100, dtype=np.uint64)
+    for k, m in zip(mask, mix(np.array(mask, dtype=np.uint64) + np.uint64(1)) | np.uint64(1)):
+        total += words[k : k + n] * m
     return mix(total)
 
 
-def _whole_hash(words: np.ndarray) -> int:
-    k = np.arange(1, len(words) + 1, dtype=np.uint64)
-    return int((words * (mix(k) | np.uint64(1))).sum(dtype=np.uint64))
+def wrong_words(size: int) -> int:
+    """How many of ``size`` words may differ."""
+    return max(w for w in range(size) if size - w >= SHARE * size)
+
+
+def short_masks(size: int) -> list[tuple[int, ...]]:
+    """Masks of a whole item: of two blocks more than words may differ, all but so many."""
+    wrong = wrong_words(size)
+    blocks = np.array_split(np.arange(size), wrong + 2 if wrong else 1)
+    return [
+        tuple(np.concatenate(some).tolist()) for some in combinations(blocks, 2 if wrong else 1)
+    ]
 
 
 SPOT_BITS = 22
@@ -90,14 +91,22 @@ def make_seeds(items: list[int], texts: list[bytes | None]) -> Seeds:
     begins = np.cumsum([0] + [len(p) for p in parts])
     words = np.concatenate([*parts, np.zeros(0, np.uint64)])
     keys, places = [], []
-    shorts: dict[tuple[int, int], list[int]] = {}
+    sizes: dict[int, list[int]] = {}
     for i, part in enumerate(parts):
-        if LEAST_ITEM <= len(part) < SPAN:
-            shorts.setdefault((len(part), _whole_hash(part)), []).append(i)
-        for m in range(len(MASKS)):
-            found = window_hashes(part, m)
+        if len(part) < LEAST:
+            if len(part):
+                sizes.setdefault(len(part), []).append(i)
+            continue
+        for mask in MASKS:
+            found = window_hashes(part, mask)
             keys.append(found)
             places.append(begins[i] + np.arange(len(found)))
+    shorts = {}
+    for size, own in sizes.items():
+        for mask in short_masks(size):
+            found = np.concatenate([window_hashes(parts[i], mask, size) for i in own])
+            order = np.argsort(found, kind="stable")
+            shorts[size, mask] = found[order], np.array(own)[order]
     key = np.concatenate([*keys, np.zeros(0, np.uint64)])
     place = np.concatenate([*places, np.zeros(0, np.int64)])
     order = np.argsort(key, kind="stable")
@@ -106,71 +115,83 @@ def make_seeds(items: list[int], texts: list[bytes | None]) -> Seeds:
     return Seeds(np.array(items), begins, words, key[order], place[order], spot, shorts)
 
 
-def _stretch(equal: np.ndarray) -> int:
-    """How many of the words that follow belong to the overlap: up to the last prefix of
-    which ``SHARE`` agree and that ends in an agreeing word, before three words in a row
-    that differ."""
-    if not len(equal):
-        return 0
+def stretches(equal: np.ndarray) -> list[tuple[int, int]]:
+    """The overlaps of a diagonal: begin and end of the longest one, the first if there are
+    several, and of those on either side of it."""
     wrong = ~equal
-    run = wrong[:-2] & wrong[1:-1] & wrong[2:] if len(equal) > 2 else np.zeros(0, bool)
-    stop = int(np.argmax(run)) if run.any() else len(equal)
-    agree = np.cumsum(equal[:stop])
-    good = equal[:stop] & (agree >= SHARE * np.arange(1, stop + 1))
-    at = np.flatnonzero(good)
-    return int(at[-1]) + 1 if len(at) else 0
+    run = np.flatnonzero(wrong[:-2] & wrong[1:-1] & wrong[2:]) if len(equal) > 2 else []
+    borders = [0, *(int(x) + k for x in run for k in (0, 3)), len(equal)]
+    open_parts = [(a, b) for a, b in zip(borders[::2], borders[1::2]) if b - a >= LEAST]
+    out = []
+    while open_parts:
+        low, high = open_parts.pop()
+        part = equal[low:high]
+        # not below 0 where SHARE agree
+        level = np.concatenate([[0], np.cumsum(np.where(part, 1, -4))])
+        last = np.where(np.append(False, part), level, -5 * len(equal))
+        # the highest level from each end on falls; the last end not below a begin's level
+        highest = np.maximum.accumulate(last[::-1])
+        end = len(part) - np.searchsorted(highest, level[:-1], "left")
+        length = np.where(part, end - np.arange(len(part)), 0)
+        begin = int(np.argmax(length))
+        if length[begin] < LEAST:
+            continue
+        out.append((low + begin, low + int(end[begin])))
+        sides = ((low, low + begin), (low + int(end[begin]), high))
+        open_parts += [(a, b) for a, b in sides if b - a >= LEAST]
+    return sorted(out)
 
 
-def _overlap(words: np.ndarray, at: int, seeds: Seeds, place: int, item: int):
-    """The overlap around a hit of document word ``at`` with benchmark word ``place``:
-    begin and end in the document, begin in the item, words that agree."""
-    low, high = seeds.begins[item], seeds.begins[item + 1]
-    ahead = min(len(words) - at, high - place)
-    back = min(at, place - low)
-    forth = _stretch(words[at : at + ahead] == seeds.words[place : place + ahead])
-    before = _stretch((words[at - back : at] == seeds.words[place - back : place])[::-1])
-    begin, end = at - before, at + forth
-    first = place - before
-    agree = int((words[begin:end] == seeds.words[first : first + end - begin]).sum())
-    return begin, end, first - low, agree
+def _hits(words: np.ndarray, seeds: Seeds) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By mask the words whose windows hit, and the range of the hashes hit."""
+    low = np.uint64((1 << SPOT_BITS) - 1)
+    for mask in MASKS if len(seeds.keys) else ():
+        hashes = window_hashes(words, mask)
+        at = np.flatnonzero(seeds.spot[(hashes & low).astype(np.int64)])
+        left = np.searchsorted(seeds.keys, hashes[at], "left")
+        right = np.searchsorted(seeds.keys, hashes[at], "right")
+        hit = right > left
+        yield at[hit], left[hit], right[hit]
+
+
+def _short_hits(words: np.ndarray, seeds: Seeds) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By number of words and mask the same for whole short items, and their indexes."""
+    for (size, mask), (keys, items) in seeds.shorts.items():
+        hashes = window_hashes(words, mask, size)
+        left, right = np.searchsorted(keys, hashes, "left"), np.searchsorted(keys, hashes, "right")
+        at = np.flatnonzero(right > left)
+        yield size, at, *_spread(left[at], right[at], items)
 
 
-def _counts(length: int, agree: int, item_words: int) -> bool:
-    return agree >= SHARE * length and length >= min(LEAST, item_words) and length > 0
+def _spread(left: np.ndarray, right: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all ranges, and the number of the range of each."""
+    sizes = right - left
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return values[left[which] + inside], which
 
 
 def matches(words: np.ndarray, seeds: Seeds) -> list[tuple[int, int, int, int, int]]:
-    """Overlaps of one document: item index, begin, end, begin in the item, agreeing words.
-    A hit inside an overlap already found on its diagonal is skipped."""
-    found: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
-    low = np.uint64((1 << SPOT_BITS) - 1)
-    for m in range(len(MASKS)):
-        hashes = window_hashes(words, m)
-        likely = np.flatnonzero(seeds.spot[(hashes & low).astype(np.int64)])
-        if not len(likely):
-            continue
-        left = np.searchsorted(seeds.keys, hashes[likely], "left")
-        right = np.searchsorted(seeds.keys, hashes[likely], "right")
-        for at, a, b in zip(likely, left, right):
-            for place in seeds.places[a:b]:
-                item = int(np.searchsorted(seeds.begins, place, "right")) - 1
-                line = found.setdefault((item, int(at - place)), [])
-                if any(x[0] <= at and at + SPAN <= x[1] for x in line):
-                    continue
-                begin, end, first, agree = _overlap(words, int(at), seeds, int(place), item)
-                if _counts(end - begin, agree, int(seeds.begins[item + 1] - seeds.begins[item])):
-                    line.append((begin, end, first, agree))
-    rows = {(item, *x) for (item, _), line in found.items() for x in line}
-    for size in {n for n, _ in seeds.shorts}:
-        if len(words) >= size:
-            k = mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
-            total = np.zeros(len(words) - size + 1, dtype=np.uint64)
-            for j in range(size):
-                total += words[j : j + len(total)] * k[j]
-            wanted = np.array([h for n, h in seeds.shorts if n == size], dtype=np.uint64)
-            for at in np.flatnonzero(np.isin(total, wanted)):
-                for item in seeds.shorts[size, int(total[at])]:
-                    rows.add((item, int(at), int(at) + size, 0, size))
+    """Overlaps of one document: item index, begin, end, begin in the item, agreeing words."""
+    lines: set[tuple[int, int]] = set()
+    for at, left, right in _hits(words, seeds):
+        places, which = _spread(left, right, seeds.places)
+        items = np.searchsorted(seeds.begins, places, "right") - 1
+        lines.update(zip(items.tolist(), (at[which] - places).tolist()))
+    rows = set()
+    for item, shift in lines:
+        low, high = int(seeds.begins[item]), int(seeds.begins[item + 1])
+        first, last = max(low, -shift), min(high, len(words) - shift)
+        equal = words[first + shift : last + shift] == seeds.words[first:last]
+        for a, b in stretches(equal):
+            begin, end = first + a + shift, first + b + shift
+            rows.add((item, begin, end, first + a - low, int(equal[a:b].sum())))
+    for size, at, items, which in _short_hits(words, seeds):
+        for item, begin in set(zip(items.tolist(), at[which].tolist())):
+            low = int(seeds.begins[item])
+            same = int((words[begin : begin + size] == seeds.words[low : low + size]).sum())
+            if same >= SHARE * size:
+                rows.add((item, begin, begin + size, 0, same))
     return sorted(rows)
 
 
@@ -213,23 +234,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, sent_words: int = SENT_WORDS
 def _candidates(hashes: np.ndarray, offsets: np.ndarray, seeds: Seeds) -> list[int]:
     """Texts of a run that may have a hit: windows are hashed over the whole run at once,
     those across a border at worst name a text too many."""
-    low = np.uint64((1 << SPOT_BITS) - 1)
-    hit: list[np.ndarray] = []
-    for m in range(len(MASKS)):
-        found = window_hashes(hashes, m)
-        likely = np.flatnonzero(seeds.spot[(found & low).astype(np.int64)])
-        at = np.searchsorted(seeds.keys, found[likely])
-        at[at == len(seeds.keys)] = 0
-        if len(seeds.keys):
-            hit.append(likely[seeds.keys[at] == found[likely]])
-    for size in {n for n, _ in seeds.shorts}:
-        if len(hashes) >= size:
-            k = mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
-            total = np.zeros(len(hashes) - size + 1, dtype=np.uint64)
-            for j in range(size):
-                total += hashes[j : j + len(total)] * k[j]
-            wanted = np.array([h for n, h in seeds.shorts if n == size], dtype=np.uint64)
-            hit.append(np.flatnonzero(np.isin(total, wanted)))
+    hit = [at for at, _, _ in _hits(hashes, seeds)]
+    hit += [at for _, at, _, _ in _short_hits(hashes, seeds)]
     if not hit:
         return []
     return np.unique(np.searchsorted(offsets, np.concatenate(hit), "right") - 1).tolist()

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -415,6 +416,40 @@ def test_decontamination_finds_altered_passages(spark):
     assert {(r.doc_id, r.item_id) for r in out.collect()} == expected
 
 
+def altered(wrong, size):
+    """A document with one item of ``size`` words in it, of which those at ``wrong`` differ:
+    whether the item is found."""
+    item = [f"i{k}" for k in range(size)]
+    passage = [f"x{k}" if k in wrong else w for k, w in enumerate(item)]
+    texts = [" ".join(item).encode()], [" ".join(["a b c", *passage, "d e f"]).encode()]
+    seeds = decontamination.make_seeds([1], texts[0])
+    (_, _, (hashes,), offsets), = word_hashes(texts[1], True)
+    found = bool(decontamination.matches(hashes, seeds))
+    assert not found or decontamination._candidates(hashes, offsets, seeds) == [0]
+    return found
+
+
+def test_decontamination_hits_every_choice_of_changed_words():
+    for size in range(13, 21):
+        for wrong in combinations(range(1, size - 1), 2):
+            assert altered(wrong, size), (size, wrong)
+    for wrong in combinations(range(1, 14), 3):
+        three = any(k in wrong and k + 1 in wrong and k + 2 in wrong for k in wrong)
+        assert altered(wrong, 15) != three, wrong
+    for size in (15, 20, 26, 60, 203):
+        for first in range(1, 5):
+            assert altered(range(first, size - 1, 5), size), (size, first)
+    # not an overlap: too few words, or too few that agree
+    assert not altered((0, 1), 14) and not altered((2, 6, 10), 14)
+
+
+def test_decontamination_of_short_items():
+    for size in range(1, 13):
+        for n in range(size // 5 + 2):
+            found = {altered(wrong, size) for wrong in combinations(range(size), n)}
+            assert found == {n <= size // 5}, (size, n)
+
+
 def test_decontamination_beyond_the_size_that_is_sent(spark, monkeypatch):
     docs, tests = table(spark, SMALL, "documents"), table(spark, SMALL, "benchmark")
     whole = {tuple(r) for r in decontamination.overlaps(docs, tests).collect()}
