@@ -4,6 +4,7 @@ The pages of a host are aligned into one wrapper, a union-free regular expressio
 template (see ``wrappers``): each task folds the pages it reads into one wrapper per host,
 these are merged per host, and every page is then read through its host's wrapper, which
 tells the article's texts from those of the template. So no task holds a host's pages.
+Pages of the same html are one page of the wrapper, as copies do not make a template.
 
 The text of a page is the article without menus, headers of the page, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments; character references are
@@ -24,7 +25,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import maybe_in, table, written
 from .url_filter import host_and_path
 from .wrappers import blocks, merge, page_tree, page_wrapper
 
@@ -44,8 +45,20 @@ def _wrapper_rows(found: dict[str, list]) -> pa.RecordBatch:
     )
 
 
+def different_pages(pages: DataFrame) -> DataFrame:
+    """``host`` and ``html`` of the pages, copies once. Only html that may be of copies is
+    shuffled."""
+    named = pages.select("host", "html", F.xxhash64("host", "html").alias("_copy"))
+    copied, _ = written(
+        named.groupBy("_copy").count().where("count > 1").select("_copy"), "copied-pages"
+    )
+    may = maybe_in(copied, "_copy")(F.col("_copy"))
+    once = named.where(may).groupBy("_copy").agg(F.first("host").alias("host"), F.first("html").alias("html"))
+    return named.where(~may).select("host", "html").union(once.select("host", "html"))
+
+
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """``host`` and ``wrapper`` (JSON) of the pages (``host``, ``html``)."""
+    """``host`` and ``wrapper`` (JSON) of the different pages (``host``, ``html``)."""
 
     def of_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -72,7 +85,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
             yield _wrapper_rows({host: own})
 
     return (
-        pages.select("host", "html")
+        different_pages(pages)
         .mapInArrow(of_pages, WRAPPERS)
         .repartition(F.col("host"))
         .sortWithinPartitions("host", "wrapper")

@@ -16,15 +16,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from math import isqrt
 from zlib import crc32
 
 from .html_tokens import INLINE, Tag, balanced, tokens
 
 TEXT, GROUP = "#", "("
 LONGEST_PERIOD = 3
-# Sequences up to this length are aligned by a longest common subsequence, longer ones by
-# the next match.
-LONGEST_EXACT = 200
 
 # A node of a page: an element (key, children) or a text (TEXT, text, characters in links).
 Node = tuple
@@ -164,27 +162,35 @@ def _common(a: list, b: list) -> Iterator[tuple[int, int]]:
     if a == b:
         yield from ((i, i) for i in range(len(a)))
         return
-    if max(len(a), len(b)) > LONGEST_EXACT:
-        at = 0
-        for i, key in enumerate(a):
-            if key in b[at:]:
-                j = b.index(key, at)
-                yield i, j
-                at = j + 1
-        return
-    length = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            if a[i] == b[j]:
-                length[i][j] = length[i + 1][j + 1] + 1
-            else:
-                length[i][j] = max(length[i + 1][j], length[i][j + 1])
+    # Longest common subsequence. Bit n - 1 - i of a row j is 0 if a[i:] and b[j:] have one
+    # key more in common than a[i + 1:] and b[j:]; of the rows every ``step``-th is kept.
+    n, whole = len(a), (1 << len(a)) - 1
+    places: dict = {}
+    for i, key in enumerate(a):
+        places[key] = places.get(key, 0) | 1 << (n - 1 - i)
+
+    def before(row: int, j: int) -> int:
+        same = row & places.get(b[j], 0)
+        return (row + same | row - same) & whole
+
+    step = isqrt(len(b)) + 1
+    kept, row = {len(b): whole}, whole
+    for j in range(len(b) - 1, -1, -1):
+        row = before(row, j)
+        if j % step == 0:
+            kept[j] = row
     i = j = 0
-    while i < len(a) and j < len(b):
+    rows: dict[int, int] = {}
+    while i < n and j < len(b):
+        if j not in rows:
+            stop = min(j // step * step + step, len(b))
+            rows = {stop: kept[stop]}
+            for k in range(stop - 1, j - 1, -1):
+                rows[k] = before(rows[k + 1], k)
         if a[i] == b[j]:
             yield i, j
             i, j = i + 1, j + 1
-        elif length[i + 1][j] >= length[i][j + 1]:
+        elif rows[j] >> (n - 1 - i) & 1:
             i += 1
         else:
             j += 1
@@ -277,8 +283,10 @@ def _flat(items: list) -> list:
     return out
 
 
-# A text that is the same on so many pages of a host is part of the template.
+# A text that is the same on so many different pages of a host, and on such a share of them,
+# is part of the template.
 TEMPLATE_PAGES = 3
+TEMPLATE_SHARE = 0.5
 # Of a slot without an article's element around it, at most this share is links.
 LINK_SHARE = 0.5
 
@@ -287,6 +295,7 @@ def blocks(tree: list[Node], wrapper: list) -> list[str]:
     """The texts of the article, in page order: those in slots and texts of the wrapper that
     lie in the article's element; on a page without one, the slots of the rest."""
     found: list[tuple[int, str]] = []
+    often = max(TEMPLATE_PAGES, TEMPLATE_SHARE * wrapper[0])
 
     def walk(nodes: list[Node], items: list, level: int) -> None:
         flat = _flat(items)
@@ -301,7 +310,7 @@ def blocks(tree: list[Node], wrapper: list) -> list[str]:
                     break
             if node[0] == TEXT:
                 if level == PLAIN and own is not None:
-                    constant = own[2] is not None and own[1] >= TEMPLATE_PAGES
+                    constant = own[2] is not None and own[1] >= often
                     if constant or own[4] > LINK_SHARE * own[3]:
                         continue
                 found.append((level, node[1]))

@@ -296,6 +296,38 @@ def test_wrappers_without_an_article_element():
         assert wrappers.blocks(wrappers.page_tree(page(i)), own) == expected
 
 
+@pytest.mark.parametrize("copies", [3, 1000])
+def test_copies_of_a_page_are_no_template(spark, copies):
+    from supplypanel.llm.html_extraction import extract
+
+    def page(k):
+        return f"<body><div class=zz>Example Press</div><h1>Title {k}</h1><p>story {k}</p></body>"
+
+    own = "<body><div class=zz>Example Press</div><h2 class=o>Own title</h2><section>Own story</section></body>"
+    rows = [(i, "http://a.b/", "<body><h1>Only</h1><div><p>one page</p></div></body>") for i in range(copies)]
+    rows += [(-1 - i, "http://c.d/", own) for i in range(copies)]
+    rows += [(10_000 + i, "http://c.d/", page(i)) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    out = {r.page_id: r.text for r in extract(df, "page_id").collect()}
+    assert {out[i] for i in range(copies)} == {"Only\none page"}
+    assert {out[-1 - i] for i in range(copies)} == {"Own title\nOwn story"}
+    assert [out[10_000 + i] for i in range(6)] == [f"Title {i}\nstory {i}" for i in range(6)]
+
+
+def test_long_sequences_are_aligned_as_short_ones():
+    rng = random.Random(3)
+    for n, m in ((0, 4), (7, 9), (60, 50), (150, 190), (420, 390)):
+        a, b = ([rng.choice("abcdef") for _ in range(k)] for k in (n, m))
+        length = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(m):
+                best = max(length[i][j + 1], length[i + 1][j])
+                length[i + 1][j + 1] = length[i][j] + 1 if a[i] == b[j] else best
+        pairs = list(wrappers._common(a, b))
+        assert len(pairs) == length[n][m] and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
 def test_wrapper_of_repeated_groups():
     def shape(source):
         return wrappers.page_wrapper(wrappers.page_tree(source))
