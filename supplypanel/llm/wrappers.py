@@ -292,9 +292,10 @@ LINK_SHARE = 0.5
 
 
 def blocks(tree: list[Node], wrapper: list) -> list[str]:
-    """The texts of the article, in page order: those in slots and texts of the wrapper that
-    lie in the article's element; on a page without one, the slots of the rest."""
-    found: list[tuple[int, str]] = []
+    """The texts of the article, in page order: the slots of the wrapper, and texts that few
+    of the host's pages have, in the article's element or, on a page without one, in the
+    rest. An article of template texts alone is one that the pages repeat, and is kept."""
+    found: list[tuple[int, str, bool]] = []
     often = max(TEMPLATE_PAGES, TEMPLATE_SHARE * wrapper[0])
 
     def walk(nodes: list[Node], items: list, level: int) -> None:
@@ -309,11 +310,11 @@ def blocks(tree: list[Node], wrapper: list) -> list[str]:
                     own, at = flat[k], k
                     break
             if node[0] == TEXT:
+                constant = own is not None and own[2] is not None and own[1] >= often
                 if level == PLAIN and own is not None:
-                    constant = own[2] is not None and own[1] >= often
                     if constant or own[4] > LINK_SHARE * own[3]:
                         continue
-                found.append((level, node[1]))
+                found.append((level, node[1], constant))
                 continue
             what, header = role(node[0])
             if what == DROP or header and level < MAIN:
@@ -321,5 +322,6 @@ def blocks(tree: list[Node], wrapper: list) -> list[str]:
             walk(node[1], own[3] if own is not None else [], max(level, what))
 
     walk(tree, wrapper[1], PLAIN)
-    best = max((level for level, _ in found), default=PLAIN)
-    return [text for level, text in found if level == best]
+    best = max((level for level, *_ in found), default=PLAIN)
+    own_texts = [text for level, text, constant in found if level == best and not constant]
+    return own_texts or [text for level, text, _ in found if level == best]

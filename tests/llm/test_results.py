@@ -296,6 +296,28 @@ def test_wrappers_without_an_article_element():
         assert wrappers.blocks(wrappers.page_tree(page(i)), own) == expected
 
 
+def test_template_texts_inside_the_article():
+    def page(i):
+        line = "<div class='zq'><p>Get our letter</p></div>" if i % 4 else ""
+        return (
+            f"<article><h1>Title {i}</h1><p>story {i}</p>{line}<p>more {i}</p>"
+            f"<section class='k7'>Made by the Example Press</section></article>"
+        )
+
+    trees = [wrappers.page_tree(page(i)) for i in range(8)]
+    own = wrappers.page_wrapper(trees[0])
+    for tree in trees[1:]:
+        own = wrappers.merge(own, wrappers.page_wrapper(tree))
+    for i, tree in enumerate(trees):
+        assert wrappers.blocks(tree, own) == [f"Title {i}", f"story {i}", f"more {i}"]
+    # an article that pages repeat whole is no template
+    same = wrappers.page_tree("<article><h1>Title</h1><p>story</p></article>")
+    own = [5, wrappers.page_wrapper(same)[1]]
+    for _ in range(4):
+        own = wrappers.merge(own, wrappers.page_wrapper(same))
+    assert wrappers.blocks(same, own) == ["Title", "story"]
+
+
 @pytest.mark.parametrize("copies", [3, 1000])
 def test_copies_of_a_page_are_no_template(spark, copies):
     from supplypanel.llm.html_extraction import extract
