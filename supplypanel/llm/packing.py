@@ -37,8 +37,6 @@ RANKS = "byte_bpe_50k.tiktoken"
 KEPT_WORDS = 400_000
 # Nodes that the search may visit beyond the first descent.
 SEARCH_NODES = 2_000
-# Fillings that a node branches into.
-BRANCHES = 4
 
 
 def vocabulary_paths() -> tuple[str, str]:
@@ -176,42 +174,63 @@ def _reach(room: int, counts: dict[int, int], lengths: list[int]) -> list[int]:
     return out
 
 
-def _filling(target: int, reach: list[int], counts: dict[int, int], lengths: list[int]) -> list[int]:
-    """Lengths (given in ascending order) that add up to ``target``, always with as many
-    of the largest as can be: what is hard to place goes first."""
-    chosen = []
-    for i in range(len(lengths), 0, -1):
-        length = lengths[i - 1]
-        used = min(counts[length], target // length)
-        while used and not reach[i - 1] >> (target - used * length) & 1:
-            used -= 1
-        target -= used * length
-        chosen += [length] * used
-    return chosen
-
-
-def fillings(room: int, counts: dict[int, int], most: int) -> Iterator[tuple[int, ...]]:
-    """Undominated fillings of ``room``, the fullest first, at most ``most``: for each of
-    the highest reachable sums the one of the largest lengths. A lower sum is dominated
-    unless no length left over fits beside it."""
+def _exactly(
+    target: int, reach: list[int], counts: dict[int, int], lengths: list[int], top: int
+) -> Iterator[tuple[int, ...]]:
+    """All ways to add up to ``target`` from the first ``top`` lengths (given in ascending
+    order), those with most of the largest first: what is hard to place goes first."""
+    if not target:
+        yield ()
+        return
+    for i in range(top - 1, -1, -1):
+        if not reach[i + 1] >> target & 1:
+            return
+        length = lengths[i]
+        for used in range(min(counts[length], target // length), 0, -1):
+            if reach[i] >> (target - used * length) & 1:
+                for rest in _exactly(target - used * length, reach, counts, lengths, i):
+                    yield (length,) * used + rest
+
+
+def fillings(room: int, counts: dict[int, int]) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``room``, the fullest first. A filling is dominated if a
+    length left over fits beside it, so those up to the room left are all used."""
     lengths = sorted(n for n, c in counts.items() if c and n <= room)
+    forced: tuple[int, ...] = ()
+    used = 0
     reach = _reach(room, counts, lengths)
-    sums = reach[-1]
-    shortest = lengths[0] if lengths else room + 1
-    found = 0
     for target in range(room, -1, -1):
-        if found == most:
+        while used < len(lengths) and lengths[used] <= room - target:
+            forced += (lengths[used],) * min(counts[lengths[used]], room)
+            used += 1
+            reach = []
+        need = sum(forced)
+        if need > target:
             return
-        if not sums >> target & 1:
-            continue
-        chosen = _filling(target, reach, counts, lengths)
-        left = room - target
-        if found and left >= shortest:
-            used = {n: chosen.count(n) for n in set(chosen)}
-            if any(n <= left and counts[n] > used.get(n, 0) for n in lengths):
-                continue
-        found += 1
-        yield tuple(chosen)
+        rest = lengths[used:]
+        reach = reach or _reach(room, counts, rest)
+        if reach[-1] >> (target - need) & 1:
+            for chosen in _exactly(target - need, reach, counts, rest, len(rest)):
+                yield chosen + forced
+
+
+def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The patterns of best fit: every piece, the longest first, goes where least room is
+    left, into a new sequence if it fits nowhere."""
+    open_by_room: dict[int, list[tuple[tuple[int, ...], int]]] = {capacity: []}
+    for n in sorted(counts, reverse=True):
+        pieces = counts[n]
+        while pieces:
+            room = min((r for r, found in open_by_room.items() if found and r >= n), default=capacity)
+            pattern, times = open_by_room[room].pop() if open_by_room[room] else ((), pieces)
+            # the next of the same length fit best where one went
+            each = min(room // n, pieces)
+            used = min(times, pieces // each)
+            open_by_room.setdefault(room - each * n, []).append((pattern + (n,) * each, used))
+            if pattern and times > used:
+                open_by_room[room].append((pattern, times - used))
+            pieces -= each * used
+    return [x for found in open_by_room.values() for x in found]
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -233,65 +252,79 @@ def bin_completion(
 ) -> list[tuple[tuple[int, ...], int]]:
     """Patterns and how many sequences use each, for pieces given as a count by length.
 
-    Always completes the sequence of the largest piece left. The first descent takes the
-    fullest filling each time (the incumbent); the search then goes back over the other
-    undominated fillings, as long as the space wasted so far would still allow fewer
-    sequences than the incumbent, until the lower bound is met or ``nodes`` are visited.
+    Always completes the sequence of the largest piece left. The incumbent is best fit
+    decreasing; the first descent takes the fullest filling each time, for as many sequences
+    as there are pieces. The search then goes back over the other undominated fillings and
+    over fewer sequences (a half, a quarter and so on), as long as the space wasted so far
+    would still allow fewer sequences than the incumbent; first over descents that depart
+    from the first choices by one step, then by two and so on, until the lower bound is met,
+    nothing is left out or ``nodes`` are visited.
     """
     counts = {n: c for n, c in counts.items() if c}
     if not counts:
         return []
     total = sum(n * c for n, c in counts.items())
     goal = lower_bound(counts, capacity)
-    best: list[tuple[tuple[int, ...], int]] | None = None
-    best_size = 0
+    best = best_fit_decreasing(counts, capacity)
+    best_size = sum(times for _, times in best)
     visited = 0
     size = wasted = 0
     left = dict(counts)
 
-    def options() -> Iterator[tuple[int, ...]]:
-        largest = max(n for n, c in left.items() if c)
-        left[largest] -= 1
-        found = list(fillings(capacity - largest, left, 1 if best is None else BRANCHES))
-        left[largest] += 1
-        return iter([(largest, *x) for x in found])
-
-    stack: list[Iterator[tuple[int, ...]]] = [options()]
-    taken: list[tuple[tuple[int, ...], int]] = []
-    while stack:
-        pattern = next(stack[-1], None)
-        if pattern is not None:
-            visited += 1
-            need: dict[int, int] = {}
-            for n in pattern:
-                need[n] = need.get(n, 0) + 1
-            times = min(left[n] // k for n, k in need.items())
-            waste = times * (capacity - sum(pattern))
-            # the last sequence of all may be part empty, so waste is bound by the total
-            if best is not None and wasted + waste > (best_size - 1) * capacity - total:
+    def options() -> Iterator[tuple[int, int, tuple[int, ...], int]]:
+        now = dict(left)
+        largest = max(n for n, c in now.items() if c)
+        now[largest] -= 1
+        for rank, rest in enumerate(fillings(capacity - largest, now)):
+            pattern = (largest, *rest)
+            have = {n: now[n] + (n == largest) for n in pattern}
+            times = min(c // pattern.count(n) for n, c in have.items())
+            halved = 0
+            while times:
+                yield rank, halved, pattern, times
+                times, halved = times // 2, halved + 1
+
+    steps, more = 0, True
+    while more and best_size > goal and visited <= nodes:
+        more = False
+        stack = [(options(), steps)]
+        taken: list[tuple[tuple[int, ...], int]] = []
+        while stack and best_size > goal and visited <= nodes:
+            choices, may = stack[-1]
+            rank, halved, pattern, times = next(choices, (-1, 0, (), 0))
+            if rank > may or rank < 0:
+                more |= rank > may
+                stack.pop()
+            elif rank + halved > may:
+                more = True
                 continue
-            for n, k in need.items():
-                left[n] -= k * times
-            taken.append((pattern, times))
-            size, wasted = size + times, wasted + waste
-            if any(left.values()):
-                stack.append(options())
+            else:
+                visited += steps > 0
+                waste = times * (capacity - sum(pattern))
+                # the last sequence of all may be part empty, so waste is bound by the total
+                if steps and wasted + waste > (best_size - 1) * capacity - total:
+                    continue
+                for n in pattern:
+                    left[n] -= times
+                taken.append((pattern, times))
+                size, wasted = size + times, wasted + waste
+                if any(left.values()):
+                    stack.append((options(), may - rank - halved))
+                    continue
+                if size < best_size:
+                    best, best_size = list(taken), size
+            if not taken:
                 continue
-            if best is None or size < best_size:
-                best, best_size = list(taken), size
-            if best_size <= goal or visited > nodes:
-                break
-        else:
-            stack.pop()
-            if visited > nodes and best is not None:
-                break
-        if not taken:
-            continue
-        pattern, times = taken.pop()
-        for n in pattern:
-            left[n] += times
-        size, wasted = size - times, wasted - times * (capacity - sum(pattern))
-    return best or []
+            pattern, times = taken.pop()
+            for n in pattern:
+                left[n] += times
+            size, wasted = size - times, wasted - times * (capacity - sum(pattern))
+        for pattern, times in taken:  # of a search that was ended
+            for n in pattern:
+                left[n] += times
+        size = wasted = 0
+        steps += 1
+    return best
 
 
 def _places(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:

@@ -443,6 +443,41 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert packing.lower_bound(Counter(items), 20) <= best_packing(items, 20) == bins, items
 
 
+def test_bin_completion_goes_back_over_its_choices():
+    def size(patterns):
+        return sum(times for _, times in patterns)
+
+    fewest = {7: (75, 77), 100: (1067, 1089)}  # by the first descent, by best fit decreasing
+    for times, (descent, best_fit) in fewest.items():
+        rng = random.Random(2)
+        counts = Counter({rng.randint(150, 500): times * rng.randint(1, 9) for _ in range(8)})
+        assert size(packing.best_fit_decreasing(counts, 1024)) == best_fit
+        assert size(packing.bin_completion(counts, 1024, nodes=-1)) == best_fit
+        found = packing.bin_completion(counts, 1024)
+        assert packing.lower_bound(counts, 1024) <= size(found) < descent
+        used = Counter()
+        for lengths, n in found:
+            assert sum(lengths) <= 1024
+            used.update({k: n * lengths.count(k) for k in lengths})
+        assert used == counts
+
+
+def test_fillings_are_all_undominated_ones():
+    rng = random.Random(4)
+    for _ in range(60):
+        counts = Counter(rng.randint(2, 12) for _ in range(rng.randint(0, 8)))
+        every = {()}
+        for n in counts.elements():
+            every |= {tuple(sorted((*x, n))) for x in every}
+        wanted = {
+            x for x in every
+            if sum(x) <= 20 and not any(n <= 20 - sum(x) and counts[n] > x.count(n) for n in counts)
+        }
+        found = [tuple(sorted(x)) for x in packing.fillings(20, counts)]
+        assert len(found) == len(set(found)) and set(found) == wanted
+        assert [sum(x) for x in found] == sorted(map(sum, found), reverse=True)
+
+
 def test_decontamination_finds_altered_passages(spark):
     rng = random.Random(6)
 
