@@ -37,7 +37,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of n-gram near-duplicates, the one with the smallest id.
     Rows of one id are one document."""
-    classes = ngram_join.near_duplicates(docs)
+    classes = ngram_join.near_duplicates(docs, n=5, threshold=80)
     later, _ = written(
         classes.where("component_id != doc_id").select("doc_id").distinct(), "later-copies"
     )

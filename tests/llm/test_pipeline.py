@@ -76,6 +76,19 @@ def test_near_duplicates(stages):
     assert set(texts(after)) == kept
 
 
+def test_near_duplicates_by_five_words(spark):
+    words = [f"w{k}" for k in range(395)]
+    near = list(words)
+    for at in range(20, 380, 45):  # 8 words: a Jaccard of 0.81 by five words, 0.849 by four
+        near[at] = f"x{at}"
+    by = {n: [{tuple(x[j : j + n]) for j in range(396 - n)} for x in (words, near)] for n in (4, 5)}
+    share = {n: len(a & b) / len(a | b) for n, (a, b) in by.items()}
+    assert share[5] >= 0.8 and share[4] < 0.85
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near))], "doc_id bigint, text string")
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert [r.doc_id for r in out.collect()] == [1]
+
+
 def test_decontamination(spark, stages):
     before, after = stages["decontamination"]
     items = [r.text for r in table(spark, FOLDER, "benchmark").collect()]
