@@ -170,7 +170,7 @@ def projected(spark: SparkSession, blocks: BlockMatrix, matrix: np.ndarray) -> B
     size, k = matrix.shape
     local = Matrices.dense(size, k, matrix.ravel(order="F"))
     right = BlockMatrix(spark.sparkContext.parallelize([((0, 0), local)], 1), size, k, size, k)
-    return BlockMatrix(blocks.multiply(right)._java_matrix_wrapper._java_model, BLOCK_ROWS, k)
+    return blocks.multiply(right)
 
 
 def whitening_matrix(covariance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
