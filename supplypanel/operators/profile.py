@@ -9,6 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from supplypanel.functions.arithmetic import percent_of
+from supplypanel.operators.quantiles import (
+    bracket_expressions,
+    quantiles,
+    quantiles_in,
+    same_keys,
+)
 from supplypanel.operators.selection import require_columns, to_rows
 from supplypanel.session import settle
 
@@ -66,23 +72,24 @@ def describe_columns(
         "min": F.min,
         "max": F.max,
     }
+    sought = bracket_expressions(columns, list(QUARTILES.values())) if quartiles else {}
     values = df.groupBy(*by).agg(
-        *[f(F.col(c).cast("double")).alias(f"{c}|{m}") for c in columns for m, f in measures.items()]
+        *[f(F.col(c).cast("double")).alias(f"{c}|{m}") for c in columns for m, f in measures.items()],
+        *[e.alias(name) for name, e in sought.items()],
     )
+    if quartiles:
+        values = settle(values, "summary")  # one row for each key
     cells = [
         {"column": F.lit(c)} | {m: F.col(f"`{c}|{m}`") for m in measures} for c in columns
     ]
     summary = to_rows(values, by, cells)
     if not quartiles:
         return summary
-    long = to_rows(
-        df, by, [{"|column": F.lit(c), "|value": F.col(c).cast("double")} for c in columns]
-    )
-    found = quantiles(long, "|value", [*by, "|column"], list(QUARTILES.values()))
+    found = quantiles_in(df, values, columns, by, list(QUARTILES.values()))
     wide = found.groupBy(*by, "|column").agg(
         *[F.max(F.when(F.col("quantile") == q, F.col("value"))).alias(m) for m, q in QUARTILES.items()]
     )
-    same = _same_keys(summary, wide, [*((c, c) for c in by), ("column", "|column")])
+    same = same_keys(summary, wide, [*((c, c) for c in by), ("column", "|column")])
     return summary.join(wide, same, "left").select(
         *[summary[c] for c in summary.columns], *[wide[m] for m in QUARTILES]
     )
@@ -106,83 +113,19 @@ def correlations(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     return to_rows(values, by, cells)
 
 
-# Values between the bounds of a quantile are counted in so many intervals at a time.
-INTERVALS = 1024
-
-
-def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]) -> Column:
-    """Equality of keys, a missing one being equal to a missing one."""
-    same = F.lit(True)
-    for a, b in keys:
-        same &= left[a].eqNullSafe(right[b])
-    return same
-
-
-def quantiles(
-    df: DataFrame, column: str, by: Sequence[str], shares: Sequence[float]
-) -> DataFrame:
-    """Exact quantiles per key: ``quantile`` and ``value``, the lowest value that at least
-    this share of the values does not exceed. Missing values and NaN do not count.
-
-    The bounds of each quantile are narrowed in passes: the values between them are counted
-    in ``INTERVALS`` equal intervals, and the interval that holds the quantile's rank gives
-    the new bounds, until these meet. A pass is a pre-aggregated count, so no task holds the
-    values of a key; what is kept between passes is a row per key and quantile.
-    """
-    names = [f"|k{i}" for i in range(len(by))]
-    value = F.col(column).cast("double")
-    rows = df.select(*[F.col(c).alias(n) for c, n in zip(by, names)], value.alias("|v"))
-    rows = rows.where(F.col("|v").isNotNull() & ~F.isnan("|v"))
-    ranks = F.array(
-        *[
-            F.struct(
-                F.lit(q).alias("quantile"),
-                F.greatest(F.ceil(F.lit(q) * F.col("n")), F.lit(1)).cast("long").alias("rank"),
-            )
-            for q in shares
-        ]
-    )
-    state = settle(
-        rows.groupBy(*names)
-        .agg(F.count(F.lit(1)).alias("n"), F.min("|v").alias("low"), F.max("|v").alias("high"))
-        .where("n > 0")
-        .select(*names, F.explode(ranks).alias("q"), "low", "high")
-        .select(*names, "q.quantile", "q.rank", "low", "high"),
-        "quantiles",
-    )
-    keys = [*names, "quantile"]
-    while state.where("low < high").limit(1).count():
-        wanted = state.where("low < high").withColumnsRenamed({n: f"{n}w" for n in names})
-        same = (rows["|v"] >= wanted["low"]) & (rows["|v"] <= wanted["high"])
-        for n in names:
-            same &= rows[n].eqNullSafe(wanted[f"{n}w"])
-        part = F.floor((F.col("|v") - F.col("low")) / (F.col("high") - F.col("low")) * INTERVALS)
-        counts = (
-            rows.join(wanted, same)
-            .groupBy(*keys, "rank", F.least(part, F.lit(INTERVALS - 1)).alias("part"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("|v").alias("low"), F.max("|v").alias("high"))
-        )
-        upto = Window.partitionBy(*keys).orderBy("part")
-        narrowed = (
-            counts.withColumn("upto", F.sum("n").over(upto))
-            .where("upto >= rank and upto - n < rank")
-            .select(*keys, (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"), "low", "high")
-        )
-        state = settle(state.where("low = high").unionByName(narrowed), "quantiles")
-    return state.select(
-        *[F.col(n).alias(c) for c, n in zip(by, names)], "quantile", F.col("low").alias("value")
-    )
-
-
 def outlier_fences(
     df: DataFrame, column: str, by: Sequence[str] = (), width: float = 1.5
 ) -> DataFrame:
-    """Per key: lower and upper fence, ``width`` quartile distances beyond the quartiles."""
+    """Per key: lower and upper fence, ``width`` quartile distances beyond the quartiles. A
+    fence that infinite quartiles leave undefined is missing, and nothing lies beyond it."""
     found = quantiles(df, column, by, [0.25, 0.75])
     quartiles = found.groupBy(*by).agg(F.min("value").alias("q1"), F.max("value").alias("q3"))
     distance = F.lit(width) * (F.col("q3") - F.col("q1"))
+    lower, upper = F.col("q1") - distance, F.col("q3") + distance
     return quartiles.select(
-        *by, (F.col("q1") - distance).alias("lower"), (F.col("q3") + distance).alias("upper")
+        *by,
+        F.when(~F.isnan(lower), lower).alias("lower"),
+        F.when(~F.isnan(upper), upper).alias("upper"),
     )
 
 
@@ -195,9 +138,9 @@ def outliers(
     fences = outlier_fences(df, column, by, width)
     fences = fences.withColumnsRenamed({c: f"|{c}" for c in by})
     value = df[column].cast("double")
-    beyond = (value < fences["lower"]) | (value > fences["upper"])
-    same = _same_keys(df, fences, [(c, f"|{c}") for c in by])
+    beyond = ~F.isnan(value) & (value < fences["lower"]) | (~F.isnan(value) & (value > fences["upper"]))
+    same = same_keys(df, fences, [(c, f"|{c}") for c in by])
     if by:
         return df.join(fences, same & beyond).select(*[df[c] for c in df.columns])
     low, high = fences.select("lower").scalar(), fences.select("upper").scalar()
-    return df.where((value < low) | (value > high))
+    return df.where(~F.isnan(value) & ((value < low) | (value > high)))

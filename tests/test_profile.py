@@ -9,7 +9,7 @@ from conftest import plan_of, rows
 from pyspark.sql import functions as F
 
 from catalogue import queries as q
-from supplypanel.operators import profile
+from supplypanel.operators import profile, quantiles
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -53,6 +53,55 @@ def test_quantiles_against_sorted_values(spark, n):
             assert out[k, q] == values[max(math.ceil(q * len(values)), 1) - 1]
 
 
+@pytest.mark.parametrize("accuracy", [10_000, 3])
+def test_quantiles_of_extreme_values(spark, monkeypatch, accuracy):
+    """Infinities and the largest doubles, also where the sketch is too coarse to be right."""
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    inf = math.inf
+    sets = {
+        "inf": [1.0, 2.0, 5.0, inf],
+        "both": [-inf, -inf, 0.0, -0.0, inf],
+        "wide": [1e308, -1e308, 1.7e308, -1.7e308, 5e-324, -5e-324],
+        "same": [3.0] * 50,
+        "many": [math.ldexp(x, 900) for x in range(-500, 500)],
+        "none": [],
+    }
+    data = [(k, v) for k, values in sets.items() for v in [*values, math.nan, None]]
+    df = spark.createDataFrame(data, "k string, v double").repartition(7)
+    shares = [0.0, 0.25, 0.5, 0.75, 1.0]
+    out = {(r.k, r.quantile): r.value for r in profile.quantiles(df, "v", ["k"], shares).collect()}
+    for k, values in sets.items():
+        values = sorted(values)
+        for q in shares:
+            expected = values[max(math.ceil(q * len(values)), 1) - 1] if values else None
+            assert out.get((k, q)) == expected, (k, q)
+
+
+def test_quantiles_take_two_scans(spark, monkeypatch):
+    """The rows are read once for the brackets and once inside them, for all columns."""
+    reads = []
+    own = quantiles._ranked
+    monkeypatch.setattr(quantiles, "_ranked", lambda *a: reads.append(1) or own(*a))
+    df = spark.range(20_000).select(
+        (F.col("id") % 3).alias("k"), (F.hash("id") / 7).alias("a"), (F.col("id") % 11).alias("b")
+    )
+    out = profile.describe_columns(df, ["a", "b"], ["k"]).collect()
+    values = {(k, c): sorted(r[c] for r in df.where(F.col("k") == k).collect()) for k in range(3) for c in "ab"}
+    for r in out:
+        own_values = values[r.k, r.column]
+        assert (r.q1, r.median, r.q3) == tuple(
+            own_values[math.ceil(q * len(own_values)) - 1] for q in (0.25, 0.5, 0.75)
+        )
+    assert len(reads) == 1
+
+
+def test_outliers_of_infinite_values(spark):
+    inf = math.inf
+    data = [("a", v) for v in [1.0, 2.0, 3.0, 4.0, inf, math.nan, None]] + [("b", inf), ("b", inf), ("b", 1.0)]
+    df = spark.createDataFrame(data, "k string, v double")
+    assert rows(profile.outliers(df, "v", ["k"])) == [("a", inf)]
+
+
 def test_outliers_of_a_missing_key_and_without_keys(spark):
     data = [(None, float(v)) for v in [*range(20), 1_000_000]] + [("a", float(v)) for v in range(20)]
     df = spark.createDataFrame(data, "k string, v double")
