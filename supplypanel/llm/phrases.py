@@ -59,7 +59,9 @@ BREAKS = (0x2E, 0x2C, 0x3B, 0x3A, 0x21, 0x3F, 0x0A, 0x0B, 0x0C, 0x0D)
 BLANKS = (0x20, 0x09)
 
 # Words of a task that are counted together before they leave it.
-BUFFERED = 4_000_000
+BUFFERED = 200_000
+# Words that a task remembers to have named.
+NAMED = 200_000
 # Bits of a bitmap: 16 for each key, between these bounds (16 MB at most).
 FEWEST_BITS, MOST_BITS = 1 << 20, 1 << 27
 
@@ -90,77 +92,88 @@ def language_number(lang: str, salt: int) -> np.uint64:
     return np.uint64(zlib.crc32(raw) << 32 | zlib.crc32(raw, salt + 1))
 
 
-def word_numbers(text: bytes, lang: np.uint64) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """The numbers of a text's words with a 0 wherever a piece ends; then the numbers of its
-    distinct words and these words."""
+def _words_of(
+    data: np.ndarray, langs: np.ndarray, edges: np.ndarray, open_piece: bool
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """The numbers of the words in ``data``, in which texts of the languages ``langs`` begin at
+    ``edges``, with a 0 wherever a piece ends; their distinct numbers with start and end of
+    one of them; whether the last piece goes on. ``open_piece``: the first one does."""
     breaks, both = _ends()
-    parts, seen, last = [], {}, 0
-    for chunk in _chunks(text):
-        data = np.frombuffer(chunk, dtype=np.uint8)
-        starts, words = hash_piece(data, both)
-        passed = np.cumsum(breaks[data])
-        if len(starts):
-            words = np.maximum(mix(words ^ lang), np.uint64(1))
-            piece = passed[starts]
-            new = np.concatenate([[piece[0] + last > 0], piece[1:] != piece[:-1]])
-            parts.append(np.insert(words, np.flatnonzero(new), np.uint64(0)))
-            numbers, first = np.unique(words, return_index=True)
-            after = np.flatnonzero(both[data])
-            stops = np.append(after, len(data))[np.searchsorted(after, starts[first])]
-            for number, a, b in zip(numbers.tolist(), starts[first].tolist(), stops.tolist()):
-                if number not in seen:
-                    seen[number] = chunk[a:b].lower()
-            last = int(passed[-1]) - int(piece[-1])
-        elif len(passed):
-            last += int(passed[-1])
-    flat = np.concatenate([*parts, np.zeros(1, np.uint64)])
-    return flat, np.fromiter(seen, dtype=np.uint64, count=len(seen)), list(seen.values())
+    starts, words = hash_piece(data, both)
+    passed = np.cumsum(breaks[data])
+    if not len(starts):
+        none = np.zeros(0, dtype=np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), none, none, open_piece and not passed[-1:].any()
+    own = langs[np.searchsorted(edges, starts, side="right") - 1]
+    words = np.maximum(mix(words ^ own), np.uint64(1))
+    piece = passed[starts]
+    new = np.concatenate([[piece[0] > 0 or not open_piece], piece[1:] != piece[:-1]])
+    flat = np.insert(words, np.flatnonzero(new), np.uint64(0))
+    numbers, first = np.unique(words, return_index=True)
+    after = np.append(np.flatnonzero(both[data]), len(data))
+    begins = starts[first]
+    return flat, numbers, begins, after[np.searchsorted(after, begins)], passed[-1] == piece[-1]
+
+
+def numbered_runs(
+    texts: list[bytes], langs: list[str], salt: int
+) -> Iterator[tuple[np.ndarray, list[tuple[str, int, bytes]]]]:
+    """For texts of about ``PIECE_BYTES`` together: the numbers of their words with a 0 wherever
+    a piece ends, and language, number and text of their distinct words."""
+    first = 0
+    while first < len(texts):
+        stop, size = first, 0
+        while stop < len(texts) and (size == 0 or size + len(texts[stop]) < PIECE_BYTES):
+            size += len(texts[stop]) + 1
+            stop += 1
+        run = texts[first:stop]
+        # a text's first byte ends the piece before it, except in parts of one long text
+        parts = list(_chunks(run[0])) if len(run) == 1 else [b"\n" + b"\n".join(run)]
+        edges = np.cumsum([0] + [len(x) + 1 for x in run[:-1]])
+        numbers = np.array([language_number(x, salt) for x in langs[first:stop]], dtype=np.uint64)
+        found, named, goes_on = [], [], False
+        for part in parts:
+            data = np.frombuffer(part, dtype=np.uint8)
+            flat, ids, begins, ends, goes_on = _words_of(data, numbers, edges, goes_on)
+            found.append(flat)
+            at = np.searchsorted(edges, begins, side="right") - 1
+            lowered = part.lower()
+            named += [
+                (langs[first + k], i, lowered[a:b])
+                for k, i, a, b in zip(at.tolist(), ids.tolist(), begins.tolist(), ends.tolist())
+            ]
+        yield np.concatenate([*found, np.zeros(1, np.uint64)]), named
+        first = stop
 
 
 def tokenized(docs: DataFrame, salt: int) -> DataFrame:
     """``words``: the numbers of many texts in a row, 0 between pieces; ``lang``, ``ids`` and
-    ``names``: what words of one language the task has not named before."""
+    ``names``: what words of one language the task has not named lately."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        named: set[tuple[str, int]] = set()
-
-        def out(words: list[np.ndarray], lang: str | None, ids: list[int], names: list[bytes]):
-            flat = np.concatenate([*words, np.zeros(0, np.uint64)]).view(np.int64)
-            numbers = np.array(ids, dtype=np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays(
-                [
-                    lists(flat, np.array([0, len(flat)]), pa.int64()),
-                    pa.array([lang], type=pa.string()),
-                    lists(numbers, np.array([0, len(ids)]), pa.int64()),
-                    pa.array([[n.decode() for n in names]], type=pa.list_(pa.string())),
-                ],
-                names=["words", "lang", "ids", "names"],
-            )
-
-        held, size = [], 0
+        known: set[int] = set()
         for batch in batches:
-            fresh: dict[str, tuple[list[int], list[bytes]]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                if not text:
-                    continue
-                flat, ids, names = word_numbers(text, language_number(lang, salt))
-                held.append(flat)
-                size += len(flat)
-                if len(named) > BUFFERED:
-                    named.clear()
-                for number, name in zip(ids.tolist(), names):
-                    if (lang, number) not in named:
-                        named.add((lang, number))
-                        own = fresh.setdefault(lang, ([], []))
-                        own[0].append(number)
-                        own[1].append(name)
-                if size > PIECE_BYTES // 8:
-                    yield out(held, None, [], [])
-                    held, size = [], 0
-            for lang, (numbers, names) in fresh.items():
-                yield out([], lang, numbers, names)
-        if held:
-            yield out(held, None, [], [])
+            langs = batch.column(0).to_pylist()
+            for flat, named in numbered_runs([x or b"" for x in utf8(batch.column(1))], langs, salt):
+                if len(known) > NAMED:
+                    known.clear()
+                fresh: dict[str, list[tuple[int, bytes]]] = {}
+                for lang, number, name in named:
+                    if number not in known:
+                        fresh.setdefault(lang, []).append((number, name))
+                known.update(number for _, number, _ in named)
+                ids = [np.array([i for i, _ in own], dtype=np.uint64).view(np.int64) for own in fresh.values()]
+                ends = np.cumsum([0, 0, *map(len, ids)])
+                texts = [[]] + [[name.decode() for _, name in own] for own in fresh.values()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        lists(flat.view(np.int64), np.array([0] + [len(flat)] * len(texts)), pa.int64()),
+                        pa.array([None, *fresh], type=pa.string()),
+                        lists(np.concatenate([*ids, np.zeros(0, np.int64)]), ends, pa.int64()),
+                        pa.array(texts, type=pa.list_(pa.string())),
+                    ],
+                    names=["words", "lang", "ids", "names"],
+                )
 
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     return own.mapInArrow(rows, "words array<bigint>, lang string, ids array<bigint>, names array<string>")
