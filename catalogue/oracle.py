@@ -693,6 +693,36 @@ ORACLE: dict[str, str] = {
     "order_change": """SELECT o_custkey, o_orderkey, o_totalprice, (o_totalprice / nullif(
  lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 0) - 1.0) * 100.0
  AS price_change FROM orders""",
+    "line_change": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+ (l_extendedprice / nullif(lag(l_extendedprice) OVER (
+ ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice), 0) - 1.0) * 100.0 AS price_change FROM lineitem""",
+    # as whole numbers of 2^-53 and 2^-60, the last binary places that these columns can have;
+    # through text, which is rounded once
+    "double_sums": """SELECT l_suppkey,
+ CAST(CAST(sum(CAST(l_extendedprice * 9007199254740992 AS HUGEINT)) AS VARCHAR) AS DOUBLE)
+ / 9007199254740992 AS l_extendedprice,
+ CAST(CAST(sum(CAST(l_tax * 1152921504606846976 AS HUGEINT)) AS VARCHAR) AS DOUBLE)
+ / 1152921504606846976 AS l_tax FROM lineitem GROUP BY 1""",
+    "repeated_lines": """SELECT l_linenumber, l_returnflag, l_linestatus, l_quantity, l_discount, l_tax,
+ count(*) AS lines FROM lineitem GROUP BY ALL HAVING count(*) > 1""",
+    "distinct_lines": """SELECT DISTINCT * REPLACE (CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS l_shipdate)
+ FROM lineitem""",
+    "order_features": """WITH earlier AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'),
+ cuts AS (SELECT list_distinct([quantile_disc(o_totalprice, 0.25), quantile_disc(o_totalprice, 0.5),
+ quantile_disc(o_totalprice, 0.75)]) AS cuts, avg(o_totalprice) AS mean, stddev_samp(o_totalprice) AS std FROM earlier),
+ priorities AS (SELECT o_orderpriority AS p, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS code
+ FROM earlier WHERE o_orderpriority IS NOT NULL GROUP BY 1 QUALIFY code <= 3),
+ states AS (SELECT o_orderstatus AS s, row_number() OVER (ORDER BY count(*) DESC, o_orderstatus) AS code
+ FROM earlier WHERE o_orderstatus IS NOT NULL GROUP BY 1 QUALIFY code <= 5),
+ customers AS (SELECT o_custkey AS c, avg(o_totalprice) AS own FROM earlier WHERE o_custkey IS NOT NULL GROUP BY 1)
+ SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
+ CAST(1 + len(list_filter(cuts, lambda x: x < o_totalprice)) AS INTEGER) AS o_totalprice_bin,
+ CAST(coalesce(priorities.code, 0) AS INTEGER) AS o_orderpriority_code,
+ CAST(coalesce(states.code, 0) AS INTEGER) AS o_orderstatus_code,
+ round((o_totalprice - mean) / std, 5) AS o_totalprice_z,
+ round(coalesce(own, mean), 5) AS o_totalprice_by_o_custkey
+ FROM orders CROSS JOIN cuts LEFT JOIN priorities ON p = o_orderpriority LEFT JOIN states ON s = o_orderstatus
+ LEFT JOIN customers ON c = o_custkey""",
     "full_report": _report(),
     "chart_bundle": _charts(),
 }

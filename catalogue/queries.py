@@ -19,7 +19,17 @@ from supplypanel.functions.text import (
     prefix_category,
     year_suffix,
 )
-from supplypanel.operators import categories, change, charts, measures, profile, topk
+from supplypanel.operators import (
+    categories,
+    change,
+    charts,
+    duplicates,
+    exact_sums,
+    features,
+    measures,
+    profile,
+    topk,
+)
 from supplypanel.operators.selection import latest_year_of, select_year
 from supplypanel.plans import report, sinks
 from supplypanel.session import drop_folder, scratch_folder, settle
@@ -42,6 +52,8 @@ FOLDER_PER_YEAR = "{root}/year={year}"
 MISSING = {c: "Suplr_NPI % 7 = 3" for c in op.BENE_COLUMNS} | {
     c: "(Suplr_NPI + year) % 5 = 0" for c in (*op.PRIORITY_COLUMNS, *op.RETURN_COLUMNS)
 }
+LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+REPEATING = ["l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax"]
 LINE_RULES = (("l_line", "Line"), ("l_ship", "Shipping"), ("l_", "Rest"))
 PRIORITY_RULES = (("1-", "Pressing"), ("2-", "Pressing"), ("3-M", "Normal"), ("3", "Never"))
 
@@ -518,6 +530,47 @@ def order_change(spark, folder):
     return change.pct_change(orders, {"o_totalprice": "price_change"}, "o_orderkey", ["o_custkey"])
 
 
+def line_change(spark, folder):
+    """Percent change of the price from the order line before, in the order of the table."""
+    keys = [*LINE_KEYS, "l_extendedprice"]  # lines that are equal in all of them may swap
+    lines = table(spark, folder, "lineitem").select(*keys)
+    return change.ordered_change(lines, {"l_extendedprice": "price_change"}, keys)
+
+
+def double_sums(spark, folder):
+    """Sums of doubles as they are, the same whatever the partitioning."""
+    lines = table(spark, folder, "lineitem")
+    return exact_sums.exact_sums(lines, ["l_extendedprice", "l_tax"], ["l_suppkey"])
+
+
+def repeated_lines(spark, folder):
+    """Order lines that repeat as a whole: lines without their order, and how often."""
+    lines = table(spark, folder, "lineitem")
+    return duplicates.repeated_rows(lines.select(*REPEATING), "lines")
+
+
+def distinct_lines(spark, folder):
+    shipped = F.col("l_shipdate").cast("date").cast("string")
+    return duplicates.distinct_rows(table(spark, folder, "lineitem").withColumn("l_shipdate", shipped))
+
+
+FEATURES = features.FeaturePlan(
+    bins={"o_totalprice": 4},
+    levels={"o_orderpriority": 3, "o_orderstatus": 5},
+    scores=["o_totalprice"],
+    means={"o_custkey": "o_totalprice"},
+)
+
+
+def order_features(spark, folder):
+    """Features of all orders, learned from those of the earlier years."""
+    orders = table(spark, folder, "orders")
+    state = features.fit_features(orders.where("o_orderdate < timestamp_ntz '1998-01-01'"), FEATURES)
+    derived = features.apply_features(orders, state)
+    rounded = {c: F.round(c, 5) for c in ("o_totalprice_z", "o_totalprice_by_o_custkey")}
+    return derived.withColumns(rounded).drop("o_orderdate")
+
+
 # Everything together.
 
 
@@ -597,6 +650,11 @@ QUERIES: dict[str, Query] = {
     "line_means": line_means,
     "top_orders": top_orders,
     "order_change": order_change,
+    "line_change": line_change,
+    "double_sums": double_sums,
+    "repeated_lines": repeated_lines,
+    "distinct_lines": distinct_lines,
+    "order_features": order_features,
     "full_report": full_report,
     "chart_bundle": chart_bundle,
 }

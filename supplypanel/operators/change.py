@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from supplypanel.functions.arithmetic import percent_change, safe_div
 from supplypanel.operators.selection import to_rows
+from supplypanel.session import settle
 
 # Reported metrics and their columns.
 CHANGE_METRICS = {
@@ -39,7 +40,7 @@ def pct_change(
     as many as there are years; see ``yearly_changes`` for totals over all.
     """
     if not partition_by:
-        raise ValueError("without keys all rows would meet in one task")
+        raise ValueError("no keys; ordered_change takes the order of the whole table")
     return _changes(df, columns, order_by, partition_by, fill)
 
 
@@ -67,6 +68,64 @@ def _changes(
     return changed.drop(*current.values(), *previous.values())
 
 
+def ordered_change(
+    df: DataFrame,
+    columns: Mapping[str, str],
+    order_by: Sequence[str],
+    fill: bool = True,
+) -> DataFrame:
+    """Percent change of each column from the row before it in the order of the whole table.
+
+    Rows are dealt to ranges of ``order_by`` and sorted inside them, so no task has all rows;
+    what the first row of a range compares with comes from the ranges before it, of each of
+    which one row is kept. Missing keys come first. Rows that are equal in all of ``order_by``
+    may be in any order, so the last of the keys should tell rows apart. ``fill`` as in
+    ``pct_change``.
+    """
+    if not order_by:
+        raise ValueError("no column to order by")
+    own = {c: f"{new}|own" for c, new in columns.items()}
+    # written: the ranges come from a sample, which another run would draw differently
+    dealt = settle(
+        df.repartitionByRange(*[F.col(f"`{c}`") for c in order_by]).withColumn(
+            "|range", F.spark_partition_id()
+        ),
+        "ranges",
+    )
+    inside = Window.partitionBy("|range").orderBy(*[F.col(f"`{c}`") for c in order_by])
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct(*[F.col(f"`{c}`") for c in order_by])
+    lasts = {}
+    for c, name in own.items():
+        value = F.col(f"`{c}`")
+        known = value.isNotNull() if fill else F.lit(True)
+        lasts[name] = F.max_by(F.when(known, F.struct(value.alias("v"))), F.when(known, place))
+    # one row for each range
+    earlier = Window.orderBy("|range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        dealt.groupBy("|range")
+        .agg(*[e.alias(name) for name, e in lasts.items()])
+        .select(
+            F.col("|range").alias("|r"),
+            *[F.last(name, ignorenulls=True).over(earlier).getField("v").alias(f"{name}|carried") for name in own.values()],
+        )
+    )
+    joined = dealt.join(carried, dealt["|range"] == carried["|r"])
+    changed = {}
+    for c, new in columns.items():
+        value, carry = F.col(f"`{c}`"), F.col(f"`{own[c]}|carried`")
+        first = F.row_number().over(inside) == 1
+        if fill:
+            now = F.coalesce(F.last(value, ignorenulls=True).over(so_far), carry)
+            previous = F.coalesce(F.last(value, ignorenulls=True).over(before), carry)
+        else:
+            now, previous = value, F.when(first, carry).otherwise(F.lag(value).over(inside))
+        changed[new] = (safe_div(now, previous) - 1.0) * 100.0
+    out = joined.withColumns(changed)
+    return out.drop("|range", "|r", *[f"{name}|carried" for name in own.values()])
+
+
 def two_year_change(
     overview: DataFrame,
     first: int,

@@ -1,7 +1,7 @@
 """Exact quantiles of many columns, per key, in two scans.
 
 The first scan brackets every quantile with a mergeable sketch whose rank error is known. The
-second counts, in one aggregate, the values below each bracket and the equal values inside it;
+second counts, in one aggregate, the values below the brackets and the equal values inside them;
 the quantile is found among these by rank. Whether the rank lies inside is checked, and where
 it does not, a third scan takes all values of that column for the bracket. Values are only
 compared, never subtracted, so that infinities and values near the largest double are like any
@@ -27,7 +27,8 @@ def number_of(column: str) -> Column:
 
 
 def bracket_expressions(columns: Sequence[str], shares: Sequence[float]) -> dict[str, Column]:
-    """Aggregates of the first scan, to be read by ``quantiles_in`` together with others."""
+    """Aggregates of the first scan, to be read by ``quantiles_in`` together with others.
+    ``shares`` rise."""
     reach = 2 / ACCURACY
     points = [p for q in shares for p in (max(q - reach, 0.0), min(q + reach, 1.0))]
     return {f"{c}|known": F.count(number_of(c)) for c in columns} | {
@@ -63,69 +64,62 @@ def _ranked(
     else:
         near = rows.withColumns({c: bounds.select(c).scalar() for c in bounds.columns})
 
-    below, inside, marks = {}, [], []
+    # one entry for each column of a row: how many brackets its value lies below and, if it lies
+    # inside one, the value; equal entries are counted before they are shuffled
+    entries = []
     for i, v in enumerate(values):
-        for j in range(len(shares)):
-            low, high = F.get(f"{v}b", F.lit(2 * j)), F.get(f"{v}b", F.lit(2 * j + 1))
-            below[f"|{i}|{j}"] = F.col(v) < low
-            marks.append((F.col(v) >= low) & (F.col(v) <= high))
-            inside.append(F.struct(F.lit(i).alias("c"), F.lit(j).alias("q"), F.when(marks[-1], F.col(v)).alias("v")))
-    # a row is one entry that says which brackets it lies below, and one for each that it lies in
-    every = F.struct(F.lit(None).cast("int").alias("c"), F.lit(None).cast("int").alias("q"), F.lit(None).cast("double").alias("v"))
-    near_any = marks[0]
-    for mark in marks[1:]:
-        near_any |= mark
-    found = F.filter(F.array(*inside), lambda e: e["v"].isNotNull())
-    entries = F.when(near_any, F.concat(F.array(every), found)).otherwise(F.array(every))
+        lows = [F.get(f"{v}b", F.lit(2 * j)) for j in range(len(shares))]
+        highs = [F.get(f"{v}b", F.lit(2 * j + 1)) for j in range(len(shares))]
+        below, inside = F.lit(0), F.lit(False)
+        for low, high in zip(lows, highs):
+            below += F.when(F.col(v) < low, 1).otherwise(0)
+            inside |= (F.col(v) >= low) & (F.col(v) <= high)
+        known = F.when(F.col(v).isNotNull(), below)
+        entries.append(
+            F.struct(F.lit(i).alias("c"), known.alias("below"), F.when(inside, F.col(v)).alias("v"))
+        )
     counts = (
-        near.select(*keys, *[test.alias(name) for name, test in below.items()], F.explode(entries).alias("|e"))
-        .groupBy(*keys, F.col("|e.c").alias("|c"), F.col("|e.q").alias("|q"), F.col("|e.v").alias("|value"))
-        .agg(F.count(F.lit(1)).alias("|n"), *[F.count_if(f"`{name}`").alias(name) for name in below])
+        near.select(*keys, F.inline(F.array(*entries)))
+        .where("below is not null")
+        .groupBy(*keys, "c", "below", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    counts = settle(counts, "quantile-counts")
 
-    per_bracket = []
+    wanted = []
     for i, c in enumerate(columns):
         for j, share in enumerate(shares):
             rank = F.greatest(F.ceil(F.lit(share) * F.col(f"`{c}|known`")), F.lit(1)).cast("long")
-            per_bracket.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), rank.alias("rank")))
-    wanted = brackets.select(
-        *[F.col(f"`{c}`").alias(f"{k}w") for c, k in zip(by, keys)], F.inline(F.array(*per_bracket))
+            low, high = (F.get(f"`{c}|points`", F.lit(2 * j + k)) for k in (0, 1))
+            wanted.append(
+                F.struct(
+                    F.lit(i).alias("i"), F.lit(j).alias("j"), rank.alias("rank"),
+                    low.alias("low"), high.alias("high"),
+                )
+            )
+    # a column without any value has no quantile
+    ranks = brackets.select(
+        *[F.col(f"`{c}`").alias(f"{k}w") for c, k in zip(by, keys)], F.inline(F.array(*wanted))
+    ).where("low is not null")
+    # lows rise with the share, so a value below so many brackets lies below the last ones
+    under = F.col("below") >= len(shares) - F.col("j")
+    near_rank = ranks.join(
+        counts, (F.col("i") == F.col("c")) & same_keys(ranks, counts, [(f"{k}w", k) for k in keys])
+    ).where(under | ((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))))
+    own = [*[f"{k}w" for k in keys], "i", "j"]
+    upto = Window.partitionBy(*own).orderBy(under.desc(), "v").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    starts = counts.where("`|c` is null").select(
-        *[F.col(k).alias(f"{k}s") for k in keys],
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("is"), F.lit(j).alias("js"), F.col(f"`|{i}|{j}`").alias("start"))
-                    for i in range(len(columns))
-                    for j in range(len(shares))
-                ]
-            )
-        ),
-    )
-    upto = Window.partitionBy(*keys, "|c", "|q").orderBy("|value")
-    inner = counts.where("`|c` is not null").select(
-        *keys, "|c", "|q", "|value", "|n", F.sum("|n").over(upto).alias("|upto")
-    )
-    ranks = wanted.join(
-        starts,
-        (wanted["i"] == starts["is"])
-        & (wanted["j"] == starts["js"])
-        & same_keys(wanted, starts, [(f"{k}w", f"{k}s") for k in keys]),
-    )
-    hit = ranks.join(
-        inner,
-        (F.col("i") == F.col("|c"))
-        & (F.col("j") == F.col("|q"))
-        & same_keys(ranks, inner, [(f"{k}w", k) for k in keys])
-        & (F.col("start") + F.col("|upto") >= F.col("rank"))
-        & (F.col("start") + F.col("|upto") - F.col("|n") < F.col("rank")),
-        "left",
+    hit = (
+        near_rank.withColumn("upto", F.sum("n").over(upto))
+        .where(~under & (F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+        .select(*own, F.col("v").alias("|value"))
     )
+    names = [f"{c}f" for c in own]
+    hit = hit.withColumnsRenamed(dict(zip(own, names)))
+    out = ranks.join(hit, same_keys(ranks, hit, list(zip(own, names))), "left")
     name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("i"))
     share = F.get(F.array(*[F.lit(float(q)) for q in shares]), F.col("j"))
-    return hit.select(
+    return out.select(
         *[F.col(f"{k}w").alias(c) for c, k in zip(by, keys)],
         name.alias("|column"),
         share.alias("quantile"),
@@ -140,33 +134,18 @@ def quantiles_in(
     key, ``|column`` and ``quantile`` the lowest value that at least this share of the values
     does not exceed, ``value``."""
     found = settle(_ranked(df, brackets, columns, by, shares), "quantiles")
-    known = F.lit(False)
-    for c in columns:
-        known |= (F.col("|column") == c) & F.col("|value").isNull()
-    # a key and column without any value has no quantile and no bracket
-    missed = found.where(known).select(*by, F.col("|column").alias("|c")).distinct()
-    asked = [
-        F.struct(F.lit(c).alias("|c"), F.col(f"`{c}|known`").alias("known")) for c in columns
-    ]
-    some = brackets.select(
-        *[F.col(f"`{c}`").alias(f"|b{i}") for i, c in enumerate(by)], F.inline(F.array(*asked))
-    ).where("known > 0")
-    lost = missed.join(
-        some,
-        (missed["|c"] == some["|c"]) & same_keys(missed, some, [(c, f"|b{i}") for i, c in enumerate(by)]),
-        "left_semi",
-    )
-    if lost.limit(1).count():
+    if found.where("`|value` is null").limit(1).count():
         whole = F.array(*[F.lit(float(x)) for _ in shares for x in ("-inf", "inf")])
         opened = settle(brackets.withColumns({f"{c}|points": whole for c in columns}), "brackets")
         found = settle(_ranked(df, opened, columns, by, shares), "quantiles")
-    return found.where("`|value` is not null").withColumnRenamed("|value", "value")
+    return found.withColumnRenamed("|value", "value")
 
 
 def quantiles(
     df: DataFrame, column: str, by: Sequence[str], shares: Sequence[float]
 ) -> DataFrame:
     """Exact quantiles of one column per key: the keys, ``quantile`` and ``value``."""
+    shares = sorted(shares)
     measures: Mapping[str, Column] = bracket_expressions([column], shares)
     path = scratch_folder(df.sparkSession, "brackets")
     found = df.groupBy(*by).agg(*[e.alias(name) for name, e in measures.items()])
