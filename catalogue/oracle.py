@@ -645,6 +645,16 @@ ORACLE: dict[str, str] = {
  CASE WHEN year % 3 <> 0 THEN {CLAIMS[0]} END AS {CLAIMS[0]},
  CAST({PAID[0]} AS DOUBLE) AS {PAID[0]},
  CASE WHEN year = (SELECT max(year) FROM panel) THEN {BENES[0]} + 1 END AS "Extra" FROM panel"""
+    ),
+    "panel_refresh": with_panel(
+        f"""SELECT CAST("Suplr_NPI" AS VARCHAR) AS "Suplr_NPI", year, Suplr_Prvdr_Last_Name_Org, {BENES[0]},
+ {CLAIMS[0]} + CASE WHEN year = (SELECT max(year) FROM panel) THEN 1 ELSE 0 END AS {CLAIMS[0]},
+ CAST({PAID[0]} AS DOUBLE) AS {PAID[0]}, year = (SELECT max(year) FROM panel) AS rewritten
+ FROM panel WHERE year > (SELECT min(year) FROM panel)"""
+    ),
+    "panel_quarantine": with_panel(
+        f"""SELECT year, CASE WHEN "Suplr_NPI" % 10 = 3 THEN 'more fields than the header' ELSE 'kept' END AS outcome,
+ count(*) AS records, CAST(sum({CLAIMS[0]}) AS BIGINT) AS claims FROM panel GROUP BY 1, 2"""
     ),
     "save_results": with_panel("SELECT * FROM spending", SPENDING),
     "json_scan": """SELECT CAST(o_orderkey AS VARCHAR) AS "Order_NPI", o_custkey AS "Order_Cnt",

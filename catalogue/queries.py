@@ -33,6 +33,7 @@ from supplypanel.operators import (
 from supplypanel.operators.selection import latest_year_of, select_year
 from supplypanel.plans import report, sinks
 from supplypanel.session import drop_folder, scratch_folder, settle
+from supplypanel.sources import incremental, quarantine
 from supplypanel.sources.dictionary import dictionary_join, dictionary_table
 from supplypanel.sources.yearly import (
     load_panel,
@@ -417,6 +418,48 @@ def save_results(spark, folder):
     return sinks.read_results(spark, paths)["spending"]
 
 
+def panel_refresh(spark, folder):
+    """A stored panel brought up to date after one year's file changed and another went."""
+    files, path = scratch_folder(spark, "files"), scratch_folder(spark, "refreshed")
+    rows = panel(spark, folder, (*OVERVIEW, topk.SUPPLIER_NAME)).hint("rebalance", "year")
+    text = settle(rows, "panel_rows").write.partitionBy("year").option("header", True).option("escape", '"')
+    text.csv(files)
+    before = incremental.refresh_panel(spark, files, path, FOLDER_PER_YEAR).panel
+    first, last = min(before.years), max(before.years)
+    gone = f"{files}/year={first}"
+    grown = before.year(last).drop("year").withColumn(measures.CLAIMS, F.col(measures.CLAIMS) + 1)
+    drop_folder(spark, gone)
+    changed = settle(grown, "changed_year")
+    drop_folder(spark, f"{files}/year={last}")
+    changed.write.option("header", True).option("escape", '"').csv(f"{files}/year={last}")
+    after = incremental.refresh_panel(spark, files, path, FOLDER_PER_YEAR)
+    out = settle(after.panel.data.withColumn("rewritten", F.col("year").isin(list(after.written))), "refreshed")
+    for folder_made in (files, path):
+        drop_folder(spark, folder_made)
+    return out
+
+
+def panel_quarantine(spark, folder):
+    """Yearly text in which some records have a field too many: rows that are kept, and
+    records that are left out with their reason, by year."""
+    files, path = scratch_folder(spark, "files"), scratch_folder(spark, "tolerant")
+    rows = panel(spark, folder, OVERVIEW).select("Suplr_NPI", "year", *OVERVIEW[:2])
+    note = F.when(F.col("Suplr_NPI") % 10 == 3, "late,corrected").otherwise("ok").alias("Note")
+    text = rows.select("*", note).hint("rebalance", "year").write.partitionBy("year")
+    text.option("header", True).option("quote", "").csv(files)
+    loaded = quarantine.load_tolerant(spark, files, path, template=FOLDER_PER_YEAR)
+    kept = loaded.panel.data.groupBy("year").agg(
+        F.lit("kept").alias("outcome"), F.count(F.lit(1)).alias("records"), total(measures.CLAIMS).alias("claims")
+    )
+    left = loaded.quarantine.groupBy("year", F.col("reason").alias("outcome")).agg(
+        F.count("record").alias("records"), F.sum(F.split("record", ",")[2].cast("bigint")).alias("claims")
+    )
+    out = settle(kept.unionByName(left), "quarantined")
+    for folder_made in (files, path):
+        drop_folder(spark, folder_made)
+    return out
+
+
 def json_scan(spark, folder):
     """Whole orders through JSON lines and back, every field as text, then typed."""
     orders = table(spark, folder, "orders").select(
@@ -578,10 +621,10 @@ def full_report(spark, folder):
     """The report from yearly files of text to saved tables, and these as text lines."""
     files = written_panel(spark, folder, "files")
     store, out = scratch_folder(spark, "store"), scratch_folder(spark, "report")
-    made = report.run_report(
+    report.run_report(
         spark, files, out=out, store=store, change_years=CHANGE_YEARS, template=FOLDER_PER_YEAR
     )
-    saved = sinks.read_results(spark, {name: f"{out}/{name}" for name in made.tables})
+    saved = sinks.read_result_set(spark, out)
     lines = settle(report.report_lines(saved), "report_lines")
     for path in (files, store, out):
         drop_folder(spark, path)
@@ -637,6 +680,8 @@ QUERIES: dict[str, Query] = {
     "csv_scan": csv_scan,
     "panel_load": panel_load,
     "panel_union": panel_union,
+    "panel_refresh": panel_refresh,
+    "panel_quarantine": panel_quarantine,
     "save_results": save_results,
     "json_scan": json_scan,
     "missing_values": missing_values,

@@ -41,7 +41,7 @@ from supplypanel.operators.measures import (
 )
 from supplypanel.operators.selection import require_columns, to_rows
 from supplypanel.operators.topk import STATE, suppliers_display, top_states, top_suppliers_raw
-from supplypanel.plans.sinks import save_results
+from supplypanel.plans.sinks import save_result_set
 from supplypanel.session import settle
 from supplypanel.sources.dictionary import (
     CONDITION_PREFIXES,
@@ -282,7 +282,8 @@ def run_report(
     top_n: int = 10,
     **load_options,
 ) -> Report:
-    """Load the yearly files, build every table and, with ``out``, save them all.
+    """Load the yearly files, build every table and, with ``out``, save them all as a set
+    (``read_result_set`` reads the last one).
 
     With ``store`` the parsed panel is first written there as one table partitioned by
     year, and the report reads only the columns and years it needs from it; text is then
@@ -293,5 +294,5 @@ def run_report(
         panel = store_panel(panel, store)
     report = report_tables(panel, change_years, top_n)
     if out:
-        save_results(report.tables, out)
+        save_result_set(report.tables, out)
     return report

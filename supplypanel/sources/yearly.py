@@ -49,7 +49,7 @@ class YearlyPanel:
         return self.year(self.latest_year)
 
 
-def _problem(record: Column, fields: int) -> Column:
+def record_problem(record: Column, fields: int | Column) -> Column:
     """What is wrong with a record that has not as many fields as the header; NULL if it
     merely misses the last ones."""
     quotes = F.regexp_count(record, F.lit('"'))
@@ -103,7 +103,7 @@ def read_text_table(
     )
     # Spark refuses to look at bad records alone; this always holds
     looked = F.coalesce(F.col(f"`{names[0]}`"), F.lit("")) >= ""
-    problem = F.when(looked, _problem(F.col(BAD_RECORD), len(names)))
+    problem = F.when(looked, record_problem(F.col(BAD_RECORD), len(names)))
     if bad == "keep":
         kept = F.when(problem.isNotNull(), F.col(BAD_RECORD))
         table = table.withColumn(BAD_RECORD, kept)

@@ -255,7 +255,7 @@ def test_report(spark, folder, tmp_path_factory):
     work = tmp_path_factory.mktemp("work")
     result = report.run_report(spark, str(folder), out=f"{work}/out", store=f"{work}/panel")
     assert result.panel.years == (2021, 2022)
-    saved = sinks.read_results(spark, {n: f"{work}/out/{n}" for n in result.tables})
+    saved = sinks.read_result_set(spark, f"{work}/out")
     for name, table in result.tables.items():
         assert sorted(map(repr, rows(table))) == sorted(map(repr, rows(saved[name])))
 
