@@ -3,16 +3,15 @@
 Two documents link if their sets of word 4-grams have a Jaccard similarity of at least
 ``THRESHOLD`` percent. The result is exact; how the product is kept sparse:
 
+* Columns (n-grams, as 64-bit hashes) are ordered by rarity, rare ones first: by counters of a
+  fixed-size table, then by hash. Of a set of s n-grams, two linked ones share one of their
+  first ``s - ceil(threshold * s) + 1``, so only these columns are multiplied at first. Passages
+  that very many documents share come last and are hardly ever among them; no column stands
+  for anything but an n-gram, so unrelated documents do not meet.
 * Rows are blocked by set size, in bands; a pair in question lies in one band or at the
   border of two, and a document near a border belongs to both.
-* Columns (n-grams, as 64-bit hashes) are blocked by hash range. The sizes in a band bound
-  how many n-grams of a linked pair can differ, ``most``; with ``most + 1 + SPARE`` column
-  blocks, at least ``1 + SPARE`` blocks agree entirely. So instead of the entries, each
-  row has one number per non-empty block, and only rows that share a number in the same
-  block are multiplied. Rows with more than ``SPARE`` empty blocks may agree in empty ones
-  only; they have further numbers, one for each choice of ``SPARE + 1`` empty blocks.
-* Equal rows are one row. Of the rows that agree in a block, each is first paired with the
-  smallest; after links merged what they could, the others are paired unless they are
+* Equal rows are one row. Of the rows that meet in a column and band, each is first paired with
+  the smallest; after links merged what they could, the others are paired unless they are
   connected already. Pairs are left out whose sizes or parities prove too many differences.
 * For the pairs left, overlap counts accumulate block by block over the sorted n-grams, and
   a pair is discarded as soon as the size-derived bound cannot be met any more.
@@ -26,7 +25,6 @@ table gives an empty table; other columns of the input are not read.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -41,7 +39,8 @@ from .words import lists, mix, utf8, word_hashes
 WORDS = 4
 THRESHOLD = 85
 BAND = 1.5
-SPARE = 1
+# Counters that tell frequent n-grams from rare ones; 4 MB of logarithms reach the tasks.
+COUNTERS = 1 << 22
 SKETCH_WORDS = 8
 COLUMN_BLOCKS = 8
 
@@ -50,49 +49,67 @@ def ngram_set(words: np.ndarray, n: int = WORDS) -> np.ndarray:
     """The sorted distinct n-gram hashes of a text's word hashes."""
     if not len(words):
         return np.zeros(0, dtype=np.uint64)
-    size = min(n, len(words))
+    return np.unique(_grams(words, min(n, len(words))))
+
+
+def _grams(words: np.ndarray, size: int) -> np.ndarray:
     factors = mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
     total = np.full(len(words) - size + 1, size, dtype=np.uint64)
     for k in range(size):
         total += words[k : k + len(total)] * factors[k]
-    return np.unique(mix(total))
-
-
-def bands(size: int, threshold: int) -> list[tuple[int, int]]:
-    """The bands that a set of this size belongs to: number, and how many n-grams of a
-    linked pair in the band can differ at most. A pair belongs to the band of its smaller
-    set."""
-    own = int(math.log(size) / math.log(BAND) + 1e-9)
-    out = []
-    for band in (own, own - 1):
-        # the largest size in the band, and of its linked partners
-        top = math.ceil(BAND ** (band + 1))
-        if band < 0 or (band < own and threshold * size > 100 * top):
-            continue
-        # |a|+|b|-2|ab| with 100|ab| >= threshold * (|a|+|b|-|ab|), for |a| <= top
-        both = top + top * 100 // threshold
-        out.append((band, both - 2 * (-(-threshold * both // (100 + threshold)))))
-    return out
-
-
-def block_numbers(ngrams: np.ndarray, band: int, most: int) -> np.ndarray:
-    """The numbers of a set in one band: a hash of each non-empty column block's content
-    and, if needed, of choices of empty blocks."""
-    blocks = most + 1 + SPARE
-    # blocks are ranges of hashes, so runs of the sorted set
-    at = ((ngrams >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-    begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    content = np.add.reduceat(mix(ngrams ^ np.uint64(0x5851F42D4C957F2D)), begins)
-    place = at[begins] + np.uint64(1) + np.uint64(band << 32)
-    numbers = mix(content + mix(place))
-    if blocks - len(begins) > SPARE:
-        empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), at[begins])
-        chosen = np.array(list(itertools.combinations(empty.tolist(), SPARE + 1)), dtype=np.uint64)
-        key = np.full(len(chosen), (band << 32) + (1 << 63), dtype=np.uint64)
-        for column in chosen.T:
-            key = mix(key + column)
-        numbers = np.concatenate([numbers, key])
-    return numbers
+    return mix(total)
+
+
+def _slots(ngrams: np.ndarray) -> np.ndarray:
+    return (ngrams >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def rarity(docs: DataFrame, n: int) -> np.ndarray:
+    """How frequent the n-grams of each slot are, as logarithms: only an order, which any other
+    could replace, so tasks leave out the slots that stand out little from their others."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, dtype=np.int64)
+        total = 0
+        for batch in batches:
+            for _, _, (hashes,), offsets in word_hashes(utf8(batch.column(0))):
+                if len(hashes) < n:
+                    continue
+                grams = np.full(len(hashes) - n + 1, True)
+                for edge in offsets[1:-1]:
+                    grams[max(edge - n + 1, 0) : edge] = False
+                slots = _slots(_grams(hashes, n)[grams])
+                seen += np.bincount(slots, minlength=COUNTERS)
+                total += len(slots)
+        slots = np.flatnonzero(seen > 8 + 3 * total / COUNTERS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(slots.astype(np.int32)), pa.array(seen[slots])], names=["slot", "n"]
+        )
+
+    found = docs.select("text").mapInArrow(counts, "slot int, n bigint")
+    summed = found.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(COUNTERS, dtype=np.uint8)
+    table[summed["slot"].to_numpy()] = np.minimum(4 * np.log2(1 + summed["n"].to_numpy()), 255)
+    return table
+
+
+def prefix(ngrams: np.ndarray, weights: np.ndarray, threshold: int) -> np.ndarray:
+    """The rarest n-grams of a sorted set, so many that two linked sets share one."""
+    size = len(ngrams)
+    count = size - -(-threshold * size // 100) + 1
+    key = (weights[_slots(ngrams)].astype(np.uint64) << np.uint64(56)) | (ngrams >> np.uint64(8))
+    return ngrams[np.argsort(key, kind="stable")[:count]]
+
+
+def band_numbers(number: str, n: str, threshold: int) -> F.Column:
+    """A number for each size band that a set belongs to. A pair belongs to the band of its
+    smaller set, so a set belongs to its own and, if a linked one may lie there, the one
+    below."""
+    own = F.floor(F.log(F.col(n).cast("double")) / math.log(BAND) + F.lit(1e-9))
+    top = F.ceil(F.pow(F.lit(BAND), own))  # the largest size in the band below
+    below = F.when((own > 0) & (F.col(n) * threshold <= top * 100), own - 1)
+    both = F.array_compact(F.array(own, below))
+    return F.transform(both, lambda band: F.xxhash64(F.col(number), band))
 
 
 def parities(ngrams: np.ndarray) -> np.ndarray:
@@ -121,9 +138,11 @@ ROWS = (
 
 def incidence(docs: DataFrame, n: int, threshold: int) -> DataFrame:
     """One row per document: set size, two hashes of the set, its parities (``sketch``: in a
-    fixed number of bits), block numbers."""
+    fixed number of bits), its rarest n-grams."""
+    known = docs.sparkSession.sparkContext.broadcast(rarity(docs, n))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = known.value
         for batch in batches:
             texts = utf8(batch.column(1))
             sizes, h1, h2, sketches, parity, numbers, ends = [], [], [], [], [], [], [0]
@@ -136,9 +155,8 @@ def incidence(docs: DataFrame, n: int, threshold: int) -> DataFrame:
                     bits = parities(grams)
                     parity.append(bits.tobytes())
                     sketches.append(halved(bits, SKETCH_WORDS * 8).view(np.int64))
-                    own = [block_numbers(grams, *x) for x in bands(len(grams), threshold)] if len(grams) else []
-                    numbers += own
-                    ends.append(ends[-1] + sum(map(len, own)))
+                    numbers.append(prefix(grams, weights, threshold) if len(grams) else grams)
+                    ends.append(ends[-1] + len(numbers[-1]))
             flat = np.concatenate([*numbers, np.zeros(0, np.uint64)]).view(np.int64)
             every = np.arange(len(texts) + 1) * SKETCH_WORDS
             yield pa.RecordBatch.from_arrays(
@@ -273,9 +291,8 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD)
 
     # equal sets are one row, named by its smallest document
     sets = keep(known.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "sets")
-    names = sets.groupBy("h1").agg(F.min("rep").alias("rep"))
 
-    # rows that share a number
+    # rows that share a column and a band; sets with one first hash are told apart here
     entries = known.select(F.explode("numbers").alias("number"), "h1").repartition(F.col("number"))
     shared = (
         entries.groupBy("number")
@@ -287,8 +304,8 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD)
         entries.join(shared.hint("shuffle_hash"), F.col("number") == F.col("shared_number"))
         .select("number", "h1")
         .distinct()
-        .join(names, "h1")
-        .select("number", "rep"),
+        .join(sets, "h1")
+        .select(F.explode(band_numbers("number", "n", threshold)).alias("number"), "rep"),
         "buckets",
     )
     wanted = maybe_in(buckets, "rep")

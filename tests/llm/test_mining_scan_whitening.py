@@ -81,21 +81,27 @@ def test_phrases_of_long_texts_cross_their_parts(spark, monkeypatch):
     monkeypatch.setattr(phrases, "BUFFERED", 50)
     rng = random.Random(2)
     rows = [("x", "".join(rng.choice(["u ", "v ", "w\t", "long. ", "z\n"]) for _ in range(2000)))]
-    for text in (rows[0][1], " . . ", "..a", "a..", ". a b", "x" * 200 + " .y"):
-        flat, _, names = phrases.word_numbers(text.encode(), np.uint64(1))
-        pieces = [re.findall("[^\x20\x09]+", p) for p in re.split("[.,;:!?\x0a-\x0d]", text)]
-        by_name = {}
-        got = [[]]
-        for number in flat.tolist():
+    texts = [rows[0][1], " . . ", "..a", "a..", "", ". a b", "x" * 200 + " .y", "b a", "b a", "q" * 30]
+    texts = texts[1:] + texts + texts[3:]
+    runs = list(phrases.numbered_runs([t.encode() for t in texts], ["l"] * len(texts), 0))
+    assert len(runs) > 3
+    got = [[]]
+    for flat, _ in runs:
+        for number in [0, *flat.tolist()]:
             if number:
                 got[-1].append(number)
             else:
                 got.append([])
-        got, pieces = [g for g in got if g], [p for p in pieces if p]
-        assert [len(g) for g in got] == [len(p) for p in pieces], text
-        for g, p in zip(got, pieces):
-            assert all(by_name.setdefault(w, n) == n for w, n in zip(p, g))
-        assert {n.decode() for n in names} == set(by_name)
+    got = [g for g in got if g]
+    pieces = [re.findall("[^\x20\x09]+", p) for t in texts for p in re.split("[.,;:!?\x0a-\x0d]", t)]
+    pieces = [p for p in pieces if p]
+    assert [len(g) for g in got] == [len(p) for p in pieces]
+    by_name = {}
+    for g, p in zip(got, pieces):
+        assert all(by_name.setdefault(w, n) == n for w, n in zip(p, g))
+    names = {(number, name.decode()) for _, named in runs for _, number, name in named}
+    assert names == {(number, word) for word, number in by_name.items()}
+    assert mined(spark.createDataFrame(rows, "lang string, text string"), least=5) == best_phrases(rows, 2000, 5)
 
 
 def test_phrase_bounds_are_admissible():

@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from supplypanel.llm import (
     decontamination,
@@ -155,32 +156,76 @@ def near_texts():
     return texts + ["", None, " \n", texts[0], texts[0].upper()]
 
 
-def test_ngram_join_against_all_pairs(spark):
+@pytest.mark.parametrize("n, threshold", [(4, 85), (5, 80)])
+def test_ngram_join_against_all_pairs(spark, n, threshold):
     texts = near_texts()
     sets = {}
     for i, text in enumerate(texts):
         words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
-        sets[i] = {tuple(words[j : j + 4]) for j in range(max(len(words) - 3, 1))} if words else set()
+        sets[i] = {tuple(words[j : j + n]) for j in range(max(len(words) - n + 1, 1))} if words else set()
     parent = {i: i for i in sets}
     for i in sets:
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            if both and 100 * both >= threshold * (len(sets[i]) + len(sets[j]) - both):
                 a, b = find(parent, i), find(parent, j)
                 parent[max(a, b)] = min(a, b)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
-    out = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()}
+    found = ngram_join.near_duplicates(docs, n=n, threshold=threshold).collect()
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in found}
     assert out == {i: (len(s), find(parent, i)) for i, s in sets.items()}
     assert len({c for _, c in out.values()}) < len(texts) - 20
 
 
-def test_bands_bound_the_differences():
-    for size in range(1, 400):
-        for other in range(size, 100 * size // 85 + 1):
-            shared = set(ngram_join.bands(size, 85)) & set(ngram_join.bands(other, 85))
-            need = -(-85 * (size + other) // 185)
-            if need <= size:
-                assert any(most >= size + other - 2 * need for _, most in shared), (size, other)
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_linked_sets_meet_in_a_band(spark, threshold):
+    sizes = [(s,) for s in range(1, 700)]
+    df = spark.createDataFrame(sizes, "n bigint").withColumn("number", F.lit(7).cast("long"))
+    bands = {
+        r.n: set(r.b)
+        for r in df.select("n", ngram_join.band_numbers("number", "n", threshold).alias("b")).collect()
+    }
+    for size in range(1, 550):
+        for other in range(size, min(100 * size // threshold, 699) + 1):
+            assert bands[size] & bands[other], (size, other)
+
+
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_linked_sets_share_a_rare_ngram(threshold):
+    rng = np.random.default_rng(6)
+    weights = rng.integers(0, 4, ngram_join.COUNTERS).astype(np.uint8)
+    for _ in range(300):
+        common = rng.integers(0, 2**63, rng.integers(1, 200)).astype(np.uint64)
+        two = []
+        for _ in range(2):
+            own = rng.integers(0, 2**63, rng.integers(0, 1 + len(common) // 8)).astype(np.uint64)
+            two.append(np.unique(np.concatenate([common, own])))
+        a, b = two
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= threshold * (len(a) + len(b) - both):
+            x, y = (ngram_join.prefix(s, weights, threshold) for s in two)
+            assert len(np.intersect1d(x, y)), (len(a), len(b))
+
+
+def test_ngram_join_of_very_long_texts(spark):
+    """A million distinct n-grams and a copy with one word changed; an unrelated text as long."""
+    one = [f"w{i}" for i in range(1_000_000)]
+    two = [*one[:500_000], "changed", *one[500_001:]]
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(f"v{i}" for i in range(1_000_000)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs, n=5, threshold=80).collect()}
+    assert out == {1: (999_996, 1), 2: (999_996, 1), 3: (999_996, 3)}
+
+
+def test_ngram_join_with_a_passage_that_many_share(spark):
+    """Unrelated texts with a common passage, alone in some of them, are not paired."""
+    rng = random.Random(8)
+    passage = " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(40))
+    texts = [passage + " " + " ".join(f"x{i}y{k}" for k in range(30)) for i in range(400)]
+    texts += [passage] * 5 + [passage + f" z{i}" for i in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    out = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
+    assert out == {i: i if i < 400 else 400 for i in range(len(texts))}
 
 
 def test_components(spark):
