@@ -14,9 +14,12 @@ Lines without words are kept.
   smaller has at least ``t`` times the words of the larger. Positional filter: what can
   still follow a shared word must suffice. A parity word per set, whose differing bits are
   at most the differing words, is compared too.
-* Sets that have a prefix word in common with at most ``FEW`` others are joined at once. The
-  sets of a more frequent prefix word are first compared with the earliest of them, and only
-  those that were not removed by that are joined with the others.
+* A prefix word of more than ``FEW`` sets is no key by itself. Two similar sets that have it as
+  their first common word share another one in their prefixes of one word more, so the two
+  words together are the key; as the frequent words are the last of a prefix, these are few.
+* Sets that have a key in common with at most ``FEW`` others are joined at once. The sets of a
+  more frequent pair of words are first compared with the earliest of them, and only those that
+  were not removed by that are joined with the others.
 * Candidates are verified by their whole word sets.
 
 Documents whose ``doc_id`` is null, and null or empty texts, are returned as they are and
@@ -29,13 +32,12 @@ from __future__ import annotations
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 
 from .common import dense, drop_folder, maybe_in, table, written
 
 THRESHOLD = 80
 RARITY_BUCKETS = 1 << 20
-FEW = 128
+FEW = 32
 _HASH_BITS = 56
 SMALLEST = 4
 
@@ -170,7 +172,8 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
     counted = keep(spark.range(1).select(_rarity(texts).alias("powers")), "rarity")
     powers = counted.scalar()
     n = F.size("words")
-    prefix = F.slice("words", F.lit(1), _probe_length(n, threshold).cast("int"))
+    # one word more than the prefix filter needs
+    prefix = F.slice("words", F.lit(1), (_probe_length(n, threshold) + 1).cast("int"))
     lines = keep(
         _with_words(_contents(texts), powers).select(
             *_LINE,
@@ -199,16 +202,28 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
         "firsts",
     )
     sets = own.where(~several(F.col("s"))).select(*columns).unionByName(firsts)
+    needed = F.slice("prefix", F.lit(1), F.size("prefix") - 1)
     frequent = keep(
-        sets.select(F.explode("prefix").alias("word")).groupBy("word").count().where(F.col("count") > FEW),
+        sets.select(F.explode(needed).alias("word")).groupBy("word").count().where(F.col("count") > FEW),
         "frequent",
     )
     # some other words may pass as frequent; all their lines then do
     is_frequent = maybe_in(frequent, "word")
-    entries = sets.select(F.posexplode("prefix").alias("pos", "word"), "s", "n", "parity", "doc")
-    rare = entries.where(~is_frequent(F.col("word"))).drop("doc")
-    often = keep(entries.where(is_frequent(F.col("word"))), "frequent-entries")
-    by_word = W.partitionBy("word")
+    marks = ["s", "n", "parity", "doc"]
+    entries = sets.select(F.posexplode(needed).alias("pos", "word"), "prefix", *marks)
+    single = entries.where(~is_frequent(F.col("word"))).select("pos", "word", *marks)
+    after = F.slice("prefix", F.col("pos") + 2, F.size("prefix"))
+    double = (
+        entries.where(is_frequent(F.col("word")))
+        .select("pos", "word", F.explode(after).alias("other"), *marks)
+        .select("pos", F.xxhash64("word", "other").alias("word"), *marks)
+    )
+    frequent_pairs = keep(
+        double.groupBy("word").count().where(F.col("count") > FEW).select("word"), "frequent-pairs"
+    )
+    is_often = maybe_in(frequent_pairs, "word")
+    rare = single.unionByName(double.where(~is_often(F.col("word")))).drop("doc")
+    often = keep(double.where(is_often(F.col("word"))), "frequent-entries")
 
     def joined(x: DataFrame, y: DataFrame) -> DataFrame:
         x, y = x.alias("x"), y.alias("y")
@@ -217,8 +232,8 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
         ).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
 
     itself = F.struct("s", "n", "pos", "parity")
-    earliest = F.min(F.struct("doc", "s", "n", "pos", "parity")).over(by_word)
-    led = often.select("word", itself.alias("x"), earliest.alias("y")).where("x.s != y.s")
+    earliest = often.groupBy("word").agg(F.min(F.struct("doc", "s", "n", "pos", "parity")).alias("y"))
+    led = often.select("word", itself.alias("x")).join(earliest, "word").where("x.s != y.s")
     # whichever of the two is the larger
     led = led.where(_may_match("x", "y", threshold) | _may_match("y", "x", threshold))
     first = keep(
