@@ -34,7 +34,8 @@ gives an empty result. Other columns of the input are not read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -59,11 +60,13 @@ BREAKS = (0x2E, 0x2C, 0x3B, 0x3A, 0x21, 0x3F, 0x0A, 0x0B, 0x0C, 0x0D)
 BLANKS = (0x20, 0x09)
 
 # Words of a task that are counted together before they leave it.
-BUFFERED = 200_000
+BUFFERED = 500_000
 # Words that a task remembers to have named.
 NAMED = 200_000
 # Bits of a bitmap: 16 for each key, between these bounds (16 MB at most).
 FEWEST_BITS, MOST_BITS = 1 << 20, 1 << 27
+# Rows of numbers go to the tasks' Python in batches of this size, a row at least.
+BATCH_BYTES = "8m"
 
 
 @cache
@@ -293,9 +296,26 @@ def contained(longer: str, a: str) -> Column:
     )
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """All steps are written while this holds; the setting is as before afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def phrases(docs: DataFrame, top: int = TOP, least: int = LEAST, first_place: int = FIRST_PLACE) -> DataFrame:
     """The first ``top`` phrases of every language of ``docs`` (``lang``, ``text``): lang, rank,
     phrase, a, l, r, n, score."""
+    with _small_batches(docs.sparkSession):
+        return _mined(docs, top, least, first_place)
+
+
+def _mined(docs: DataFrame, top: int, least: int, first_place: int) -> DataFrame:
     spark = docs.sparkSession
     folders: list[str] = []
 
