@@ -60,9 +60,11 @@ BREAKS = (0x2E, 0x2C, 0x3B, 0x3A, 0x21, 0x3F, 0x0A, 0x0B, 0x0C, 0x0D)
 BLANKS = (0x20, 0x09)
 
 # Words of a task that are counted together before they leave it.
-BUFFERED = 500_000
+BUFFERED = 250_000
+# Texts are numbered in runs of about this size.
+RUN_BYTES = PIECE_BYTES // 4
 # Words that a task remembers to have named.
-NAMED = 200_000
+NAMED = 100_000
 # Bits of a bitmap: 16 for each key, between these bounds (16 MB at most).
 FEWEST_BITS, MOST_BITS = 1 << 20, 1 << 27
 # Rows of numbers go to the tasks' Python in batches of this size, a row at least.
@@ -121,12 +123,12 @@ def _words_of(
 def numbered_runs(
     texts: list[bytes], langs: list[str], salt: int
 ) -> Iterator[tuple[np.ndarray, list[tuple[str, int, bytes]]]]:
-    """For texts of about ``PIECE_BYTES`` together: the numbers of their words with a 0 wherever
+    """For texts of about ``RUN_BYTES`` together: the numbers of their words with a 0 wherever
     a piece ends, and language, number and text of their distinct words."""
     first = 0
     while first < len(texts):
         stop, size = first, 0
-        while stop < len(texts) and (size == 0 or size + len(texts[stop]) < PIECE_BYTES):
+        while stop < len(texts) and (size == 0 or size + len(texts[stop]) < RUN_BYTES):
             size += len(texts[stop]) + 1
             stop += 1
         run = texts[first:stop]

@@ -78,6 +78,7 @@ def test_phrases_agree_with_sql(spark):
 
 def test_phrases_of_long_texts_cross_their_parts(spark, monkeypatch):
     monkeypatch.setattr(phrases, "PIECE_BYTES", 64)
+    monkeypatch.setattr(phrases, "RUN_BYTES", 64)
     monkeypatch.setattr(phrases, "BUFFERED", 50)
     rng = random.Random(2)
     rows = [("x", "".join(rng.choice(["u ", "v ", "w\t", "long. ", "z\n"]) for _ in range(2000)))]
