@@ -9,8 +9,12 @@ with agreeing words, has no three words in a row that differ, and has ``LEAST``
 more of which ``SHARE`` agree. Beside it there may be others. An item of fewer words
 overlaps as a whole, where ``SHARE`` of its words agree; it has masks of its own.
 
-The benchmark is the fixed side: its words and window hashes are sent to the tasks if they
-number at most ``SENT_WORDS``; a larger benchmark is joined by hash instead, in Spark.
+* The window hashes of items and documents are joined in Spark. A bitmap of fixed size, in
+  which the items' hashes are marked, leaves out most windows of documents before that; with
+  very many items it leaves out fewer, with the same results.
+* Equal texts are searched once. A hit gives a diagonal: a text, an item and the distance
+  between their places. The words of texts that have one are dealt out in blocks of ``BLOCK``
+  words, and each diagonal meets the blocks beside its item; no task needs a whole text.
 
 Null and empty texts overlap with nothing. Every copy of a repeated row is reported, a null
 ``doc_id`` too. Without documents or items the result is empty; other columns of the inputs
@@ -19,17 +23,16 @@ are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import table
-from .words import mix, utf8, word_hashes
+from .common import maybe_in, table, written
+from .words import lists, mix, utf8, word_hashes
 
 # Which words a mask looks at. Every overlap has a hit. One of which no part
 # is an overlap has 13 words with 2 changed, or 5k with k (else it has one word less too).
@@ -38,21 +41,9 @@ from .words import mix, utf8, word_hashes
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 5, 7, 8))
 LEAST = 13
 SHARE = 0.8
-SENT_WORDS = 4_000_000
-
-
-@dataclass
-class Seeds:
-    """Words of the items one after the other, and their window hashes in order."""
-
-    items: np.ndarray  # id of each item
-    begins: np.ndarray  # where each item's words begin, and one more
-    words: np.ndarray
-    keys: np.ndarray  # sorted hashes
-    places: np.ndarray  # window begin of each hash
-    spot: np.ndarray  # a table of bits over low hash bits, to skip most lookups
-    # hashes of whole short items by number of words and mask, sorted, and the items' indexes
-    shorts: dict[tuple[int, tuple[int, ...]], tuple[np.ndarray, np.ndarray]]
+# 2^25 bits, 4 MB, whatever the data
+SPOT_BITS = 25
+BLOCK = 1024
 
 
 def window_hashes(words: np.ndarray, mask: tuple[int, ...], size: int = 0) -> np.ndarray:
@@ -81,38 +72,36 @@ def short_masks(size: int) -> list[tuple[int, ...]]:
     ]
 
 
-SPOT_BITS = 22
+Mask = tuple[int, tuple[int, ...]]
 
 
-def make_seeds(items: list[int], texts: list[bytes | None]) -> Seeds:
-    parts: list[np.ndarray] = []
-    for _, _, (hashes,), offsets in word_hashes(texts, punctuation=True):
-        parts += [hashes[a:b] for a, b in zip(offsets, offsets[1:])]
-    begins = np.cumsum([0] + [len(p) for p in parts])
-    words = np.concatenate([*parts, np.zeros(0, np.uint64)])
-    keys, places = [], []
-    sizes: dict[int, list[int]] = {}
-    for i, part in enumerate(parts):
-        if len(part) < LEAST:
-            if len(part):
-                sizes.setdefault(len(part), []).append(i)
-            continue
-        for mask in MASKS:
-            found = window_hashes(part, mask)
-            keys.append(found)
-            places.append(begins[i] + np.arange(len(found)))
-    shorts = {}
-    for size, own in sizes.items():
-        for mask in short_masks(size):
-            found = np.concatenate([window_hashes(parts[i], mask, size) for i in own])
-            order = np.argsort(found, kind="stable")
-            shorts[size, mask] = found[order], np.array(own)[order]
-    key = np.concatenate([*keys, np.zeros(0, np.uint64)])
-    place = np.concatenate([*places, np.zeros(0, np.int64)])
-    order = np.argsort(key, kind="stable")
-    spot = np.zeros(1 << SPOT_BITS, dtype=bool)
-    spot[(key & np.uint64((1 << SPOT_BITS) - 1)).astype(np.int64)] = True
-    return Seeds(np.array(items), begins, words, key[order], place[order], spot, shorts)
+def all_masks(sizes: Sequence[int]) -> list[Mask]:
+    """The masks of windows (size 0), and those of whole items of the given short sizes."""
+    return [(0, m) for m in MASKS] + [(n, m) for n in sorted(sizes) for m in short_masks(n)]
+
+
+def window_seeds(
+    words: np.ndarray, offsets: np.ndarray, masks: Sequence[Mask]
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each mask its size and, for every window inside one text of a run, the text, the
+    window's begin in the run, and its hash."""
+    for size, mask in masks:
+        width = size or mask[-1] + 1
+        hashes = window_hashes(words, mask, size)
+        at = np.arange(len(hashes))
+        text = np.searchsorted(offsets, at, "right") - 1
+        inside = np.flatnonzero(at + width <= offsets[text + 1])
+        yield size, text[inside], at[inside], hashes[inside]
+
+
+def item_seeds(words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each mask of an item its size, the begins of windows, and their hashes: an item of
+    fewer than ``LEAST`` words is one window."""
+    masks = [(0, m) for m in MASKS]
+    if len(words) < LEAST:
+        masks = [(len(words), m) for m in short_masks(len(words))] if len(words) else []
+    for size, _, at, hashes in window_seeds(words, np.array([0, len(words)]), masks):
+        yield size, at, hashes
 
 
 def stretches(equal: np.ndarray) -> list[tuple[int, int]]:
@@ -142,116 +131,206 @@ def stretches(equal: np.ndarray) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _hits(words: np.ndarray, seeds: Seeds) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By mask the words whose windows hit, and the range of the hashes hit."""
-    low = np.uint64((1 << SPOT_BITS) - 1)
-    for mask in MASKS if len(seeds.keys) else ():
-        hashes = window_hashes(words, mask)
-        at = np.flatnonzero(seeds.spot[(hashes & low).astype(np.int64)])
-        left = np.searchsorted(seeds.keys, hashes[at], "left")
-        right = np.searchsorted(seeds.keys, hashes[at], "right")
-        hit = right > left
-        yield at[hit], left[hit], right[hit]
+def judged(equal: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """The overlaps of a diagonal, or of a whole short item of ``size`` words: begin, end and
+    agreeing words."""
+    if size:
+        same = int(equal.sum())
+        return [(0, size, same)] if same >= SHARE * size else []
+    return [(a, b, int(equal[a:b].sum())) for a, b in stretches(equal)]
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def _item_rows(batches: Batches) -> Batches:
+    """From ``key`` and ``text``: a row for each seed of an item."""
+    for batch in batches:
+        for first, stop, (hashes,), offsets in word_hashes(utf8(batch.column(1)), True):
+            for i in range(first, stop):
+                words = hashes[offsets[i - first] : offsets[i - first + 1]]
+                for size, at, found in item_seeds(words):
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.repeat(batch.column(0)[i], n),
+                            pa.repeat(pa.scalar(len(words), pa.int32()), n),
+                            pa.repeat(pa.scalar(size, pa.int32()), n),
+                            pa.array(found.view(np.int64)),
+                            pa.array(at, type=pa.int32()),
+                        ],
+                        names=["item", "n", "size", "h", "place"],
+                    )
+
+
+def _text_rows(masks: list[Mask], sent) -> Callable[[Batches], Batches]:
+    """From ``key`` and ``text``: the seeds of a text that are marked in the bitmap."""
+
+    def rows(batches: Batches) -> Batches:
+        bits = sent.value
+        low, one = np.uint64((1 << SPOT_BITS) - 1), np.uint64(1)
+        for batch in batches:
+            for first, _, (hashes,), offsets in word_hashes(utf8(batch.column(1)), True):
+                for size, text, at, found in window_seeds(hashes, offsets, masks):
+                    slot = found & low
+                    marked = bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))
+                    hit = np.flatnonzero(marked & one)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(pa.array(first + text[hit])),
+                            pa.repeat(pa.scalar(size, pa.int32()), len(hit)),
+                            pa.array(found[hit].view(np.int64)),
+                            pa.array(at[hit] - offsets[text[hit]], type=pa.int32()),
+                        ],
+                        names=["text", "size", "h", "at"],
+                    )
+
+    return rows
+
+
+def _block_rows(block: int) -> Callable[[Batches], Batches]:
+    """From ``key`` and ``text``: the text's word hashes, in blocks of so many."""
+
+    def rows(batches: Batches) -> Batches:
+        for batch in batches:
+            for first, _, (hashes,), offsets in word_hashes(utf8(batch.column(1)), True):
+                counts = -(-np.diff(offsets) // block)
+                text = np.repeat(np.arange(len(counts)), counts)
+                number = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(first + text, type=pa.int64())),
+                        pa.array(number, type=pa.int32()),
+                        lists(
+                            hashes.view(np.int64),
+                            np.append(offsets[text] + number * block, offsets[-1]),
+                            pa.int64(),
+                        ),
+                    ],
+                    names=["text", "block", "words"],
+                )
+
+    return rows
+
+
+def _overlap_rows(batches: Batches) -> Batches:
+    """From the agreement along a diagonal: a row for each overlap."""
+    for batch in batches:
+        rows = batch.to_pydict()
+        source, found = [], []
+        for i, (size, shift, begin, equal) in enumerate(
+            zip(rows["size"], rows["shift"], rows["begin"], rows["equal"])
+        ):
+            for a, b, same in judged(np.array(equal, dtype=bool), size):
+                source.append(i)
+                found.append((begin + a, begin + b, begin + a - shift, same))
+        columns = list(zip(*found, strict=True)) or [()] * 4
+        keys = [batch.column(k).take(pa.array(source, type=pa.int64())) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays(
+            [*keys, *(pa.array(c, type=pa.int64()) for c in columns)],
+            names=["text", "item", "begin", "end", "item_begin", "same"],
+        )
 
 
-def _short_hits(words: np.ndarray, seeds: Seeds) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """By number of words and mask the same for whole short items, and their indexes."""
-    for (size, mask), (keys, items) in seeds.shorts.items():
-        hashes = window_hashes(words, mask, size)
-        left, right = np.searchsorted(keys, hashes, "left"), np.searchsorted(keys, hashes, "right")
-        at = np.flatnonzero(right > left)
-        yield size, at, *_spread(left[at], right[at], items)
-
-
-def _spread(left: np.ndarray, right: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of all ranges, and the number of the range of each."""
-    sizes = right - left
-    which = np.repeat(np.arange(len(sizes)), sizes)
-    inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return values[left[which] + inside], which
-
-
-def matches(words: np.ndarray, seeds: Seeds) -> list[tuple[int, int, int, int, int]]:
-    """Overlaps of one document: item index, begin, end, begin in the item, agreeing words."""
-    lines: set[tuple[int, int]] = set()
-    for at, left, right in _hits(words, seeds):
-        places, which = _spread(left, right, seeds.places)
-        items = np.searchsorted(seeds.begins, places, "right") - 1
-        lines.update(zip(items.tolist(), (at[which] - places).tolist()))
-    rows = set()
-    for item, shift in lines:
-        low, high = int(seeds.begins[item]), int(seeds.begins[item + 1])
-        first, last = max(low, -shift), min(high, len(words) - shift)
-        equal = words[first + shift : last + shift] == seeds.words[first:last]
-        for a, b in stretches(equal):
-            begin, end = first + a + shift, first + b + shift
-            rows.add((item, begin, end, first + a - low, int(equal[a:b].sum())))
-    for size, at, items, which in _short_hits(words, seeds):
-        for item, begin in set(zip(items.tolist(), at[which].tolist())):
-            low = int(seeds.begins[item])
-            same = int((words[begin : begin + size] == seeds.words[low : low + size]).sum())
-            if same >= SHARE * size:
-                rows.add((item, begin, begin + size, 0, same))
-    return sorted(rows)
-
-
-OVERLAPS = "doc_id bigint, item_id bigint, begin bigint, end bigint, item_begin bigint, same bigint"
-
-
-def _rows_to_arrow(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["doc_id", "item_id", "begin", "end", "item_begin", "same"]
-    columns = list(zip(*rows, strict=True)) or [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=names)
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, sent_words: int = SENT_WORDS) -> DataFrame:
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """The bits that the items' hashes mark, in 64-bit numbers."""
+    slot = F.col("h").bitwiseAND(F.lit((1 << SPOT_BITS) - 1))
+    marked = (
+        seeds.select(F.shiftright(slot, 6).alias("w"), slot.bitwiseAND(F.lit(63)).cast("int").alias("b"))
+        .groupBy("w")
+        .agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
+        .toArrow()
+    )
+    bits = np.zeros(1 << (SPOT_BITS - 6), dtype=np.uint64)
+    bits[marked["w"].to_numpy()] = marked["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def _blocks_of(first: str, last: str, size: int) -> Column:
+    """The numbers of the blocks that hold the places from ``first`` to before ``last``."""
+    return F.expr(f"sequence(cast(({first}) div {size} as int), cast(({last} - 1) div {size} as int))")
+
+
+def _agreement(lines: DataFrame, blocks: DataFrame, item_blocks: DataFrame, size: int) -> DataFrame:
+    """For each diagonal which of the words beside each other agree, from ``begin`` on; blocks
+    have ``size`` words."""
+    first, last = F.greatest("shift", F.lit(0)), F.col("shift") + F.col("n")
+    needed = lines.withColumns({"first": first, "last": last}).withColumn(
+        "block", F.explode(_blocks_of("first", "last", size))
+    )
+    start = F.col("block") * size
+    beside = needed.join(blocks, ["text", "block"]).withColumns(
+        {"low": F.greatest("first", start), "high": F.least("last", start + F.size("words"))}
+    )
+    # the item's blocks beside the part of the text, at most two
+    part = beside.where("low < high").select(
+        "text", "item", "size", "shift", "low",
+        F.slice("words", F.col("low") - start + 1, F.col("high") - F.col("low")).alias("words"),
+        F.explode(_blocks_of("low - shift", "high - shift", size)).alias("block"),
+    )
+    own = item_blocks.select(F.col("text").alias("item"), "block", F.col("words").alias("own"))
+    # a place in the block of the item for every place in the part of the text
+    ahead = F.col("low") - F.col("shift") - start
+    skipped, unread = F.greatest(-ahead, F.lit(0)), F.greatest(ahead, F.lit(0))
+    length = F.least(F.size("words") - skipped, F.size("own") - unread)
+    equal = F.zip_with(
+        F.slice("words", skipped + 1, length), F.slice("own", unread + 1, length), lambda x, y: x == y
+    )
+    return (
+        part.join(own, ["item", "block"])
+        .select("text", "item", "size", "shift", F.struct((F.col("low") + skipped).alias("at"), equal.alias("e")).alias("p"))
+        .groupBy("text", "item", "size", "shift")
+        .agg(F.array_sort(F.collect_list("p")).alias("p"))
+        .select("text", "item", "size", "shift", F.col("p")[0]["at"].alias("begin"), F.flatten("p.e").alias("equal"))
+    )
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """Every overlap of a document (``doc_id``, ``text``) with an item (``item_id``,
     ``text``), in words: ``begin`` to ``end`` in the document, ``item_begin``, and how many
     agree (``same``)."""
+    spark = docs.sparkSession
+
+    def key(text: Column) -> Column:
+        return F.unhex(F.md5(text.cast("binary")))
+
     items = benchmark.where("item_id is not null and text is not null").select(
-        F.col("item_id").cast("long"), "text"
+        F.col("item_id").cast("long"), key(F.col("text")).alias("key"), "text"
+    )
+    texts = docs.where("text is not null").select(
+        F.col("doc_id").cast("long"), key(F.col("text")).alias("key"), "text"
+    )
+    seeds, _ = written(
+        items.select("key", "text")
+        .mapInArrow(_item_rows, "item binary, n int, size int, h bigint, place int")
+        .distinct(),
+        "item-seeds",
+    )
+    sizes = [r[0] for r in seeds.where("size > 0").select("size").distinct().collect()]
+    sent = spark.sparkContext.broadcast(_bitmap(seeds))
+    found = texts.select("key", "text").mapInArrow(
+        _text_rows(all_masks(sizes), sent), "text binary, size int, h bigint, at int"
+    )
+    lines, _ = written(
+        found.join(seeds, ["size", "h"])
+        .select("text", "item", "n", "size", (F.col("at") - F.col("place")).alias("shift"))
+        .distinct(),
+        "diagonals",
+    )
+    kind = "text binary, block int, words array<bigint>"
+    may = maybe_in(lines, "text")
+    concerned = texts.where(may(F.col("key")))
+    blocks = concerned.select("key", "text").mapInArrow(_block_rows(block), kind).dropDuplicates(["text", "block"])
+    item_blocks = items.select("key", "text").mapInArrow(_block_rows(block), kind).dropDuplicates(["text", "block"])
+    passages = _agreement(lines, blocks, item_blocks, block).mapInArrow(
+        _overlap_rows,
+        "text binary, item binary, begin bigint, end bigint, item_begin bigint, same bigint",
+    )
+    return (
+        passages.join(concerned.select("doc_id", F.col("key").alias("text")), "text")
+        .join(items.select("item_id", F.col("key").alias("item")), "item")
+        .select("doc_id", "item_id", "begin", "end", "item_begin", "same")
     )
-    letters = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if letters > 4 * sent_words:  # a word and its separator have two bytes or more
-        return _joined(docs, items)
-    rows = items.orderBy("item_id", "text").collect()
-    seeds = make_seeds([r[0] for r in rows], [r[1].encode() for r in rows])
-    sent = docs.sparkSession.sparkContext.broadcast(seeds)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        for batch in batches:
-            ids, found = batch.column(0).to_pylist(), []
-            for first, _, (hashes,), offsets in word_hashes(utf8(batch.column(1)), True):
-                for i in _candidates(hashes, offsets, own):
-                    for item, *rest in matches(hashes[offsets[i] : offsets[i + 1]], own):
-                        found.append((ids[first + i], int(own.items[item]), *rest))
-            yield _rows_to_arrow(found)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, OVERLAPS)
-
-
-def _candidates(hashes: np.ndarray, offsets: np.ndarray, seeds: Seeds) -> list[int]:
-    """Texts of a run that may have a hit: windows are hashed over the whole run at once,
-    those across a border at worst name a text too many."""
-    hit = [at for at, _, _ in _hits(hashes, seeds)]
-    hit += [at for _, at, _, _ in _short_hits(hashes, seeds)]
-    if not hit:
-        return []
-    return np.unique(np.searchsorted(offsets, np.concatenate(hit), "right") - 1).tolist()
-
-
-def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same overlaps for a benchmark too large to send: the items go through the search
-    in portions, each small enough to send, chosen by a hash of the item."""
-    letters = items.agg(F.sum(F.octet_length("text"))).first()[0]
-    portions = -(-letters // (3 * SENT_WORDS))
-    out = None
-    for k in range(portions):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(portions)) == k)
-        found = overlaps(docs, part, sent_words=1 << 62)
-        out = found if out is None else out.union(found)
-    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

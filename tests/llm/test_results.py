@@ -555,12 +555,25 @@ def altered(wrong, size):
     whether the item is found."""
     item = [f"i{k}" for k in range(size)]
     passage = [f"x{k}" if k in wrong else w for k, w in enumerate(item)]
-    texts = [" ".join(item).encode()], [" ".join(["a b c", *passage, "d e f"]).encode()]
-    seeds = decontamination.make_seeds([1], texts[0])
-    (_, _, (hashes,), offsets), = word_hashes(texts[1], True)
-    found = bool(decontamination.matches(hashes, seeds))
-    assert not found or decontamination._candidates(hashes, offsets, seeds) == [0]
-    return found
+    texts = [" ".join(item).encode(), " ".join(["a b c", *passage, "d e f"]).encode()]
+    (_, _, (own,), _), = word_hashes(texts[:1], True)
+    (_, _, (words,), offsets), = word_hashes(texts[1:], True)
+    places = {}
+    for n, at, hashes in decontamination.item_seeds(own):
+        for place, h in zip(at.tolist(), hashes.tolist()):
+            places.setdefault((n, h), []).append(place)
+    masks = decontamination.all_masks({n for n, _ in places} - {0})
+    lines = {
+        (n, at - place)
+        for n, _, ats, hashes in decontamination.window_seeds(words, offsets, masks)
+        for at, h in zip(ats.tolist(), hashes.tolist())
+        for place in places.get((n, h), [])
+    }
+    for n, shift in lines:
+        low, high = max(shift, 0), min(len(words), shift + size)
+        if decontamination.judged(words[low:high] == own[low - shift : high - shift], n):
+            return True
+    return False
 
 
 def test_decontamination_hits_every_choice_of_changed_words():
@@ -584,12 +597,44 @@ def test_decontamination_of_short_items():
             assert found == {n <= size // 5}, (size, n)
 
 
-def test_decontamination_beyond_the_size_that_is_sent(spark, monkeypatch):
-    docs, tests = table(spark, SMALL, "documents"), table(spark, SMALL, "benchmark")
-    whole = {tuple(r) for r in decontamination.overlaps(docs, tests).collect()}
-    monkeypatch.setattr(decontamination, "SENT_WORDS", 700)
-    parts = {tuple(r) for r in decontamination.overlaps(docs, tests, sent_words=700).collect()}
-    assert whole == parts and whole
+def every_overlap(docs, items):
+    """All diagonals of all pairs, without seeds."""
+    out = []
+    for doc_id, text in docs:
+        words = re.findall(r"[0-9a-z]+", (text or "").lower())
+        for item_id, own in items:
+            own = re.findall(r"[0-9a-z]+", (own or "").lower())
+            short = 0 < len(own) < decontamination.LEAST
+            for shift in range(-len(own) + 1, len(words)) if own else ():
+                low, high = max(shift, 0), min(len(words), shift + len(own))
+                if short and (shift < 0 or high - shift < len(own)):
+                    continue
+                equal = np.array([words[k] == own[k - shift] for k in range(low, high)], dtype=bool)
+                for a, b, same in decontamination.judged(equal, len(own) if short else 0):
+                    out.append((doc_id, item_id, low + a, low + b, low + a - shift, same))
+    return sorted(out, key=str)
+
+
+def test_decontamination_against_all_diagonals(spark):
+    rng = random.Random(16)
+    items = [(k, " ".join(rng.choice(WORDS) for _ in range(n))) for k, n in enumerate([1, 3, 7, 12, 13, 20, 45, 70])]
+    items += [(20, items[5][1]), (21, ""), (22, None), (5, items[5][1])]
+    docs = [(None, items[5][1]), (1, None), (2, ""), (3, "?")]
+    for i in range(10, 40):
+        text = [rng.choice(WORDS) + rng.choice(["", "x"]) for _ in range(rng.choice([5, 40, 150]))]
+        passage = noisy(rng, rng.choice(items[:8])[1].split(), rng.choice([0, 0.1, 0.2, 0.3]))
+        at = rng.randint(0, len(text))
+        docs.append((i, " ".join([*text[:at], *passage, *text[at:]])))
+    docs += [docs[10]] * 3 + [(50, docs[10][1])]
+    expected = every_overlap(docs, items)
+    assert len(expected) > 50
+    for block in (1024, 7):  # blocks shorter than items and texts, too
+        out = decontamination.overlaps(
+            spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3),
+            spark.createDataFrame(items, "item_id bigint, text string"),
+            block,
+        )
+        assert sorted(map(tuple, out.collect()), key=str) == expected
 
 
 def test_word_hashes_do_not_depend_on_the_run():
