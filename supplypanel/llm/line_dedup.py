@@ -37,7 +37,8 @@ from .common import dense, drop_folder, maybe_in, table, written
 
 THRESHOLD = 80
 RARITY_BUCKETS = 1 << 20
-FEW = 32
+# comparing with so many sets costs less than one shuffled row for each further prefix word
+FEW = 512
 _HASH_BITS = 56
 SMALLEST = 4
 
@@ -246,18 +247,23 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
 
     def words_of(pairs: DataFrame) -> DataFrame:
         """The whole word sets in the pairs, read from the lines they are first in."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-        first_lines = keep(places.join(wanted, "s").select("s", "place.*"), "wanted")
+        wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "wanted")
+        in_wanted = maybe_in(wanted, "s")
+        first_lines = keep(
+            places.where(in_wanted(F.col("s"))).join(wanted, "s").select("place.*"), "wanted-places"
+        )
         here = F.xxhash64("doc_id", "line")
         in_document = maybe_in(first_lines, "doc_id")
         in_line = maybe_in(first_lines.select(here.alias("at")), "at")
         contents = _contents(texts.where(in_document(F.col("doc_id")))).where(in_line(here))
         bits = F.transform("words", lambda w: w.bitwiseAND(F.lit(32767)).cast("smallint"))
+        # a set that no pair has may come along; no pair is joined with it
         return keep(
             _with_words(contents, powers)
-            .join(first_lines, list(_LINE))
-            .select("s", "words", n.alias("n"), F.array_distinct(bits).alias("bits"))
-            .dropDuplicates(["s"]),
+            .select(F.xxhash64("words").alias("s"), "words")
+            .where(in_wanted(F.col("s")))
+            .dropDuplicates(["s"])
+            .select("s", "words", n.alias("n"), F.array_distinct(bits).alias("bits")),
             "words",
         )
 
@@ -277,10 +283,16 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
         gone = keep(
             gone.union(_similar(second, words_of(second), places, threshold)).distinct(), "gone"
         )
-    flagged = places.join(gone.withColumn("gone", F.lit(True)), "s", "left")
+    is_gone = maybe_in(gone, "s")
+    # all other lines are the only ones of a set that stays
+    concerned = several(F.col("s")) | is_gone(F.col("s"))
+    flagged = places.where(concerned).join(gone.withColumn("gone", F.lit(True)), "s", "left")
     removed = F.coalesce("gone", F.lit(False)) | (F.struct(*_LINE) != F.col("place"))
+    asked = lines.where(concerned).select(*_LINE, "s").join(flagged, "s")
     done, folder = written(
-        lines.select(*_LINE, "s").join(flagged, "s").select(*_LINE, removed.alias("removed")).distinct(),
+        asked.select(*_LINE, removed.alias("removed"))
+        .distinct()
+        .unionByName(lines.where(~concerned).select(*_LINE, F.lit(False).alias("removed"))),
         "decided",
     )
     for path in folders:
