@@ -530,6 +530,18 @@ CORRELATION = " UNION ALL ".join(
     for i, a in enumerate(MEASURED)
     for b in MEASURED[i + 1 :]
 )
+WIDE = [*BENES, *CLAIMS, *PAID, *AGE_COLUMNS, *GENDER_COLUMNS, *RACE_COLUMNS, *CONDITION_COLUMNS]
+PANEL_CORRELATION = with_panel(
+    "SELECT year, cell.first AS first, cell.second AS second,"
+    " CASE WHEN NOT isnan(cell.correlation) THEN round(cell.correlation, 6) + 0.0 END AS correlation"
+    " FROM (SELECT year, unnest(["
+    + ", ".join(
+        f"{{'first': '{a}', 'second': '{b}', 'correlation': corr({a}, {b})}}"
+        for i, a in enumerate(WIDE)
+        for b in WIDE[i + 1 :]
+    )
+    + "]) AS cell FROM panel GROUP BY year)"
+)
 
 ORACLE: dict[str, str] = {
     "yearly_overview": with_panel("SELECT * FROM overview", OVERVIEW),
@@ -659,6 +671,19 @@ ORACLE: dict[str, str] = {
     "save_results": with_panel("SELECT * FROM spending", SPENDING),
     "json_scan": """SELECT CAST(o_orderkey AS VARCHAR) AS "Order_NPI", o_custkey AS "Order_Cnt",
  o_totalprice AS "Order_Pymt", nullif(o_orderstatus, 'P') AS mark FROM orders""",
+    "json_drift": """SELECT CASE WHEN o_orderkey % 4 IN (0, 1) THEN o_custkey END AS "Order_Cnt",
+ CAST(o_orderkey AS VARCHAR) AS "Order_NPI",
+ CASE WHEN o_orderkey % 4 IN (0, 2) THEN o_totalprice END AS "Order_Pymt",
+ CASE WHEN o_orderkey % 4 = 1 THEN o_orderstatus END AS mark,
+ CASE WHEN o_orderkey % 4 = 2 THEN '{"priority":"' || o_orderpriority || '"}' END AS note
+ FROM orders WHERE o_orderkey % 28 <> 3""",
+    "json_field_kinds": """WITH kinds(shape, field, kind) AS (VALUES (0, 'Order_NPI', 'number'),
+ (0, 'Order_Cnt', 'number'), (0, 'Order_Pymt', 'number'), (1, 'Order_NPI', 'text'), (1, 'Order_Cnt', 'text'),
+ (1, 'mark', 'text'), (2, 'Order_NPI', 'text'), (2, 'Order_Pymt', 'text'), (2, 'note', 'object'),
+ (3, 'Order_NPI', 'number'))
+ SELECT field, kind, count(*) AS records FROM orders JOIN kinds ON shape = o_orderkey % 4
+ WHERE o_orderkey % 28 <> 3 GROUP BY 1, 2""",
+    "json_bad_records": """SELECT '{"Order_NPI": ' || o_orderkey AS line FROM orders WHERE o_orderkey % 28 = 3""",
     "missing_values": with_panel(MISSING),
     "fill_missing": with_panel(
         f"""SELECT "Suplr_NPI", year, coalesce({BENES[0]}, 0) AS {BENES[0]}, {CLAIMS[0]},
@@ -669,6 +694,7 @@ ORACLE: dict[str, str] = {
  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) = 1""",
     "describe": DESCRIBE,
     "correlation": CORRELATION,
+    "panel_correlation": PANEL_CORRELATION,
     "outliers": """WITH fences AS (SELECT l_returnflag AS flag,
  quantile_disc(l_extendedprice, 0.25) AS q1, quantile_disc(l_extendedprice, 0.75) AS q3
  FROM lineitem GROUP BY 1)

@@ -33,7 +33,7 @@ from supplypanel.operators import (
 from supplypanel.operators.selection import latest_year_of, select_year
 from supplypanel.plans import report, sinks
 from supplypanel.session import drop_folder, scratch_folder, settle
-from supplypanel.sources import incremental, quarantine
+from supplypanel.sources import incremental, json_records, quarantine
 from supplypanel.sources.dictionary import dictionary_join, dictionary_table
 from supplypanel.sources.yearly import (
     load_panel,
@@ -473,6 +473,67 @@ def json_scan(spark, folder):
     return read_table(spark, path, "json")
 
 
+def drifting_orders(spark, folder):
+    """Orders as JSON lines whose fields and kinds of values differ, some of them broken; parsed
+    once, then stored."""
+    key, spent = F.col("o_orderkey"), F.col("o_totalprice")
+    text = key.cast("string").alias("Order_NPI")
+    lines = (
+        F.when(key % 28 == 3, F.concat(F.lit('{"Order_NPI": '), text))
+        .when(
+            key % 4 == 0,
+            F.to_json(F.struct(key.alias("Order_NPI"), F.col("o_custkey").alias("Order_Cnt"), spent.alias("Order_Pymt"))),
+        )
+        .when(
+            key % 4 == 1,
+            F.to_json(
+                F.struct(
+                    text,
+                    F.concat(F.col("o_custkey").cast("string"), F.lit(".0")).alias("Order_Cnt"),
+                    F.col("o_orderstatus").alias("mark"),
+                )
+            ),
+        )
+        .when(
+            key % 4 == 2,
+            F.to_json(
+                F.struct(
+                    text,
+                    spent.cast("string").alias("Order_Pymt"),
+                    F.struct(F.col("o_orderpriority").alias("priority")).alias("note"),
+                )
+            ),
+        )
+        .otherwise(F.to_json(F.struct(key.alias("Order_NPI"))))
+    )
+    path = scratch_folder(spark, "drifting")
+    table(spark, folder, "orders").select(lines.alias("value")).write.text(path)
+    records = settle(json_records.json_records(spark, path), "records")
+    drop_folder(spark, path)
+    return records
+
+
+def json_drift(spark, folder):
+    records = drifting_orders(spark, folder)
+    return json_records.typed_records(records, json_records.field_names(records))
+
+
+def json_field_kinds(spark, folder):
+    """The fields of all records, with how many have them as text, number or object."""
+    found = json_records.json_fields(drifting_orders(spark, folder)).where("field is not null")
+    kind = (
+        F.when(F.col("kind") == "STRING", "text")
+        .when(F.col("kind").startswith("OBJECT"), "object")
+        .otherwise("number")
+    )
+    return found.groupBy("field", kind.alias("kind")).agg(F.sum("records").alias("records"))
+
+
+def json_bad_records(spark, folder):
+    bad = drifting_orders(spark, folder).select(F.col(json_records.BAD_RECORD).alias("line"))
+    return bad.where("line is not null")
+
+
 # Cleaning and first looks.
 
 
@@ -510,6 +571,19 @@ def correlation(spark, folder):
     return pairs.withColumn("correlation", F.round("correlation", 6))
 
 
+WIDE = (
+    op.BENE_COLUMNS + op.CLAIM_COLUMNS + op.PAYMENT_COLUMNS + op.AGE_COLUMNS
+    + op.GENDER_COLUMNS + op.RACE_COLUMNS + op.PRIORITY_COLUMNS + op.RETURN_COLUMNS
+)
+
+
+def panel_correlation(spark, folder):
+    """Every pair of the panel's measures, by year; columns without variance have no correlation."""
+    pairs = profile.correlations(panel(spark, folder, WIDE), WIDE, ["year"])
+    value = F.round("correlation", 6)
+    return pairs.withColumn("correlation", F.when(~F.isnan(value), value + 0.0))
+
+
 def outliers(spark, folder):
     lines = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_extendedprice"
@@ -684,11 +758,15 @@ QUERIES: dict[str, Query] = {
     "panel_quarantine": panel_quarantine,
     "save_results": save_results,
     "json_scan": json_scan,
+    "json_drift": json_drift,
+    "json_field_kinds": json_field_kinds,
+    "json_bad_records": json_bad_records,
     "missing_values": missing_values,
     "fill_missing": fill_missing,
     "drop_duplicates": drop_duplicates,
     "describe": describe,
     "correlation": correlation,
+    "panel_correlation": panel_correlation,
     "outliers": outliers,
     "line_sums": line_sums,
     "line_shares": line_shares,

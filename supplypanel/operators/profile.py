@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,22 +94,71 @@ def describe_columns(
     )
 
 
+# Spark generates code for operators of at most 100 fields; a correlation keeps six of them.
+BLOCK = 4
+
+
 def correlations(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Pearson correlation of every pair of columns, all in one pass. Rows that miss one
-    of the two values do not count for that pair."""
+    """Pearson correlation of every pair of columns, all in one scan. Rows that miss one
+    of the two values do not count for that pair.
+
+    Columns are cut into blocks of ``BLOCK``. A row is taken once for each pair of blocks, and
+    one aggregate of fixed width, by keys and pair of blocks, holds the moments of the pairs
+    between them; so a panel of any width stays within generated code, and a task sends as many
+    rows for a key as there are pairs of blocks. Without keys an empty table has missing
+    correlations, with keys no rows.
+    """
     require_columns(df, columns)
-    pairs = list(combinations(columns, 2))
-    values = df.groupBy(*by).agg(
+    n = len(columns)
+    if n < 2:
+        raise ValueError("no pair of columns")
+    starts = range(0, n, BLOCK)
+    blocks = F.array(
         *[
-            F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}")
-            for a, b in pairs
+            F.struct(F.lit(i).alias("|i"), F.lit(j).alias("|j"))
+            for i in starts
+            for j in starts
+            if i <= j
         ]
     )
+    keys = [f"|k{k}" for k in range(len(by))]
+    # a null key is a key of its own
+    values = df.select(
+        *[F.col(c).alias(k) for c, k in zip(by, keys)],
+        F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("|v"),
+    )
+    sides = [(x, y) for x in range(min(BLOCK, n)) for y in range(min(BLOCK, n))]
+    if n <= BLOCK:
+        sides = [(x, y) for x, y in sides if x < y]  # the one block with itself
+    found = (
+        values.select(*keys, "|v", F.inline(blocks))
+        .groupBy(*keys, "|i", "|j")
+        .agg(
+            *[
+                F.corr(F.get("|v", F.col("|i") + x), F.get("|v", F.col("|j") + y)).alias(f"|{x}|{y}")
+                for x, y in sides
+            ]
+        )
+    )
+    if not by:
+        every = df.sparkSession.range(1).select(F.inline(blocks))
+        found = every.join(found, ["|i", "|j"], "left")
+    names = F.array(*[F.lit(c) for c in columns])
     cells = [
-        {"first": F.lit(a), "second": F.lit(b), "correlation": F.col(f"`{a}|{b}`")}
-        for a, b in pairs
+        {
+            "|a": F.col("|i") + x,
+            "|b": F.col("|j") + y,
+            "correlation": F.col(f"|{x}|{y}"),
+        }
+        for x, y in sides
     ]
-    return to_rows(values, by, cells)
+    pairs = to_rows(found, keys, cells).where((F.col("|a") < F.col("|b")) & (F.col("|b") < n))
+    return pairs.select(
+        *[F.col(k).alias(c) for c, k in zip(by, keys)],
+        F.get(names, F.col("|a")).alias("first"),
+        F.get(names, F.col("|b")).alias("second"),
+        "correlation",
+    )
 
 
 def outlier_fences(

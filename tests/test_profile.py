@@ -3,7 +3,9 @@
 
 import math
 import random
+from itertools import combinations
 
+import numpy as np
 import pytest
 from conftest import plan_of, rows
 from pyspark.sql import functions as F
@@ -38,6 +40,46 @@ def test_correlation_skips_incomplete_pairs(spark):
     assert (first, second) == ("a", "b") and value == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("width", [2, 4, 5, 9, 13])
+def test_correlations_against_numpy(spark, width):
+    rng = random.Random(width)
+    names = [f"c.{i}" for i in range(width)]
+    data = [
+        (rng.choice(["a", "b", None]), *[rng.choice([None, rng.gauss(0, 1), i * k / 50.0]) for i in range(width)])
+        for k in range(300)
+    ]
+    df = spark.createDataFrame(data, ", ".join(["k string", *[f"`{c}` double" for c in names]])).repartition(3)
+    got = {(r.k, r["first"], r["second"]): r["correlation"] for r in profile.correlations(df, names, ["k"]).collect()}
+    assert len(got) == 3 * width * (width - 1) // 2
+    for (key, first, second), value in got.items():
+        i, j = names.index(first) + 1, names.index(second) + 1
+        assert i < j
+        both = [(r[i], r[j]) for r in data if r[0] == key and r[i] is not None and r[j] is not None]
+        assert value == pytest.approx(np.corrcoef(np.array(both).T)[0, 1], abs=1e-12)
+
+
+def test_correlations_of_nothing(spark):
+    df = spark.createDataFrame([], "k string, " + ", ".join(f"c{i} double" for i in range(6)))
+    names = [f"c{i}" for i in range(6)]
+    out = rows(profile.correlations(df, names))
+    assert sorted(r[:2] for r in out) == list(combinations(names, 2)) and {r[2] for r in out} == {None}
+    assert rows(profile.correlations(df, names, ["k"])) == []
+    with pytest.raises(ValueError):
+        profile.correlations(df, ["c0"])
+
+
+def test_wide_correlations_stay_in_generated_code(spark):
+    names = [f"c{i}" for i in range(94)]
+    df = spark.range(500).select((F.col("id") % 2).alias("k"), *[F.rand(i).alias(c) for i, c in enumerate(names)])
+    out = profile.correlations(df, names, ["k"])
+    found = out.collect()
+    assert len(found) == 2 * 94 * 93 // 2 and all(-1 <= r["correlation"] <= 1 for r in found)
+    plan = plan_of(out).split("Initial Plan")[0]
+    assert plan.count("Range (") == 1 and plan.count("Exchange") == 1
+    aggregates = [line for line in plan.splitlines() if "HashAggregate(" in line]
+    assert len(aggregates) == 2 and all("*(" in line for line in aggregates)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 1000])
 def test_quantiles_against_sorted_values(spark, n):
     rng = random.Random(n)
