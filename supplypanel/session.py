@@ -44,12 +44,21 @@ def configure(
 _MADE: list[str] = []
 
 
+def _own_disk(spark: SparkSession, path: str) -> bool:
+    """Whether a path is in the file system of the machine itself."""
+    system = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.getScheme() == "file"
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name that driver and executors share: under the folder named by
-    ``spark.checkpoint.dir`` or, where that is unset, under the warehouse directory."""
+    ``spark.checkpoint.dir`` or, where that is unset, under the warehouse directory. On a
+    cluster a warehouse in a machine's own file system is refused."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        if not spark.sparkContext.master.startswith("local") and _own_disk(spark, shared):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share, not {shared}")
     path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _MADE.append(path)
     return path

@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from supplypanel import session
 from supplypanel.plans import sinks
 from supplypanel.sources import incremental, quarantine
 
@@ -142,3 +143,20 @@ def test_a_failed_set_leaves_the_earlier_one(spark, tmp_path):
     assert len([f for f in os.listdir(folder) if f.startswith("set-")]) == 2
     with pytest.raises(ValueError, match="no results"):
         sinks.read_result_set(spark, str(tmp_path / "empty"))
+
+
+class OnACluster:
+    """The session as if its executors were on other machines, without a shared folder named."""
+
+    def __init__(self, spark, warehouse):
+        self._spark, self._jvm, self._jsc = spark, spark._jvm, spark._jsc
+        self.sparkContext = type("Context", (), {"master": "yarn"})
+        get = {"spark.sql.warehouse.dir": warehouse}.get
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: get(key, default))})
+
+
+def test_scratch_on_a_cluster_is_shared(spark, tmp_path):
+    for local in (str(tmp_path), f"file:{tmp_path}"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.scratch_folder(OnACluster(spark, local), "x")
+    assert session._own_disk(spark, str(tmp_path))
