@@ -46,6 +46,8 @@ _MADE: list[str] = []
 
 def _own_disk(spark: SparkSession, path: str) -> bool:
     """Whether a path is in the file system of the machine itself."""
+    if "://" in path and not path.startswith("file:"):
+        return False
     system = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     return system.getScheme() == "file"
 
@@ -57,7 +59,7 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        if not spark.sparkContext.master.startswith("local") and _own_disk(spark, shared):
+        if _own_disk(spark, shared) and not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share, not {shared}")
     path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _MADE.append(path)
