@@ -40,7 +40,7 @@ def pct_change(
     as many as there are years; see ``yearly_changes`` for totals over all.
     """
     if not partition_by:
-        raise ValueError("no keys; ordered_change takes the order of the whole table")
+        raise ValueError("no keys: one task would take all rows; ordered_change takes the order of a whole table")
     return _changes(df, columns, order_by, partition_by, fill)
 
 
