@@ -12,14 +12,15 @@ Lines without words are kept.
 * Prefix filter: similar sets share a word among the first ``n - ceil(t n) + 1`` of the
   larger and the first ``n - ceil(2 t n / (1 + t)) + 1`` of the smaller. Length filter: the
   smaller has at least ``t`` times the words of the larger. Positional filter: what can
-  still follow a shared word must suffice. A parity word per set, whose differing bits are
-  at most the differing words, is compared too.
+  still follow a shared word must suffice. Parity words per set, whose differing bits are
+  at most the differing words, are compared too: 64 bits, 128 of sets of more than 64 words.
 * A prefix word of more than ``FEW`` sets is no key by itself. Two similar sets that have it as
   their first common word share another one in their prefixes of one word more, so the two
   words together are the key; as the frequent words are the last of a prefix, these are few.
-* Sets that have a key in common with at most ``FEW`` others are joined at once. The sets of a
-  more frequent pair of words are first compared with the earliest of them, and only those that
-  were not removed by that are joined with the others.
+* The sets of a key are first compared with the earliest of them. Only those that may not be
+  similar to it are compared with all earlier ones; so are, in a second search, those that
+  turned out not to be similar to any set they were compared with. Copies that differ a little
+  are so not compared with one another. Keys of at most ``FEW`` sets are searched in one join.
 * Candidates are verified by their whole word sets.
 
 Documents whose ``doc_id`` is null, and null or empty texts, are returned as they are and
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 
 from .common import dense, drop_folder, maybe_in, table, written
 
@@ -40,6 +42,7 @@ RARITY_BUCKETS = 1 << 20
 # comparing with so many sets costs less than one shuffled row for each further prefix word
 FEW = 512
 _HASH_BITS = 56
+_PARITY_BITS = 64
 SMALLEST = 4
 
 
@@ -106,11 +109,17 @@ def _index_length(n: Column, t: int) -> Column:
 _LINE = ("doc_id", "version", "line")
 
 
-def _contents(texts: DataFrame) -> DataFrame:
-    """The lines that have words."""
+def _numbered_lines(texts: DataFrame) -> DataFrame:
     return texts.select(
         "doc_id", "version", F.posexplode(_lines(F.col("text"))).alias("line", "content")
-    ).where(F.trim(F.replace(F.col("content"), F.lit("\t"), F.lit(" "))) != "")
+    )
+
+
+def _contents(texts: DataFrame) -> DataFrame:
+    """The lines that have words."""
+    return _numbered_lines(texts).where(
+        F.trim(F.replace(F.col("content"), F.lit("\t"), F.lit(" "))) != ""
+    )
 
 
 def _with_words(contents: DataFrame, powers: Column) -> DataFrame:
@@ -122,21 +131,29 @@ def _with_words(contents: DataFrame, powers: Column) -> DataFrame:
 
 
 def _may_match(x: str, y: str, t: int) -> Column:
-    """Length, positional and parity filters for ``x``, the larger set (or of equal size)."""
+    """Length, positional and parity filters for two sets, whichever is the larger."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    px, py = F.col(f"{x}.pos"), F.col(f"{y}.pos")
     need = F.floor(((nx + ny) * t + (99 + t)) / (100 + t))
-    follow = 1 + F.least(nx - F.col(f"{x}.pos"), ny - F.col(f"{y}.pos")) - 1
-    bits = F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity")))
+    smaller, at = F.least(nx, ny), F.when(nx < ny, px).otherwise(py)
+    ones = F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))
+    upper = F.col(f"{x}.upper").bitwiseXOR(F.col(f"{y}.upper"))
+    # the upper half of the words' parities is known of large sets
+    bits = F.coalesce(F.bit_count(upper) + F.bit_count(ones.bitwiseXOR(upper)), F.bit_count(ones))
     return (
-        (ny * 100 >= nx * t)
-        # y is the smaller; said of both, so that both sides are read from one shuffle
-        & (F.col(f"{y}.pos") < _index_length(F.least(nx, ny), t))
-        & (follow >= need)
+        (smaller * 100 >= F.greatest(nx, ny) * t)
+        & (at < _index_length(smaller, t))
+        & (F.least(nx - px, ny - py) >= need)
         & (bits <= nx + ny - need * 2)
-        & ((nx > ny) | ((nx == ny) & (F.col(f"{x}.s") > F.col(f"{y}.s"))))
     )
 
 
+def _not_later(y: str, x: str) -> Column:
+    """Whether ``y`` is in no later document and line than ``x``; versions may be equal."""
+    same = (F.col(f"{y}.doc") == F.col(f"{x}.doc")) & (F.col(f"{y}.line") <= F.col(f"{x}.line"))
+    return (F.col(f"{x}.s") != F.col(f"{y}.s")) & ((F.col(f"{y}.doc") < F.col(f"{x}.doc")) | same)
+
+
 def _pair(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     """Pairs ``a``, ``b`` of sets with columns of ``rows`` (by ``s``) as ``x`` and ``y``."""
     one = rows.select(F.col("s").alias("a"), F.struct(*columns).alias("x"))
@@ -175,12 +192,14 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
     n = F.size("words")
     # one word more than the prefix filter needs
     prefix = F.slice("words", F.lit(1), (_probe_length(n, threshold) + 1).cast("int"))
+    upper = F.filter("words", lambda w: w.bitwiseAND(F.lit(_PARITY_BITS)) != 0)
     lines = keep(
         _with_words(_contents(texts), powers).select(
             *_LINE,
             F.xxhash64("words").alias("s"),
             n.alias("n"),
             F.when(n >= SMALLEST, _parity(F.col("words"))).alias("parity"),
+            F.when(n > _PARITY_BITS, _parity(upper)).alias("upper"),
             F.when(n >= SMALLEST, prefix).alias("prefix"),
         ),
         "lines",
@@ -192,8 +211,8 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
     places = counted_places.select("s", "place")
     # a set that only one line has needs no search for its first line
     several = maybe_in(counted_places.where("lines > 1"), "s")
-    own = lines.where(F.col("n") >= SMALLEST).select(*_LINE, "s", "n", "parity", "prefix")
-    columns = ["s", "n", "parity", "prefix", F.col("doc_id").alias("doc")]
+    own = lines.where(F.col("n") >= SMALLEST).select(*_LINE, "s", "n", "parity", "upper", "prefix")
+    columns = ["s", "n", "parity", "upper", "prefix", F.col("doc_id").alias("doc"), "line"]
     firsts = keep(
         own.where(several(F.col("s")))
         .join(places, "s")
@@ -204,18 +223,24 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
     )
     sets = own.where(~several(F.col("s"))).select(*columns).unionByName(firsts)
     needed = F.slice("prefix", F.lit(1), F.size("prefix") - 1)
+    # no word of a smaller power is in more than FEW lines
+    often_met = F.shiftright("word", _HASH_BITS) >= FEW.bit_length()
     frequent = keep(
-        sets.select(F.explode(needed).alias("word")).groupBy("word").count().where(F.col("count") > FEW),
+        sets.select(F.explode(needed).alias("word"))
+        .where(often_met)
+        .groupBy("word")
+        .count()
+        .where(F.col("count") > FEW),
         "frequent",
     )
     # some other words may pass as frequent; all their lines then do
-    is_frequent = maybe_in(frequent, "word")
-    marks = ["s", "n", "parity", "doc"]
+    is_frequent = often_met & maybe_in(frequent, "word")(F.col("word"))
+    marks = ["s", "n", "parity", "upper", "doc", "line"]
     entries = sets.select(F.posexplode(needed).alias("pos", "word"), "prefix", *marks)
-    single = entries.where(~is_frequent(F.col("word"))).select("pos", "word", *marks)
+    single = entries.where(~is_frequent).select("pos", "word", *marks)
     after = F.slice("prefix", F.col("pos") + 2, F.size("prefix"))
     double = (
-        entries.where(is_frequent(F.col("word")))
+        entries.where(is_frequent)
         .select("pos", "word", F.explode(after).alias("other"), *marks)
         .select("pos", F.xxhash64("word", "other").alias("word"), *marks)
     )
@@ -223,27 +248,28 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
         double.groupBy("word").count().where(F.col("count") > FEW).select("word"), "frequent-pairs"
     )
     is_often = maybe_in(frequent_pairs, "word")
-    rare = single.unionByName(double.where(~is_often(F.col("word")))).drop("doc")
+    rare = single.unionByName(double.where(~is_often(F.col("word"))))
     often = keep(double.where(is_often(F.col("word"))), "frequent-entries")
 
-    def joined(x: DataFrame, y: DataFrame) -> DataFrame:
-        x, y = x.alias("x"), y.alias("y")
-        return x.join(
-            y, (F.col("x.word") == F.col("y.word")) & _may_match("x", "y", threshold)
-        ).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
-
-    itself = F.struct("s", "n", "pos", "parity")
-    earliest = often.groupBy("word").agg(F.min(F.struct("doc", "s", "n", "pos", "parity")).alias("y"))
-    led = often.select("word", itself.alias("x")).join(earliest, "word").where("x.s != y.s")
-    # whichever of the two is the larger
-    led = led.where(_may_match("x", "y", threshold) | _may_match("y", "x", threshold))
-    first = keep(
-        joined(rare, rare)
-        .union(led.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct(),
-        "pairs",
+    # a key of these has at most FEW sets; "led" by the earliest if that may be similar
+    itself = F.struct("doc", "line", "s", "n", "pos", "parity", "upper")
+    followed = rare.withColumn("lead", F.min(itself).over(W.partitionBy("word"))).alias("x")
+    may_follow = (F.col("lead.s") != F.col("s")) & _may_match("x", "x.lead", threshold)
+    x = followed.select("word", "pos", *marks, may_follow.alias("led"), F.col("lead.s").alias("lead"))
+    x, y = x.alias("x"), rare.alias("y")
+    chosen = F.when(F.col("x.led"), F.col("y.s") == F.col("x.lead")).otherwise(
+        _not_later("y", "x") & _may_match("x", "y", threshold)
+    )
+    at_once = x.join(y, (F.col("x.word") == F.col("y.word")) & chosen).select(
+        F.col("x.s").alias("a"), F.col("y.s").alias("b"), "x.led"
     )
+    earliest = often.groupBy("word").agg(F.min(itself).alias("y"))
+    with_earliest = often.select("word", itself.alias("x")).join(earliest, "word").where("x.s != y.s")
+    # the keys of these are searched again for all sets that are left
+    led = with_earliest.where(_may_match("x", "y", threshold)).select(
+        F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.lit(False).alias("led")
+    )
+    first = keep(at_once.union(led).groupBy("a", "b").agg(F.max("led").alias("led")), "pairs")
 
     def words_of(pairs: DataFrame) -> DataFrame:
         """The whole word sets in the pairs, read from the lines they are first in."""
@@ -255,26 +281,38 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
         here = F.xxhash64("doc_id", "line")
         in_document = maybe_in(first_lines, "doc_id")
         in_line = maybe_in(first_lines.select(here.alias("at")), "at")
-        contents = _contents(texts.where(in_document(F.col("doc_id")))).where(in_line(here))
+        contents = _numbered_lines(texts.where(in_document(F.col("doc_id")))).where(in_line(here))
         bits = F.transform("words", lambda w: w.bitwiseAND(F.lit(32767)).cast("smallint"))
         # a set that no pair has may come along; no pair is joined with it
         return keep(
             _with_words(contents, powers)
             .select(F.xxhash64("words").alias("s"), "words")
-            .where(in_wanted(F.col("s")))
             .dropDuplicates(["s"])
             .select("s", "words", n.alias("n"), F.array_distinct(bits).alias("bits")),
             "words",
         )
 
-    gone = keep(_similar(first, words_of(first), places, threshold), "gone")
+    gone = keep(_similar(first.select("a", "b"), words_of(first), places, threshold), "gone")
+    # what the earliest sets of its keys did not remove, with all earlier ones of these keys
+    asked = keep(
+        first.where("led").select(F.col("a").alias("s")).distinct().join(gone, "s", "left_anti"), "asked"
+    )
+    asking = keep(
+        rare.where(maybe_in(asked, "s")(F.col("s"))).join(asked, "s", "left_semi"), "asked-entries"
+    )
+    answering = rare.where(maybe_in(asking, "word")(F.col("word")))
     left = often.join(gone, "s", "left_anti")
-    # a line that is left as the larger or the smaller of a pair, with all others
-    x, y = left.alias("x"), often.alias("y")
-    matching = _may_match("x", "y", threshold) | _may_match("y", "x", threshold)
+
+    def earlier_of(x: DataFrame, y: DataFrame) -> DataFrame:
+        x, y = x.alias("x"), y.alias("y")
+        possible = _not_later("y", "x") & _may_match("x", "y", threshold)
+        return x.join(y, (F.col("x.word") == F.col("y.word")) & possible).select(
+            F.col("x.s").alias("a"), F.col("y.s").alias("b")
+        )
+
     second = keep(
-        x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.s") != F.col("y.s")) & matching)
-        .select(F.greatest("x.s", "y.s").alias("a"), F.least("x.s", "y.s").alias("b"))
+        earlier_of(asking, answering)
+        .union(earlier_of(left, often))
         .distinct()
         .join(first, ["a", "b"], "left_anti"),
         "pairs",

@@ -679,3 +679,35 @@ def test_line_dedup_around_the_threshold(spark):
         for r in decided.where("removed").collect():
             out[r.doc_id].append(r.line)
         assert {i: ",".join(map(str, sorted(x))) for i, x in out.items()} == expected
+
+
+def test_line_dedup_compares_slightly_different_copies_with_the_earliest(spark, monkeypatch):
+    """200 lines that differ in one word: pairs grow with the lines, not with their square."""
+    import duckdb
+
+    from supplypanel.llm import line_dedup
+
+    common = " ".join(f"shared{i}" for i in range(19))
+    # the last ones have only the later copies, not the earliest, as similar ones
+    chain = [" ".join(f"chain{i}" for i in range(k, k + 20)) for k in range(0, 8, 2)]
+    long = [" ".join(f"long{(i * 7 + k) % 400}" for i in range(100)) for k in range(0, 60, 3)]
+    texts = [f"{common} own{i}" for i in range(200)] + chain + long
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    expected = {r[0]: r[3] for r in con.execute(line_dedup.OP6_SQL).fetchall()}
+    compared = []
+    write = line_dedup.written
+
+    def counted(rows, name):
+        out, folder = write(rows, name)
+        if name == "pairs":
+            compared.append(out.count())
+        return out, folder
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    decided, _ = line_dedup.decide_lines(df)
+    got = {r[0]: r[1] for r in decided.select("doc_id", "removed").collect()}
+    assert got == {k: v != "" for k, v in expected.items()}
+    assert sum(compared) < 5 * len(texts)
