@@ -12,7 +12,8 @@ Two documents link if their sets of word 4-grams have a Jaccard similarity of at
   border of two, and a document near a border belongs to both.
 * Equal rows are one row. Of the rows that meet in a column and band, each is first paired with
   the smallest; after links merged what they could, the others are paired unless they are
-  connected already. Pairs are left out whose sizes or parities prove too many differences.
+  connected already; of columns with the same rows one is asked. Pairs are left out whose sizes
+  or parities prove too many differences.
 * For the pairs left, overlap counts accumulate block by block over the sorted n-grams, and
   a pair is discarded as soon as the size-derived bound cannot be met any more.
 
@@ -275,6 +276,27 @@ def _may_link(x: str, y: str, threshold: int) -> F.Column:
     return (F.least(f"{x}.n", f"{y}.n") >= need) & (bits <= both - need * 2)
 
 
+def unsettled(members: DataFrame) -> DataFrame:
+    """The buckets (``number``) whose rows (``rep``) are in different components. Buckets of the
+    same rows, told by hashes, raise the same pairs; one of them is asked."""
+    own = F.xxhash64("rep")
+    spread = F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(1 << 31))
+    return (
+        members.groupBy("number")
+        .agg(
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+            F.count(F.lit(1)).alias("size"),
+            F.bit_xor(own).alias("mixed"),
+            F.sum(spread).alias("total"),
+        )
+        .where("low < high")
+        .groupBy("low", "high", "size", "mixed", "total")
+        .agg(F.min("number").alias("number"))
+        .select("number")
+    )
+
+
 def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs`` (``doc_id``,
     ``text``): the smallest ``doc_id`` that links reach."""
@@ -340,13 +362,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD)
 
     # then all rows of a bucket that are still in different components
     members = class_of(buckets, "rep", "component")
-    unsettled = (
-        members.groupBy("number")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low < high")
-        .select("number")
-    )
-    still = members.join(unsettled, "number").join(marks.drop("parity"), "rep")
+    still = members.join(unsettled(members), "number").join(marks.drop("parity"), "rep")
     x, y = still.alias("x"), still.alias("y")
     third = (
         x.join(

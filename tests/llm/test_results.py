@@ -711,3 +711,12 @@ def test_line_dedup_compares_slightly_different_copies_with_the_earliest(spark,
     got = {r[0]: r[1] for r in decided.select("doc_id", "removed").collect()}
     assert got == {k: v != "" for k, v in expected.items()}
     assert sum(compared) < 5 * len(texts)
+
+
+def test_buckets_of_the_same_rows_are_asked_once(spark):
+    from supplypanel.llm.ngram_join import unsettled
+
+    same = [(k, rep, rep) for k in range(40) for rep in (1, 2, 3)]
+    other = [(50, 1, 1), (50, 2, 2), (60, 4, 4), (60, 5, 4), (70, 1, 1), (70, 4, 4)]
+    members = spark.createDataFrame(same + other, "number bigint, rep bigint, component bigint")
+    assert sorted(r[0] for r in unsettled(members).collect()) == [0, 50, 70]
