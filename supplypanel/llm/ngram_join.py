@@ -12,8 +12,9 @@ Two documents link if their sets of word 4-grams have a Jaccard similarity of at
   border of two, and a document near a border belongs to both.
 * Equal rows are one row. Of the rows that meet in a column and band, each is first paired with
   the smallest; after links merged what they could, the others are paired unless they are
-  connected already; of columns with the same rows one is asked. Pairs are left out whose sizes
-  or parities prove too many differences.
+  connected already; of columns with the same rows one is asked, and a pair with many columns in
+  common is raised by the first of them. Pairs are left out whose sizes or parities prove too
+  many differences.
 * For the pairs left, overlap counts accumulate block by block over the sorted n-grams, and
   a pair is discarded as soon as the size-derived bound cannot be met any more.
 
@@ -44,6 +45,8 @@ BAND = 1.5
 COUNTERS = 1 << 22
 SKETCH_WORDS = 8
 COLUMN_BLOCKS = 8
+# So many of its buckets each row names, by which two rows know the first they have in common.
+NAMED_BUCKETS = 16
 
 
 def ngram_set(words: np.ndarray, n: int = WORDS) -> np.ndarray:
@@ -297,6 +300,26 @@ def unsettled(members: DataFrame) -> DataFrame:
     )
 
 
+def open_pairs(members: DataFrame, marks: DataFrame, threshold: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of the rows (``rep``) of each bucket (``number``) that are in different
+    ``component`` and may link. A bucket leaves a pair to a smaller one that both rows name;
+    pairs that have none come once for each bucket."""
+    named = members.groupBy("rep").agg(
+        F.slice(F.sort_array(F.collect_set("number")), 1, NAMED_BUCKETS).alias("named")
+    )
+    rows = members.join(named.join(marks, "rep"), "rep")
+    x, y = rows.alias("x"), rows.alias("y")
+    first = F.array_min(F.array_intersect("x.named", "y.named"))
+    return x.join(
+        y,
+        (F.col("x.number") == F.col("y.number"))
+        & (F.col("x.rep") > F.col("y.rep"))
+        & (F.col("x.component") != F.col("y.component"))
+        & _may_link("x", "y", threshold)
+        & (F.coalesce(first, F.col("x.number")) >= F.col("x.number")),
+    ).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs`` (``doc_id``,
     ``text``): the smallest ``doc_id`` that links reach."""
@@ -362,17 +385,9 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: int = THRESHOLD)
 
     # then all rows of a bucket that are still in different components
     members = class_of(buckets, "rep", "component")
-    still = members.join(unsettled(members), "number").join(marks.drop("parity"), "rep")
-    x, y = still.alias("x"), still.alias("y")
+    still = keep(members.join(unsettled(members), "number"), "unsettled")
     third = (
-        x.join(
-            y,
-            (F.col("x.number") == F.col("y.number"))
-            & (F.col("x.rep") > F.col("y.rep"))
-            & (F.col("x.component") != F.col("y.component"))
-            & _may_link("x", "y", threshold),
-        )
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        open_pairs(still, marks.drop("parity"), threshold)
         .distinct()
         .join(met, ["a", "b"], "left_anti")
     )

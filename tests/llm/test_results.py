@@ -720,3 +720,20 @@ def test_buckets_of_the_same_rows_are_asked_once(spark):
     other = [(50, 1, 1), (50, 2, 2), (60, 4, 4), (60, 5, 4), (70, 1, 1), (70, 4, 4)]
     members = spark.createDataFrame(same + other, "number bigint, rep bigint, component bigint")
     assert sorted(r[0] for r in unsettled(members).collect()) == [0, 50, 70]
+
+
+def test_a_pair_of_many_common_buckets_is_raised_once(spark):
+    from supplypanel.llm.ngram_join import NAMED_BUCKETS, open_pairs
+
+    # 1 and 2 have all buckets in common, 3 and 4 such as only one of them names
+    late = 2 * NAMED_BUCKETS
+    members = [(k, rep, rep) for k in range(2 * late) for rep in (1, 2)]
+    members += [(1000 + k, 3, 3) for k in range(late + 2)] + [(1000 + late - 2 + k, 4, 4) for k in range(late)]
+    members += [(2000, 5, 5), (2000, 6, 5), (2001, 5, 5), (2001, 1, 1)]
+    rows = spark.createDataFrame(members, "number bigint, rep bigint, component bigint")
+    marks = spark.createDataFrame(
+        [(rep, 100, [0] * 8) for rep in range(1, 7)], "rep bigint, n bigint, sketch array<bigint>"
+    )
+    found = [tuple(r) for r in open_pairs(rows, marks, 85).collect()]
+    assert set(found) == {(2, 1), (4, 3), (5, 1)}
+    assert found.count((2, 1)) == 1
