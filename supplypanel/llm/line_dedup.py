@@ -21,6 +21,8 @@ Lines without words are kept.
   similar to it are compared with all earlier ones; so are, in a second search, those that
   turned out not to be similar to any set they were compared with. Copies that differ a little
   are so not compared with one another. Keys of at most ``FEW`` sets are searched in one join.
+* A prefix word goes with the place of its set, the filters' numbers and no more, and is dealt
+  by key once for both sides of the join.
 * Candidates are verified by their whole word sets.
 
 Documents whose ``doc_id`` is null, and null or empty texts, are returned as they are and
@@ -148,10 +150,15 @@ def _may_match(x: str, y: str, t: int) -> Column:
     )
 
 
-def _not_later(y: str, x: str) -> Column:
-    """Whether ``y`` is in no later document and line than ``x``; versions may be equal."""
-    same = (F.col(f"{y}.doc") == F.col(f"{x}.doc")) & (F.col(f"{y}.line") <= F.col(f"{x}.line"))
-    return (F.col(f"{x}.s") != F.col(f"{y}.s")) & ((F.col(f"{y}.doc") < F.col(f"{x}.doc")) | same)
+def _earlier(y: str, x: str) -> Column:
+    """Whether the place of ``y`` is before that of ``x``."""
+    def same(k: str) -> Column:
+        return F.col(f"{y}.{k}") == F.col(f"{x}.{k}")
+
+    def before(k: str) -> Column:
+        return F.col(f"{y}.{k}") < F.col(f"{x}.{k}")
+
+    return before("doc") | (same("doc") & (before("turn") | (same("turn") & before("line"))))
 
 
 def _pair(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -161,7 +168,7 @@ def _pair(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     return pairs.join(one, "a").join(two, "b")
 
 
-def _similar(pairs: DataFrame, words: DataFrame, places: DataFrame, t: int) -> DataFrame:
+def _similar(pairs: DataFrame, words: DataFrame, t: int) -> DataFrame:
     """``s``: the later set of each pair (``a``, ``b``) that reaches the threshold. Pairs are
     first compared by 15 bits of each word, which can only hide differences."""
     n = F.col("x.n") + F.col("y.n")
@@ -172,7 +179,7 @@ def _similar(pairs: DataFrame, words: DataFrame, places: DataFrame, t: int) -> D
     close = _pair(likely, words, ["n", "words"]).where(both * 100 >= (n - both) * t).select("a", "b")
     x, y = F.col("x.place"), F.col("y.place")
     later = F.when(x > y, F.col("a")).otherwise(F.col("b"))
-    return _pair(close, places, ["place"]).select(later.alias("s")).distinct()
+    return _pair(close, words, ["place"]).select(later.alias("s")).distinct()
 
 
 def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, list[str]]:
@@ -192,6 +199,8 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
     n = F.size("words")
     # one word more than the prefix filter needs
     prefix = F.slice("words", F.lit(1), (_probe_length(n, threshold) + 1).cast("int"))
+    # no word of a smaller power is in more than FEW lines
+    seldom = F.filter(prefix, lambda w: F.shiftright(w, _HASH_BITS) < FEW.bit_length())
     upper = F.filter("words", lambda w: w.bitwiseAND(F.lit(_PARITY_BITS)) != 0)
     lines = keep(
         _with_words(_contents(texts), powers).select(
@@ -200,7 +209,9 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
             n.alias("n"),
             F.when(n >= SMALLEST, _parity(F.col("words"))).alias("parity"),
             F.when(n > _PARITY_BITS, _parity(upper)).alias("upper"),
-            F.when(n >= SMALLEST, prefix).alias("prefix"),
+            # half as wide; words that coincide only make more candidates
+            F.when(n >= SMALLEST, F.transform(prefix, lambda w: F.hash(w))).alias("prefix"),
+            F.when(n >= SMALLEST, F.size(seldom)).alias("seldom"),
         ),
         "lines",
     )
@@ -209,106 +220,115 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
         "places",
     )
     places = counted_places.select("s", "place")
+    versions = lines.groupBy("doc_id").agg(F.min("version").alias("low"), F.max("version").alias("high"))
+    in_versions = maybe_in(keep(versions.where("low != high").select("doc_id"), "versions"), "doc_id")
+
+    def turn(doc_id: str, version: str) -> Column:
+        """Orders the texts of one ``doc_id``; 0 where there is but one."""
+        return F.when(in_versions(F.col(doc_id)), F.col(version)).otherwise(F.lit(0).cast("long"))
+
+    # sets are named by their places, so that these alone go with each prefix word
+    name = F.xxhash64("doc", "turn", "line")
+    line_name = F.xxhash64("doc_id", turn("doc_id", "version"), "line")
     # a set that only one line has needs no search for its first line
     several = maybe_in(counted_places.where("lines > 1"), "s")
-    own = lines.where(F.col("n") >= SMALLEST).select(*_LINE, "s", "n", "parity", "upper", "prefix")
-    columns = ["s", "n", "parity", "upper", "prefix", F.col("doc_id").alias("doc"), "line"]
+    own = lines.where(F.col("n") >= SMALLEST).select(*_LINE, "s", "n", "parity", "upper", "prefix", "seldom")
+    place = [F.col("doc_id").alias("doc"), turn("doc_id", "version").alias("turn"), "line"]
+    columns = [*place, "n", "parity", "upper", "prefix", "seldom"]
     firsts = keep(
         own.where(several(F.col("s")))
         .join(places, "s")
         .where(F.struct(*_LINE) == F.col("place"))
-        .select(*columns)
-        .dropDuplicates(["s"]),
+        .dropDuplicates(["s"])
+        .select(*columns),
         "firsts",
     )
     sets = own.where(~several(F.col("s"))).select(*columns).unionByName(firsts)
     needed = F.slice("prefix", F.lit(1), F.size("prefix") - 1)
-    # no word of a smaller power is in more than FEW lines
-    often_met = F.shiftright("word", _HASH_BITS) >= FEW.bit_length()
     frequent = keep(
-        sets.select(F.explode(needed).alias("word"))
-        .where(often_met)
+        sets.select(F.explode(F.slice(needed, F.col("seldom") + 1, F.size("prefix"))).alias("word"))
         .groupBy("word")
         .count()
         .where(F.col("count") > FEW),
         "frequent",
     )
     # some other words may pass as frequent; all their lines then do
-    is_frequent = often_met & maybe_in(frequent, "word")(F.col("word"))
-    marks = ["s", "n", "parity", "upper", "doc", "line"]
-    entries = sets.select(F.posexplode(needed).alias("pos", "word"), "prefix", *marks)
+    is_frequent = (F.col("pos") >= F.col("seldom")) & maybe_in(frequent, "word")(F.col("word"))
+    marks = ["doc", "turn", "line", "n", "parity", "upper"]
+    entries = sets.select(F.posexplode(needed).alias("pos", "word"), "prefix", "seldom", *marks)
     single = entries.where(~is_frequent).select("pos", "word", *marks)
     after = F.slice("prefix", F.col("pos") + 2, F.size("prefix"))
     double = (
         entries.where(is_frequent)
         .select("pos", "word", F.explode(after).alias("other"), *marks)
-        .select("pos", F.xxhash64("word", "other").alias("word"), *marks)
+        .select("pos", F.hash("word", "other").alias("word"), *marks)
     )
     frequent_pairs = keep(
         double.groupBy("word").count().where(F.col("count") > FEW).select("word"), "frequent-pairs"
     )
     is_often = maybe_in(frequent_pairs, "word")
     rare = single.unionByName(double.where(~is_often(F.col("word"))))
-    often = keep(double.where(is_often(F.col("word"))), "frequent-entries")
+    often = keep(double.where(is_often(F.col("word"))), "frequent-entries").withColumn("s", name)
 
     # a key of these has at most FEW sets; "led" by the earliest if that may be similar
-    itself = F.struct("doc", "line", "s", "n", "pos", "parity", "upper")
-    followed = rare.withColumn("lead", F.min(itself).over(W.partitionBy("word"))).alias("x")
-    may_follow = (F.col("lead.s") != F.col("s")) & _may_match("x", "x.lead", threshold)
-    x = followed.select("word", "pos", *marks, may_follow.alias("led"), F.col("lead.s").alias("lead"))
-    x, y = x.alias("x"), rare.alias("y")
+    itself = F.struct("doc", "turn", "line", "s", "n", "pos", "parity", "upper")
+    # dealt by key once, for the earliest of each key and for both sides of the join
+    dealt = rare.repartition("word").withColumn("s", name)
+    followed = dealt.withColumn("lead", F.min(itself).over(W.partitionBy("word"))).alias("x")
+    may_follow = _may_match("x", "x.lead", threshold)
+    x = followed.where("lead.s != s").select("word", "pos", "s", *marks, may_follow.alias("led"), F.col("lead.s").alias("lead"))
+    x, y = x.alias("x"), dealt.alias("y")
     chosen = F.when(F.col("x.led"), F.col("y.s") == F.col("x.lead")).otherwise(
-        _not_later("y", "x") & _may_match("x", "y", threshold)
-    )
-    at_once = x.join(y, (F.col("x.word") == F.col("y.word")) & chosen).select(
-        F.col("x.s").alias("a"), F.col("y.s").alias("b"), "x.led"
+        _earlier("y", "x") & _may_match("x", "y", threshold)
     )
+    both = [
+        F.col(f"{side}.{k}").alias(to)
+        for side, k, to in (("x", "s", "a"), ("y", "s", "b"), ("x", "doc", "doc_a"), ("y", "doc", "doc_b"))
+    ]
+    at_once = x.join(y, (F.col("x.word") == F.col("y.word")) & chosen).select(*both, "x.led")
     earliest = often.groupBy("word").agg(F.min(itself).alias("y"))
     with_earliest = often.select("word", itself.alias("x")).join(earliest, "word").where("x.s != y.s")
     # the keys of these are searched again for all sets that are left
-    led = with_earliest.where(_may_match("x", "y", threshold)).select(
-        F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.lit(False).alias("led")
-    )
-    first = keep(at_once.union(led).groupBy("a", "b").agg(F.max("led").alias("led")), "pairs")
+    led = with_earliest.where(_may_match("x", "y", threshold)).select(*both, F.lit(False).alias("led"))
+    names = ["a", "b", "doc_a", "doc_b"]
+    first = keep(at_once.union(led).groupBy(*names).agg(F.max("led").alias("led")), "pairs")
 
     def words_of(pairs: DataFrame) -> DataFrame:
         """The whole word sets in the pairs, read from the lines they are first in."""
-        wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "wanted")
-        in_wanted = maybe_in(wanted, "s")
-        first_lines = keep(
-            places.where(in_wanted(F.col("s"))).join(wanted, "s").select("place.*"), "wanted-places"
+        wanted = keep(
+            pairs.select("a", "doc_a").union(pairs.select("b", "doc_b")).toDF("s", "doc").distinct(),
+            "wanted",
+        )
+        in_document = maybe_in(wanted, "doc")
+        contents = _numbered_lines(texts.where(in_document(F.col("doc_id")))).where(
+            maybe_in(wanted, "s")(line_name)
         )
-        here = F.xxhash64("doc_id", "line")
-        in_document = maybe_in(first_lines, "doc_id")
-        in_line = maybe_in(first_lines.select(here.alias("at")), "at")
-        contents = _numbered_lines(texts.where(in_document(F.col("doc_id")))).where(in_line(here))
         bits = F.transform("words", lambda w: w.bitwiseAND(F.lit(32767)).cast("smallint"))
         # a set that no pair has may come along; no pair is joined with it
         return keep(
             _with_words(contents, powers)
-            .select(F.xxhash64("words").alias("s"), "words")
+            .select(line_name.alias("s"), "words", F.struct(*_LINE).alias("place"))
             .dropDuplicates(["s"])
-            .select("s", "words", n.alias("n"), F.array_distinct(bits).alias("bits")),
+            .select("s", "words", n.alias("n"), F.array_distinct(bits).alias("bits"), "place"),
             "words",
         )
 
-    gone = keep(_similar(first.select("a", "b"), words_of(first), places, threshold), "gone")
+    gone = keep(_similar(first.select("a", "b"), words_of(first), threshold), "gone")
     # what the earliest sets of its keys did not remove, with all earlier ones of these keys
     asked = keep(
         first.where("led").select(F.col("a").alias("s")).distinct().join(gone, "s", "left_anti"), "asked"
     )
     asking = keep(
-        rare.where(maybe_in(asked, "s")(F.col("s"))).join(asked, "s", "left_semi"), "asked-entries"
+        rare.withColumn("s", name).where(maybe_in(asked, "s")(F.col("s"))).join(asked, "s", "left_semi"),
+        "asked-entries",
     )
-    answering = rare.where(maybe_in(asking, "word")(F.col("word")))
+    answering = rare.withColumn("s", name).where(maybe_in(asking, "word")(F.col("word")))
     left = often.join(gone, "s", "left_anti")
 
     def earlier_of(x: DataFrame, y: DataFrame) -> DataFrame:
         x, y = x.alias("x"), y.alias("y")
-        possible = _not_later("y", "x") & _may_match("x", "y", threshold)
-        return x.join(y, (F.col("x.word") == F.col("y.word")) & possible).select(
-            F.col("x.s").alias("a"), F.col("y.s").alias("b")
-        )
+        possible = _earlier("y", "x") & _may_match("x", "y", threshold)
+        return x.join(y, (F.col("x.word") == F.col("y.word")) & possible).select(*both)
 
     second = keep(
         earlier_of(asking, answering)
@@ -319,14 +339,21 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
     )
     if second.limit(1).count():
         gone = keep(
-            gone.union(_similar(second, words_of(second), places, threshold)).distinct(), "gone"
+            gone.union(_similar(second.select("a", "b"), words_of(second), threshold)).distinct(), "gone"
         )
     is_gone = maybe_in(gone, "s")
     # all other lines are the only ones of a set that stays
-    concerned = several(F.col("s")) | is_gone(F.col("s"))
-    flagged = places.where(concerned).join(gone.withColumn("gone", F.lit(True)), "s", "left")
+    concerned = several(F.col("s")) | is_gone(line_name)
+    first_name = F.xxhash64("place.doc_id", turn("place.doc_id", "place.version"), "place.line")
+    first_places = places.where(several(F.col("s")) | is_gone(first_name))
+    flagged = gone.select(F.col("s").alias("name"), F.lit(True).alias("gone"))
     removed = F.coalesce("gone", F.lit(False)) | (F.struct(*_LINE) != F.col("place"))
-    asked = lines.where(concerned).select(*_LINE, "s").join(flagged, "s")
+    asked = (
+        lines.where(concerned)
+        .select(*_LINE, "s", line_name.alias("name"))
+        .join(first_places, "s")
+        .join(flagged, "name", "left")
+    )
     done, folder = written(
         asked.select(*_LINE, removed.alias("removed"))
         .distinct()

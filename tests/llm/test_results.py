@@ -737,3 +737,43 @@ def test_a_pair_of_many_common_buckets_is_raised_once(spark):
     found = [tuple(r) for r in open_pairs(rows, marks, 85).collect()]
     assert set(found) == {(2, 1), (4, 3), (5, 1)}
     assert found.count((2, 1)) == 1
+
+
+def test_line_dedup_of_two_texts_of_one_document(spark):
+    """A line of the later text goes for one of the earlier text that stands further down and
+    goes itself."""
+    from supplypanel.llm import line_dedup
+
+    words = [f"word{i}" for i in range(10)]
+    first = " ".join(words)
+    second = " ".join(["other0", *words[1:]])  # similar to the first
+    third = " ".join(["other0", "other1", *words[2:]])  # similar to the second only
+    rows = []
+    for k in range(40):
+        down = "\n".join(f"alone{k}x{i}" for i in range(7)) + f"\n{second}"
+        rows.append((k, down, f"{third}\nlast{k}"))
+    df = spark.createDataFrame(rows, "k int, down string, up string")
+    chosen = df.where("xxhash64(down) < xxhash64(up)").first()
+    docs = [(1, first), (5, chosen.down), (5, chosen.up)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    left = sorted((r.doc_id, r.text) for r in out.select("doc_id", "text").collect())
+    without_second = chosen.down.rsplit("\n", 1)[0]
+    assert left == sorted([(1, first), (5, without_second), (5, chosen.up.split("\n")[1])])
+
+
+def test_line_dedup_deals_few_numbers_by_key_once(spark, monkeypatch):
+    """Both sides of the search read one shuffle."""
+    from supplypanel.llm import line_dedup
+
+    text = "\n".join(" ".join(f"w{(i * 7 + k) % 90}" for k in range(12)) for i in range(30))
+    df = spark.createDataFrame([(i, text) for i in range(3)], "doc_id bigint, text string")
+    plans, write = [], line_dedup.written
+
+    def seen(rows, name):
+        if name == "pairs":
+            plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return write(rows, name)
+
+    monkeypatch.setattr(line_dedup, "written", seen)
+    line_dedup.decide_lines(df)
+    assert plans[0].count("RepartitionByExpression [word") == 2
