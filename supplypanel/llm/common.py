@@ -16,6 +16,8 @@ __all__ = [
     "table",
     "written",
     "number_rows",
+    "bitmap",
+    "among",
     "maybe_in",
     "components",
     "dense",
@@ -83,35 +85,43 @@ def dense(counts: DataFrame, place: str, value: str, size: int, kind: str) -> Co
     return filled.agg(F.sort_array(F.collect_list(F.struct("p", "v"))).getField("v").alias("a")).scalar()
 
 
-def maybe_in(keys: DataFrame, column: str) -> Callable[[Column], Column]:
-    """A test that holds for every value in ``keys`` and for few others.
+def _spot(value: Column) -> Column:
+    return F.pmod(F.xxhash64(value, F.lit(7)), F.lit(FILTER_WORDS * 64))
 
-    The keys are marked in a bitmap of fixed size, so that what reaches the tasks does not
-    grow with the data; with very many keys the test lets more rows pass. A join that
-    follows keeps results exact.
-    """
-
-    def spot(value: Column) -> Column:
-        return F.pmod(F.xxhash64(value, F.lit(7)), F.lit(FILTER_WORDS * 64))
 
+def bitmap(keys: DataFrame, column: str) -> Column:
+    """What ``among`` tests against: the values in ``keys``, marked in a bitmap of fixed size.
+    A scalar subquery, computed anew by each query that uses it."""
     marked = (
-        keys.select(spot(F.col(column)).alias("s"))
+        keys.select(_spot(F.col(column)).alias("s"))
         .select(
             F.shiftright("s", 6).cast("int").alias("w"), F.pmod("s", F.lit(64)).cast("int").alias("b")
         )
         .groupBy("w")
         .agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
     )
-    bits = dense(marked, "w", "bits", FILTER_WORDS, "long")
+    return dense(marked, "w", "bits", FILTER_WORDS, "long")
 
+
+def among(bits: Column) -> Callable[[Column], Column]:
     def holds(value: Column) -> Column:
-        at = spot(value)
+        at = _spot(value)
         word = F.get(bits, F.shiftright(at, 6).cast("int"))
         return F.getbit(word, F.pmod(at, F.lit(64)).cast("int")) == 1
 
     return holds
 
 
+def maybe_in(keys: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test that holds for every value in ``keys`` and for few others.
+
+    The keys are marked in a bitmap of fixed size, so that what reaches the tasks does not
+    grow with the data; with very many keys the test lets more rows pass. A join that
+    follows keeps results exact.
+    """
+    return among(bitmap(keys, column))
+
+
 def without(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The rows of ``docs`` whose ``column`` is not in ``ids`` (a written table). Only rows
     that may be in it are shuffled."""

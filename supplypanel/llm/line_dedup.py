@@ -33,11 +33,13 @@ the input is returned as it is. An empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 
-from .common import dense, drop_folder, maybe_in, table, written
+from .common import among, bitmap, dense, drop_folder, maybe_in, table, written
 
 THRESHOLD = 80
 RARITY_BUCKETS = 1 << 20
@@ -169,17 +171,18 @@ def _pair(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, words: DataFrame, t: int) -> DataFrame:
-    """``s``: the later set of each pair (``a``, ``b``) that reaches the threshold. Pairs are
-    first compared by 15 bits of each word, which can only hide differences."""
+    """The later set of each pair (``a``, ``b``) that reaches the threshold: its name ``s`` and
+    its ``place``. Pairs are first compared by 15 bits of each word, which can only hide
+    differences."""
     n = F.col("x.n") + F.col("y.n")
     need = F.floor((n * t + (99 + t)) / (100 + t))
     differ = F.size(F.array_except("x.bits", "y.bits")) + F.size(F.array_except("y.bits", "x.bits"))
     likely = _pair(pairs, words, ["n", "bits"]).where(differ <= n - need * 2).select("a", "b")
     both = F.size(F.array_intersect("x.words", "y.words"))
-    close = _pair(likely, words, ["n", "words"]).where(both * 100 >= (n - both) * t).select("a", "b")
+    close = _pair(likely, words, ["n", "words", "place"]).where(both * 100 >= (n - both) * t)
     x, y = F.col("x.place"), F.col("y.place")
     later = F.when(x > y, F.col("a")).otherwise(F.col("b"))
-    return _pair(close, words, ["place"]).select(later.alias("s")).distinct()
+    return close.select(later.alias("s"), F.greatest(x, y).alias("place")).distinct()
 
 
 def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, list[str]]:
@@ -193,14 +196,17 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
         folders.append(folder)
         return out
 
+    def known(keys: DataFrame, column: str) -> Callable[[Column], Column]:
+        """``maybe_in`` whose bitmap is made once and read by all queries that ask it."""
+        marks = spark.range(1).select(bitmap(keys, column).alias("bits"))
+        return among(keep(marks, "bitmap").scalar())
+
     texts = _documents(docs)
     counted = keep(spark.range(1).select(_rarity(texts).alias("powers")), "rarity")
     powers = counted.scalar()
     n = F.size("words")
     # one word more than the prefix filter needs
     prefix = F.slice("words", F.lit(1), (_probe_length(n, threshold) + 1).cast("int"))
-    # no word of a smaller power is in more than FEW lines
-    seldom = F.filter(prefix, lambda w: F.shiftright(w, _HASH_BITS) < FEW.bit_length())
     upper = F.filter("words", lambda w: w.bitwiseAND(F.lit(_PARITY_BITS)) != 0)
     lines = keep(
         _with_words(_contents(texts), powers).select(
@@ -211,17 +217,11 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
             F.when(n > _PARITY_BITS, _parity(upper)).alias("upper"),
             # half as wide; words that coincide only make more candidates
             F.when(n >= SMALLEST, F.transform(prefix, lambda w: F.hash(w))).alias("prefix"),
-            F.when(n >= SMALLEST, F.size(seldom)).alias("seldom"),
         ),
         "lines",
     )
-    counted_places = keep(
-        lines.groupBy("s").agg(F.min(F.struct(*_LINE)).alias("place"), F.count(F.lit(1)).alias("lines")),
-        "places",
-    )
-    places = counted_places.select("s", "place")
     versions = lines.groupBy("doc_id").agg(F.min("version").alias("low"), F.max("version").alias("high"))
-    in_versions = maybe_in(keep(versions.where("low != high").select("doc_id"), "versions"), "doc_id")
+    in_versions = known(versions.where("low != high"), "doc_id")
 
     def turn(doc_id: str, version: str) -> Column:
         """Orders the texts of one ``doc_id``; 0 where there is but one."""
@@ -231,42 +231,36 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
     name = F.xxhash64("doc", "turn", "line")
     line_name = F.xxhash64("doc_id", turn("doc_id", "version"), "line")
     # a set that only one line has needs no search for its first line
-    several = maybe_in(counted_places.where("lines > 1"), "s")
-    own = lines.where(F.col("n") >= SMALLEST).select(*_LINE, "s", "n", "parity", "upper", "prefix", "seldom")
-    place = [F.col("doc_id").alias("doc"), turn("doc_id", "version").alias("turn"), "line"]
-    columns = [*place, "n", "parity", "upper", "prefix", "seldom"]
-    firsts = keep(
-        own.where(several(F.col("s")))
-        .join(places, "s")
-        .where(F.struct(*_LINE) == F.col("place"))
-        .dropDuplicates(["s"])
-        .select(*columns),
-        "firsts",
+    several = known(lines.groupBy("s").count().where("count > 1"), "s")
+    traits = ["n", "parity", "upper", "prefix"]
+    places = keep(
+        lines.where(several(F.col("s")))
+        .groupBy("s")
+        .agg(F.min(F.struct(*_LINE)).alias("place"), *[F.first(k).alias(k) for k in traits]),
+        "places",
     )
-    sets = own.where(~several(F.col("s"))).select(*columns).unionByName(firsts)
-    needed = F.slice("prefix", F.lit(1), F.size("prefix") - 1)
-    frequent = keep(
-        sets.select(F.explode(F.slice(needed, F.col("seldom") + 1, F.size("prefix"))).alias("word"))
-        .groupBy("word")
-        .count()
-        .where(F.col("count") > FEW),
-        "frequent",
+    large = F.col("n") >= SMALLEST
+    alone = lines.where(large & ~several(F.col("s"))).select(*_LINE, *traits)
+    sets = alone.unionByName(places.where(large).select("place.*", *traits)).select(
+        F.col("doc_id").alias("doc"), turn("doc_id", "version").alias("turn"), "line", *traits
     )
+    needed = F.slice("prefix", F.lit(1), F.size("prefix") - 1)
+    # all prefix words are counted, so that the rows to count grow as the input does
+    prefix_words = sets.select(F.explode(needed).alias("word")).groupBy("word").count()
     # some other words may pass as frequent; all their lines then do
-    is_frequent = (F.col("pos") >= F.col("seldom")) & maybe_in(frequent, "word")(F.col("word"))
+    is_frequent = known(prefix_words.where(F.col("count") > FEW), "word")
     marks = ["doc", "turn", "line", "n", "parity", "upper"]
-    entries = sets.select(F.posexplode(needed).alias("pos", "word"), "prefix", "seldom", *marks)
-    single = entries.where(~is_frequent).select("pos", "word", *marks)
     after = F.slice("prefix", F.col("pos") + 2, F.size("prefix"))
-    double = (
-        entries.where(is_frequent)
-        .select("pos", "word", F.explode(after).alias("other"), *marks)
-        .select("pos", F.hash("word", "other").alias("word"), *marks)
+    entries = sets.select(F.posexplode(needed).alias("pos", "word"), "prefix", *marks)
+    single = entries.where(~is_frequent(F.col("word"))).select("pos", "word", *marks)
+    with_others = keep(
+        entries.where(is_frequent(F.col("word"))).select("pos", "word", after.alias("others"), *marks),
+        "frequent-words",
     )
-    frequent_pairs = keep(
-        double.groupBy("word").count().where(F.col("count") > FEW).select("word"), "frequent-pairs"
+    double = with_others.select("pos", "word", F.explode("others").alias("other"), *marks).select(
+        "pos", F.hash("word", "other").alias("word"), *marks
     )
-    is_often = maybe_in(frequent_pairs, "word")
+    is_often = known(double.groupBy("word").count().where(F.col("count") > FEW), "word")
     rare = single.unionByName(double.where(~is_often(F.col("word"))))
     often = keep(double.where(is_often(F.col("word"))), "frequent-entries").withColumn("s", name)
 
@@ -299,9 +293,9 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
             pairs.select("a", "doc_a").union(pairs.select("b", "doc_b")).toDF("s", "doc").distinct(),
             "wanted",
         )
-        in_document = maybe_in(wanted, "doc")
+        in_document = known(wanted, "doc")
         contents = _numbered_lines(texts.where(in_document(F.col("doc_id")))).where(
-            maybe_in(wanted, "s")(line_name)
+            known(wanted, "s")(line_name)
         )
         bits = F.transform("words", lambda w: w.bitwiseAND(F.lit(32767)).cast("smallint"))
         # a set that no pair has may come along; no pair is joined with it
@@ -319,10 +313,10 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
         first.where("led").select(F.col("a").alias("s")).distinct().join(gone, "s", "left_anti"), "asked"
     )
     asking = keep(
-        rare.withColumn("s", name).where(maybe_in(asked, "s")(F.col("s"))).join(asked, "s", "left_semi"),
+        rare.withColumn("s", name).where(known(asked, "s")(F.col("s"))).join(asked, "s", "left_semi"),
         "asked-entries",
     )
-    answering = rare.withColumn("s", name).where(maybe_in(asking, "word")(F.col("word")))
+    answering = rare.withColumn("s", name).where(known(asking, "word")(F.col("word")))
     left = often.join(gone, "s", "left_anti")
 
     def earlier_of(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -341,18 +335,16 @@ def decide_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
         gone = keep(
             gone.union(_similar(second.select("a", "b"), words_of(second), threshold)).distinct(), "gone"
         )
-    is_gone = maybe_in(gone, "s")
+    gone_places = gone.select("place.*", F.lit(True).alias("gone"))
+    spot = F.xxhash64(*_LINE)
     # all other lines are the only ones of a set that stays
-    concerned = several(F.col("s")) | is_gone(line_name)
-    first_name = F.xxhash64("place.doc_id", turn("place.doc_id", "place.version"), "place.line")
-    first_places = places.where(several(F.col("s")) | is_gone(first_name))
-    flagged = gone.select(F.col("s").alias("name"), F.lit(True).alias("gone"))
-    removed = F.coalesce("gone", F.lit(False)) | (F.struct(*_LINE) != F.col("place"))
+    concerned = several(F.col("s")) | known(gone_places.select(spot.alias("at")), "at")(spot)
+    removed = F.col("gone").isNotNull() | F.coalesce(F.struct(*_LINE) != F.col("place"), F.lit(False))
     asked = (
         lines.where(concerned)
-        .select(*_LINE, "s", line_name.alias("name"))
-        .join(first_places, "s")
-        .join(flagged, "name", "left")
+        .select(*_LINE, "s")
+        .join(places.select("s", "place"), "s", "left")
+        .join(gone_places, list(_LINE), "left")
     )
     done, folder = written(
         asked.select(*_LINE, removed.alias("removed"))
