@@ -777,3 +777,23 @@ def test_line_dedup_deals_few_numbers_by_key_once(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "written", seen)
     line_dedup.decide_lines(df)
     assert plans[0].count("RepartitionByExpression [word") == 2
+
+
+def test_line_dedup_makes_each_bitmap_once(spark, monkeypatch):
+    """Searches read the bitmaps that were made before; all prefix words are counted."""
+    from supplypanel.llm import line_dedup
+
+    text = "\n".join(" ".join(f"w{(i * 7 + k) % 90}" for k in range(12)) for i in range(30))
+    df = spark.createDataFrame([(i, text) for i in range(3)], "doc_id bigint, text string")
+    plans, write = {}, line_dedup.written
+
+    def seen(rows, name):
+        plans.setdefault(name, []).append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return write(rows, name)
+
+    monkeypatch.setattr(line_dedup, "written", seen)
+    line_dedup.decide_lines(df)
+    for name in ("lines", "places", "pairs", "words", "decided"):
+        assert not any("collect_list" in plan for plan in plans[name])
+    counted = [plan for plan in plans["bitmap"] if "explode(slice(prefix" in plan]
+    assert len(counted) == 1 and "seldom" not in counted[0]
